@@ -86,6 +86,23 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(h + (ends - starts).astype(U64) * U64(_Q[0]))
 
 
+def prefix_hashes(w: Words, sizes: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each size, the words longer than it (their indices) and a fingerprint of their first bytes."""
+    out = []
+    if not len(w.starts):
+        return [(np.zeros(0, np.int64), np.zeros(0, U64)) for _ in sizes]
+    power, inverse = _powers(len(w.data))
+    sums = np.empty(len(w.data) + 1, U64)
+    sums[0] = 0
+    np.cumsum(_BYTE[w.data] * power[: len(w.data)], out=sums[1:])
+    size = w.ends - w.starts
+    for k in sizes:
+        at = np.flatnonzero(size > k)
+        i = w.starts[at]
+        out.append((at, mix((sums[i + k] - sums[i]) * inverse[i] + U64(k * _Q[1] + 1 & 2**64 - 1))))
+    return out
+
+
 def spans(off: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs where ``inside`` holds; no run crosses a document's end."""
     n = len(inside)
@@ -139,3 +156,44 @@ def shingle_sets(w: Words, n: int = 5) -> list[np.ndarray]:
         else:
             out.append(np.zeros(0, U64))
     return out
+
+
+_KIND = np.full(256, 2, np.uint8)  # 0 space, 1 letters, digits and all bytes beyond ASCII, 2 punctuation
+_KIND[_SPACE] = 0
+_KIND[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+_UPPER = np.zeros(256, bool)
+_UPPER[65:91] = True
+
+
+def tokens(arr: pa.Array) -> tuple[Words, np.ndarray]:
+    """Runs of letters and digits, and runs of punctuation, as words; and whether each is punctuation."""
+    data, off = raw(arr)
+    n = len(data)
+    if not n:
+        z = np.zeros(0, np.int64)
+        return Words(np.zeros(0, U64), np.zeros(len(off), np.int64), z, z, data, off), np.zeros(0, bool)
+    kind = _KIND[data]
+    change = np.ones(n + 1, bool)
+    change[1:n] = kind[1:] != kind[:-1]
+    change[off] = True
+    edge = np.flatnonzero(change)
+    keep = kind[edge[:-1]] > 0
+    starts, ends = edge[:-1][keep], edge[1:][keep]
+    return Words(word_hashes(data, starts, ends), np.searchsorted(starts, off), starts, ends, data, off), kind[starts] == 2
+
+
+def terms(arr: pa.Array) -> Words:
+    """Runs of letters and digits only."""
+    w, mark = tokens(arr)
+    keep = ~mark
+    before = np.concatenate(([0], np.cumsum(keep)))
+    return Words(w.hashes[keep], before[w.bounds], w.starts[keep], w.ends[keep], w.data, w.off)
+
+
+def sums(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sums of ``x`` (rows) between successive bounds; empty ranges give zero."""
+    out = np.zeros((len(bounds) - 1, *x.shape[1:]), np.float64 if x.dtype.kind == "f" else np.int64)
+    full = np.flatnonzero(np.diff(bounds))
+    if len(full):
+        out[full] = np.add.reduceat(x, bounds[:-1][full], axis=0, dtype=out.dtype)
+    return out

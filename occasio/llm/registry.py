@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, tuple[str, str]] = {
+    "op3_toxicity": ("toxicity", "op3_toxicity"),
     "op8_media_columns": ("media", "op8_media_columns"),
     "op9_pii": ("pii", "op9_pii"),
 }
