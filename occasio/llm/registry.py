@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, tuple[str, str]] = {
     "op3_toxicity": ("toxicity", "op3_toxicity"),
+    "op7_quality": ("quality", "op7_quality"),
     "op8_media_columns": ("media", "op8_media_columns"),
     "op9_pii": ("pii", "op9_pii"),
 }
