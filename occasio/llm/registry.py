@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, tuple[str, str]] = {
+    "op2_best_fit_packing": ("packing", "op2_best_fit_packing"),
     "op3_toxicity": ("toxicity", "op3_toxicity"),
     "op7_quality": ("quality", "op7_quality"),
     "op8_media_columns": ("media", "op8_media_columns"),
