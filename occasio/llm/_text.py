@@ -63,7 +63,7 @@ def raw(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 3 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """The batch in runs of whole rows of about ``limit`` bytes of ``column``; a longer row stands alone."""
     if not batch.num_rows:
         return

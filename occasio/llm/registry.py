@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, tuple[str, str]] = {
     "op2_best_fit_packing": ("packing", "op2_best_fit_packing"),
     "op3_toxicity": ("toxicity", "op3_toxicity"),
+    "op5_benchmark_decontamination": ("decontam", "op5_benchmark_decontamination"),
     "op7_quality": ("quality", "op7_quality"),
     "op8_media_columns": ("media", "op8_media_columns"),
     "op9_pii": ("pii", "op9_pii"),
