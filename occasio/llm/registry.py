@@ -14,6 +14,7 @@ QUERIES: dict[str, tuple[str, str]] = {
     "op7_quality": ("quality", "op7_quality"),
     "op8_media_columns": ("media", "op8_media_columns"),
     "op9_pii": ("pii", "op9_pii"),
+    "op10_line_dedup": ("linededup", "op10_line_dedup"),
 }
 
 
