@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, tuple[str, str]] = {
+    "op1_ngram_jaccard_join": ("ngramjoin", "op1_ngram_jaccard_join"),
     "op2_best_fit_packing": ("packing", "op2_best_fit_packing"),
     "op3_toxicity": ("toxicity", "op3_toxicity"),
     "op5_benchmark_decontamination": ("decontam", "op5_benchmark_decontamination"),
