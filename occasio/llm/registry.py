@@ -12,6 +12,7 @@ QUERIES: dict[str, tuple[str, str]] = {
     "op2_best_fit_packing": ("packing", "op2_best_fit_packing"),
     "op3_toxicity": ("toxicity", "op3_toxicity"),
     "op5_benchmark_decontamination": ("decontam", "op5_benchmark_decontamination"),
+    "op6_html_extraction": ("html", "op6_html_extraction"),
     "op7_quality": ("quality", "op7_quality"),
     "op8_media_columns": ("media", "op8_media_columns"),
     "op9_pii": ("pii", "op9_pii"),
