@@ -68,15 +68,15 @@ def _sets(part: pa.RecordBatch, column: int) -> list[np.ndarray]:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, cls, n_shingles) of every row; cls is null without words."""
+    """(doc_id, cls, n_shingles, fp) of every row of (doc_id, text, fp); cls is null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
                 sets = _sets(part, 1)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([class_of(x) if len(x) else None for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64())], names=["doc_id", "cls", "n_shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([class_of(x) if len(x) else None for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), part.column(2)], names=["doc_id", "cls", "n_shingles", "fp"])
 
-    return docs.mapInArrow(run, "doc_id long, cls long, n_shingles long")
+    return docs.mapInArrow(run, "doc_id long, cls long, n_shingles long, fp long")
 
 
 def frequency_sketch(docs: DataFrame) -> np.ndarray:
@@ -213,7 +213,7 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Data
     """Documents with their classes, and (cls, label) of the classes that have links; and the tables they read."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    of, of_path = materialize(classes(rows), "join-classes")
+    of, of_path = materialize(classes(rows.withColumn("fp", F.xxhash64(F.coalesce("text", F.lit(""))))), "join-classes")
     sketch = frequency_sketch(rows)
     dealt = postings(rows, sketch, percent).repartition("token", "salt").sortWithinPartitions("token", "salt", "cls")
     lists, lists_path = materialize(dealt.mapInArrow(_lists, "token long, salt int, cls long, meta long, hub long"), "join-lists")
@@ -254,5 +254,26 @@ def near_duplicate_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return of.join(named, "cls", "left").select("doc_id", "n_shingles", "cls", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def keep_one_of_each_group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows, with all their columns, less all but one of each group of near duplicates.
+
+    The row with the least doc_id stays (a null one only in a group without others). Rows without words all stay.
+    """
+    of, labels, _ = ngram_join(docs, percent)
+    doc = F.coalesce("doc_id", F.lit(2**63 - 1))
+    first = of.where("cls is not null").groupBy("cls").agg(F.min(F.struct(doc.alias("doc"), F.col("fp"))).alias("least"))
+    first = first.join(labels, "cls", "left").groupBy(F.coalesce("label", "cls").alias("label")).agg(F.min("least").alias("least"))
+    rows = of.groupBy(doc.alias("doc"), "fp").agg(F.count("*").alias("n"), F.first("cls").isNull().alias("empty"))
+    stay = rows.join(first.select("least.doc", "least.fp", F.lit(True).alias("chosen")), ["doc", "fp"], "left").where("empty or chosen").withColumn("n", F.when(F.col("empty"), 1).otherwise(F.col("n")))
+    stay, _ = materialize(stay.select("doc", "fp", "n"), "join-stay")
+    names = docs.columns
+    keyed = docs.select(F.struct(*names).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("fp"))
+    once = keyed.join(stay.where("n = 1").hint("shuffle_hash"), ["doc", "fp"], "left_semi")
+    more = stay.where("n > 1")
+    if not more.isEmpty():  # repeated rows of one doc_id and text
+        once = once.unionByName(keyed.join(more, ["doc", "fp"], "left_semi").groupBy("doc", "fp").agg(F.first("row").alias("row")).select("row", "doc", "fp"))
+    return once.select("row.*")
+
+
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "cls")
