@@ -8,13 +8,20 @@ size over all documents, so only shingles that stand out of its noise are late i
 in common with a set that it links to at least c = ceil(0.8 n) shingles, so if both keep their first n - c + l
 shingles, they share l of those. Each document takes its own l (Wang, Li and Feng, 2012): a longer prefix is more
 postings, but asks for more shared ones before a pair is verified; l is the one with the least postings plus estimated
-candidates times the cost of a verification. A pair is a candidate when it shares the lesser l of the two.
+candidates times the cost of a verification, from n / 16 up.
+
+Two sets with k prefix shingles in common have at most k + max(c - l) in common at all, c - l being what each leaves
+out of its prefix: of the two prefixes, take the one that ends first in the order; its k shared shingles, and what it
+leaves out, are all that it can share. So a pair is a candidate when k is at least the lesser l, and as much as the
+overlap that the two sizes ask for less that maximum.
 
 Copies and near copies, in groups of any size, make no quadratic work:
 
 * sets are classes: documents with equal sets are one class, and a task sends a class once;
-* in each posting list every class meets only the list's hub (its least class) at first; classes that share enough
-  postings with their best hub are verified against it, and links make components;
+* classes that share fewer postings than any partner asks for are dropped, and lists with one class left;
+* in each posting list every class meets only the list's hub at first, the class whose prefix is the most common, so
+  the likely original of a group; classes that share enough postings with their best hub are verified against it, and
+  links make components;
 * candidates are then counted only between different components, over all postings; all that qualify are verified.
 
 A pair that is never verified is thus one within a component, or one that shares too few postings to link. Posting
@@ -49,6 +56,11 @@ def needed(n: int, percent: int = PERCENT) -> int:
     return -(-percent * n // 100)
 
 
+def least_l(n: int) -> int:
+    """The least number of shared prefix shingles that a set of n asks for; it never falls as n grows."""
+    return max(1, n // 16)
+
+
 def class_of(x: np.ndarray) -> int:
     """A fingerprint of a set of shingles, never that of the empty set."""
     return int((mix(x).sum(dtype=np.uint64) ^ mix(np.array([len(x)], U64))[0]).view(np.int64))
@@ -58,7 +70,7 @@ def choose(n: int, estimates: np.ndarray, percent: int = PERCENT) -> int:
     """How many shared prefix shingles a set of n asks for; ``estimates``: its shingles' partners, in global order."""
     p = n - needed(n, percent)
     most = max(1, min(n // 5, needed(n, percent)))
-    l = np.unique(np.minimum(2 ** np.arange(most.bit_length()), most))  # noqa: E741
+    l = np.unique(np.minimum(least_l(n) * 2 ** np.arange(4), most))  # noqa: E741
     cost = (p + l) + VERIFY_COST * (BASE_PARTNERS * (p + l) + np.cumsum(estimates)[p + l - 1]) / l
     return int(l[int(np.argmin(cost))])
 
@@ -103,13 +115,16 @@ def frequency_sketch(docs: DataFrame) -> np.ndarray:
 
 
 def postings(docs: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
-    """(token, salt, cls, n, l) for the prefix of every class; a class comes once from a task."""
+    """(token, salt, rare, cls, meta) for the prefix of every class; a class comes once from a task.
+
+    rare: how many in a thousand of the prefix do not stand out in the sketch. meta: n and l.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for part in pieces(batch):
-                tokens, salts, cls, meta = [], [], [], []
+                tokens, salts, rare, cls, meta = [], [], [], [], []
                 for x in _sets(part, 1):
                     c, n = class_of(x), len(x)
                     if not n or c in seen:
@@ -123,32 +138,33 @@ def postings(docs: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
                     tokens.append(x[:keep])
                     k = np.minimum(1 + (e[:keep] / LIST_ROWS).astype(np.int64), MAX_SALT)
                     salts.append(np.where(k > 1, 1 + (c & 0x7FFFFFFF) % k, 0))
+                    rare.append(np.full(keep, int((e[:keep] == 0).mean() * 1000), np.int32))
                     cls.append(np.full(keep, c))
                     meta.append(np.full(keep, n << 24 | min(l, (1 << 24) - 1)))
                 if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(salts).astype(np.int32)), pa.array(np.concatenate(cls)), pa.array(np.concatenate(meta))], names=["token", "salt", "cls", "meta"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(salts).astype(np.int32)), pa.array(np.concatenate(rare)), pa.array(np.concatenate(cls)), pa.array(np.concatenate(meta))], names=["token", "salt", "rare", "cls", "meta"])
 
-    return docs.mapInArrow(run, "token long, salt int, cls long, meta long")
+    return docs.mapInArrow(run, "token long, salt int, rare int, cls long, meta long")
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (token, salt, cls): those of lists with two classes or a salt, once each, with the list's hub."""
-    held: tuple | None = None  # the last row, which may begin or go on a list: token, salt, cls, meta, hub, whether kept
-    names = ["token", "salt", "cls", "meta", "hub"]
+    """Rows sorted by (token, salt, rare, cls): those of lists with two classes or a salt, once each, with the list's hub."""
+    held: tuple | None = None  # the last row, which may begin or go on a list, with its hub, and whether it is kept
+    names = ["token", "salt", "rare", "cls", "meta", "hub"]
 
     def rows(*columns) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=names)
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        token, salt, cls, meta = (batch.column(i).to_numpy() for i in range(4))
+        token, salt, rare, cls, meta = (batch.column(i).to_numpy() for i in range(5))
         if held is not None:
-            token, salt, cls, meta = (np.concatenate(([h], x)) for h, x in zip(held, (token, salt, cls, meta)))
+            token, salt, rare, cls, meta = (np.concatenate(([h], x)) for h, x in zip(held, (token, salt, rare, cls, meta)))
         same = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])
         once = np.concatenate(([True], ~(same & (cls[1:] == cls[:-1]))))
-        hub0, kept = (held[4], held[5]) if held is not None else (cls[0], False)
-        token, salt, cls, meta = token[once], salt[once], cls[once], meta[once]
+        hub0, kept = (held[5], held[6]) if held is not None else (cls[0], False)
+        token, salt, rare, cls, meta = (x[once] for x in (token, salt, rare, cls, meta))
         new = np.concatenate(([True], (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])))
         start = np.maximum.accumulate(np.where(new, np.arange(len(token)), 0))
         hub = cls[start]
@@ -161,11 +177,11 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(token) > 1:
             out = several[:-1]
             if out.any():
-                yield rows(*(x[:-1][out] for x in (token, salt, cls, meta, hub)))
+                yield rows(*(x[:-1][out] for x in (token, salt, rare, cls, meta, hub)))
         last_kept = bool(several[-1]) and (not new[-1] or len(token) == 1 and kept)
-        held = (token[-1], salt[-1], cls[-1], meta[-1], hub[-1], last_kept or salt[-1] > 0)
-    if held is not None and held[5]:
-        yield rows(*([x] for x in held[:5]))
+        held = (token[-1], salt[-1], rare[-1], cls[-1], meta[-1], hub[-1], last_kept or salt[-1] > 0)
+    if held is not None and held[6]:
+        yield rows(*([x] for x in held[:6]))
 
 
 def _blobs(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
@@ -215,15 +231,23 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Data
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     of, of_path = materialize(classes(rows.withColumn("fp", F.xxhash64(F.coalesce("text", F.lit(""))))), "join-classes")
     sketch = frequency_sketch(rows)
-    dealt = postings(rows, sketch, percent).repartition("token", "salt").sortWithinPartitions("token", "salt", "cls")
-    lists, lists_path = materialize(dealt.mapInArrow(_lists, "token long, salt int, cls long, meta long, hub long"), "join-lists")
+    dealt = postings(rows, sketch, percent).repartition("token", "salt").sortWithinPartitions("token", "salt", "rare", "cls")
+    raw_lists, raw_path = materialize(dealt.mapInArrow(_lists, "token long, salt int, rare int, cls long, meta long, hub long"), "join-lists")
     n = lambda c: F.shiftright(c, 24)
     l = lambda c: F.col(c).bitwiseAND(F.lit((1 << 24) - 1))  # noqa: E731, E741
-    fits = lambda x, y: F.greatest(n(x), n(y)) * percent <= F.least(n(x), n(y)) * 100
+    whole = lambda x, y: F.expr(f"({x}) div {y}")
+    # A class that shares fewer postings than its least partner asks for links with none.
+    smallest = whole(f"shiftright(meta, 24) * {percent} + 99", 100)
+    asked = F.least(l("meta"), F.greatest(F.lit(1), F.floor(smallest / 16)))
+    live = raw_lists.groupBy("cls").agg(F.count("*").alias("k"), F.first("meta").alias("meta")).where(F.col("k") >= asked).select("cls")
+    some = raw_lists.join(live, "cls", "left_semi")
+    several = some.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("token")
+    lists, lists_path = materialize(some.join(several, "token", "left_semi"), "join-live")
+    drop(spark, raw_path)
     best = lists.where("cls <> hub").groupBy("cls", "hub").agg(F.count("*").alias("k"), F.first("meta").alias("meta"))
     best = best.groupBy("cls").agg(F.max(F.struct("k", "hub")).alias("m"), F.first("meta").alias("meta"))
     stars = best.where(F.col("m.k") >= l("meta") / 2).select(F.col("cls").alias("a"), F.col("m.hub").alias("b"))
-    hubs = lists.where("salt > 0 and cls = hub").groupBy("token").agg(F.min("cls").alias("b"))
+    hubs = lists.where("salt > 0 and cls = hub").groupBy("token").agg(F.min(F.struct("rare", "cls"))["cls"].alias("b"))
     across = lists.where("salt > 0 and cls = hub").select("token", F.col("cls").alias("a")).join(hubs, "token").where("a <> b").select("a", "b").distinct()
     first, first_paths = verify(stars.union(across).distinct(), rows, of, percent, "join-star")
     labels, labels_path = components(first, "join-star")
@@ -233,8 +257,12 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Data
     named, named_path = materialize(named.join(mixed, "token"), "join-mixed")
     x = named.select("token", *[F.col(c).alias(f"{c}_a") for c in ("cls", "meta", "comp")])
     y = named.select("token", *[F.col(c).alias(f"{c}_b") for c in ("cls", "meta", "comp")])
-    shared = x.join(y, "token").where((F.col("cls_a") < F.col("cls_b")) & (F.col("comp_a") != F.col("comp_b")) & fits("meta_a", "meta_b"))
-    more = shared.groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).agg(F.count("*").alias("k"), F.first(F.least(l("meta_a"), l("meta_b"))).alias("l")).where("k >= l").select("a", "b")
+    fits = F.greatest(n("meta_a"), n("meta_b")) * percent <= F.least(n("meta_a"), n("meta_b")) * 100
+    shared = x.join(y, "token").where((F.col("cls_a") < F.col("cls_b")) & (F.col("comp_a") != F.col("comp_b")) & fits)
+    counted = shared.groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).agg(F.count("*").alias("k"), F.first("meta_a").alias("meta_a"), F.first("meta_b").alias("meta_b"))
+    left_out = [whole(f"shiftright(meta_{s}, 24) * {percent} + 99", 100) - l(f"meta_{s}") for s in "ab"]
+    overlap = whole(f"(shiftright(meta_a, 24) + shiftright(meta_b, 24)) * {percent} + {99 + percent}", 100 + percent)
+    more = counted.where((F.col("k") >= F.least(l("meta_a"), l("meta_b"))) & (F.col("k") >= overlap - F.greatest(*left_out))).select("a", "b")
     second, second_paths = verify(more, rows, of, percent, "join-rest")
     final, final_path = components(first.union(second).distinct(), "join")
     drop(spark, lists_path, named_path, labels_path, *first_paths, *second_paths)
