@@ -10,31 +10,32 @@ shingles, they share l of those. Each document takes its own l (Wang, Li and Fen
 postings, but asks for more shared ones before a pair is verified; l is the one with the least postings plus estimated
 candidates times the cost of a verification, from n / 16 up.
 
-Two sets with k prefix shingles in common have at most k + max(c - l) in common at all, c - l being what each leaves
-out of its prefix: of the two prefixes, take the one that ends first in the order; its k shared shingles, and what it
-leaves out, are all that it can share. So a pair is a candidate when k is at least the lesser l, and as much as the
-overlap that the two sizes ask for less that maximum.
+A pair of known sizes asks for more: with the overlap o = ceil(0.8 (n + m) / 1.8), the first n - o + l shingles of one
+and m - o + l of the other share l. Partners are therefore taken by ranges of size: in a list, a class stands only for
+those ranges of which its place in the class's order is early enough.
 
 Copies and near copies, in groups of any size, make no quadratic work:
 
 * sets are classes: documents with equal sets are one class, and a task sends a class once;
-* classes that share fewer postings than any partner asks for are dropped, and lists with one class left;
+* for each range of partner sizes a class is dropped if it shares too few postings with whatever partner, and lists
+  with one class left go;
 * in each posting list every class meets only the list's hub at first, the class whose prefix is the most common, so
   the likely original of a group; classes that share enough postings with their best hub are verified against it, and
   links make components;
 * candidates are then counted only between different components, over all postings; all that qualify are verified.
 
 A pair that is never verified is thus one within a component, or one that shares too few postings to link. Posting
-lists that the sketch shows to be long are dealt over several tasks by class, and their hubs meet.
+lists that the sketch shows to be long are dealt over several tasks by class when they are first gathered.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._graph import components
@@ -115,16 +116,17 @@ def frequency_sketch(docs: DataFrame) -> np.ndarray:
 
 
 def postings(docs: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
-    """(token, salt, rare, cls, meta) for the prefix of every class; a class comes once from a task.
+    """(token, salt, meta, cls, place) for the prefix of every class; a class comes once from a task.
 
-    rare: how many in a thousand of the prefix do not stand out in the sketch. meta: n and l.
+    meta: how many in a thousand of the prefix do not stand out in the sketch, n, and l; so by meta, sets whose prefix
+    is common come first. place: from 0, in the class's own order.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for part in pieces(batch):
-                tokens, salts, rare, cls, meta = [], [], [], [], []
+                tokens, salts, meta, cls, place = [], [], [], [], []
                 for x in _sets(part, 1):
                     c, n = class_of(x), len(x)
                     if not n or c in seen:
@@ -138,50 +140,43 @@ def postings(docs: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
                     tokens.append(x[:keep])
                     k = np.minimum(1 + (e[:keep] / LIST_ROWS).astype(np.int64), MAX_SALT)
                     salts.append(np.where(k > 1, 1 + (c & 0x7FFFFFFF) % k, 0))
-                    rare.append(np.full(keep, int((e[:keep] == 0).mean() * 1000), np.int32))
+                    meta.append(np.full(keep, int((e[:keep] == 0).mean() * 1000) << 52 | n << 24 | l))
                     cls.append(np.full(keep, c))
-                    meta.append(np.full(keep, n << 24 | min(l, (1 << 24) - 1)))
+                    place.append(np.arange(keep, dtype=np.int32))
                 if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(salts).astype(np.int32)), pa.array(np.concatenate(rare)), pa.array(np.concatenate(cls)), pa.array(np.concatenate(meta))], names=["token", "salt", "rare", "cls", "meta"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(salts).astype(np.int32)), pa.array(np.concatenate(meta)), pa.array(np.concatenate(cls)), pa.array(np.concatenate(place))], names=["token", "salt", "meta", "cls", "place"])
 
-    return docs.mapInArrow(run, "token long, salt int, rare int, cls long, meta long")
+    return docs.mapInArrow(run, "token long, salt int, meta long, cls long, place int")
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (token, salt, rare, cls): those of lists with two classes or a salt, once each, with the list's hub."""
-    held: tuple | None = None  # the last row, which may begin or go on a list, with its hub, and whether it is kept
-    names = ["token", "salt", "rare", "cls", "meta", "hub"]
-
-    def rows(*columns) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=names)
-
+    """Of rows sorted by (token, salt, meta, cls): those of lists with two classes or a salt, each class once a list."""
+    held: tuple | None = None  # the last row, and whether its list is kept
     for batch in batches:
         if not batch.num_rows:
             continue
-        token, salt, rare, cls, meta = (batch.column(i).to_numpy() for i in range(5))
+        names, kinds = batch.schema.names, batch.schema.types
+        columns = [c.to_numpy() for c in batch.columns]
+        kept = False
         if held is not None:
-            token, salt, rare, cls, meta = (np.concatenate(([h], x)) for h, x in zip(held, (token, salt, rare, cls, meta)))
+            columns, kept = [np.concatenate(([h], x)) for h, x in zip(held[0], columns)], held[1]
+        token, salt, _, cls, _ = columns
         same = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])
         once = np.concatenate(([True], ~(same & (cls[1:] == cls[:-1]))))
-        hub0, kept = (held[5], held[6]) if held is not None else (cls[0], False)
-        token, salt, rare, cls, meta = (x[once] for x in (token, salt, rare, cls, meta))
+        columns = [x[once] for x in columns]
+        token, salt = columns[:2]
         new = np.concatenate(([True], (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])))
-        start = np.maximum.accumulate(np.where(new, np.arange(len(token)), 0))
-        hub = cls[start]
-        hub[start == 0] = hub0
         several = ~new
         several[:-1] |= ~new[1:]
         several |= salt > 0
         several[0] |= kept
-        several[: int((start == 0).sum())] |= kept
-        if len(token) > 1:
-            out = several[:-1]
-            if out.any():
-                yield rows(*(x[:-1][out] for x in (token, salt, rare, cls, meta, hub)))
-        last_kept = bool(several[-1]) and (not new[-1] or len(token) == 1 and kept)
-        held = (token[-1], salt[-1], rare[-1], cls[-1], meta[-1], hub[-1], last_kept or salt[-1] > 0)
-    if held is not None and held[6]:
-        yield rows(*([x] for x in held[:6]))
+        out = several.copy()
+        out[-1] = False  # the last row waits for what follows
+        if out.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[out], t) for x, t in zip(columns, kinds)], names=names)
+        held = ([x[-1] for x in columns], bool(several[-1]), names, kinds)
+    if held is not None and held[1]:
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(held[0], held[3])], names=held[2])
 
 
 def _blobs(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
@@ -225,45 +220,80 @@ def verify(pairs: DataFrame, docs: DataFrame, of: DataFrame, percent: int, tag:
     return links, [path]
 
 
+def _n(c: str) -> Column:
+    return F.shiftright(F.col(c), 24).bitwiseAND(F.lit((1 << 28) - 1))
+
+
+def _l(c: str) -> Column:
+    return F.col(c).bitwiseAND(F.lit((1 << 24) - 1))
+
+
+def _up(x: Column, by: int) -> Column:
+    """ceil(x / by) of longs."""
+    return F.call_function("div", x + (by - 1), F.lit(by))
+
+
+def _overlap(n: Column, m: Column, percent: int) -> Column:
+    """The least overlap of sets of n and m that link."""
+    return _up((n + m) * percent, 100 + percent)
+
+
+def _live(lists: DataFrame, percent: int) -> DataFrame:
+    """(token, low, high, meta, cls, place): the lists by ranges of the lesser and the greater size, without classes
+    that can link with none in the other range.
+
+    Ranges grow by a tenth. A class of n stands in a list for a range that begins at m if its place is before
+    n - o(n, m) + l, and for the range at all if so many of its listed shingles do as the least l of partners there.
+    """
+    width = math.log(1.1)
+    of = lambda n: F.floor(F.log(n.cast("double")) / width).cast("int")
+    n, l = _n("meta"), _l("meta")  # noqa: E741
+    smallest = _up(n * percent, 100)
+    ranges = F.sequence(of(smallest), of(F.floor(n * 100 / percent)))
+    classes_ = lists.groupBy("cls").agg(F.first("meta").alias("meta"), F.collect_list("place").alias("places"))
+
+    def bound(r: Column) -> Column:
+        m = F.greatest(smallest, F.ceil(F.exp(r * width) - 1e-6).cast("long"))
+        enough = F.least(l, F.greatest(F.lit(1), F.floor(m / 16)))
+        first = n - _overlap(n, m, percent) + l
+        return F.struct(r.alias("r"), first.alias("first"), (F.size(F.filter("places", lambda p: p < first)) >= enough).alias("ok"))
+
+    able = classes_.select("cls", F.filter(F.transform(ranges, bound), lambda x: x["ok"]).alias("ranges")).where("size(ranges) > 0")
+    rows = lists.join(able, "cls").withColumn("own", of(n)).select("token", "meta", "cls", "place", "own", F.explode("ranges").alias("x")).where("place < x.first")
+    rows = rows.select("token", F.least("own", "x.r").alias("low"), F.greatest("own", "x.r").alias("high"), "own", "meta", "cls", "place")
+    both = rows.groupBy("token", "low", "high").agg(F.min("cls").alias("c0"), F.max("cls").alias("c1"), F.min("own").alias("o0"), F.max("own").alias("o1"))
+    both = both.where("c0 < c1 and (low = high or o0 < o1)").select("token", "low", "high")
+    return rows.drop("own").join(both, ["token", "low", "high"])
+
+
 def ngram_join(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, list[str]]:
     """Documents with their classes, and (cls, label) of the classes that have links; and the tables they read."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     of, of_path = materialize(classes(rows.withColumn("fp", F.xxhash64(F.coalesce("text", F.lit(""))))), "join-classes")
     sketch = frequency_sketch(rows)
-    dealt = postings(rows, sketch, percent).repartition("token", "salt").sortWithinPartitions("token", "salt", "rare", "cls")
-    raw_lists, raw_path = materialize(dealt.mapInArrow(_lists, "token long, salt int, rare int, cls long, meta long, hub long"), "join-lists")
-    n = lambda c: F.shiftright(c, 24)
-    l = lambda c: F.col(c).bitwiseAND(F.lit((1 << 24) - 1))  # noqa: E731, E741
-    whole = lambda x, y: F.expr(f"({x}) div {y}")
-    # A class that shares fewer postings than its least partner asks for links with none.
-    smallest = whole(f"shiftright(meta, 24) * {percent} + 99", 100)
-    asked = F.least(l("meta"), F.greatest(F.lit(1), F.floor(smallest / 16)))
-    live = raw_lists.groupBy("cls").agg(F.count("*").alias("k"), F.first("meta").alias("meta")).where(F.col("k") >= asked).select("cls")
-    some = raw_lists.join(live, "cls", "left_semi")
-    several = some.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("token")
-    lists, lists_path = materialize(some.join(several, "token", "left_semi"), "join-live")
+    dealt = postings(rows, sketch, percent).repartition("token", "salt").sortWithinPartitions("token", "salt", "meta", "cls")
+    raw, raw_path = materialize(dealt.mapInArrow(_lists, "token long, salt int, meta long, cls long, place int"), "join-lists")
+    lists, lists_path = materialize(_live(raw, percent), "join-live")
     drop(spark, raw_path)
-    best = lists.where("cls <> hub").groupBy("cls", "hub").agg(F.count("*").alias("k"), F.first("meta").alias("meta"))
+    span = ["token", "low", "high"]
+    hubs = lists.groupBy(*span).agg(F.min(F.struct("meta", "cls"))["cls"].alias("hub"))
+    best = lists.join(hubs, span).where("cls <> hub").groupBy("cls", "hub").agg(F.count("*").alias("k"), F.first("meta").alias("meta"))
     best = best.groupBy("cls").agg(F.max(F.struct("k", "hub")).alias("m"), F.first("meta").alias("meta"))
-    stars = best.where(F.col("m.k") >= l("meta") / 2).select(F.col("cls").alias("a"), F.col("m.hub").alias("b"))
-    hubs = lists.where("salt > 0 and cls = hub").groupBy("token").agg(F.min(F.struct("rare", "cls"))["cls"].alias("b"))
-    across = lists.where("salt > 0 and cls = hub").select("token", F.col("cls").alias("a")).join(hubs, "token").where("a <> b").select("a", "b").distinct()
-    first, first_paths = verify(stars.union(across).distinct(), rows, of, percent, "join-star")
+    stars = best.where(F.col("m.k") >= _l("meta") / 2).select(F.col("cls").alias("a"), F.col("m.hub").alias("b"))
+    first, first_paths = verify(stars, rows, of, percent, "join-star")
     labels, labels_path = components(first, "join-star")
     # Between components: lists whose classes are in more than one.
-    named = lists.join(labels.select(F.col("node").alias("cls"), F.col("label").alias("comp")), "cls", "left").select("token", "cls", "meta", F.coalesce("comp", "cls").alias("comp"))
-    mixed = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    named, named_path = materialize(named.join(mixed, "token"), "join-mixed")
-    x = named.select("token", *[F.col(c).alias(f"{c}_a") for c in ("cls", "meta", "comp")])
-    y = named.select("token", *[F.col(c).alias(f"{c}_b") for c in ("cls", "meta", "comp")])
-    fits = F.greatest(n("meta_a"), n("meta_b")) * percent <= F.least(n("meta_a"), n("meta_b")) * 100
-    shared = x.join(y, "token").where((F.col("cls_a") < F.col("cls_b")) & (F.col("comp_a") != F.col("comp_b")) & fits)
-    counted = shared.groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).agg(F.count("*").alias("k"), F.first("meta_a").alias("meta_a"), F.first("meta_b").alias("meta_b"))
-    left_out = [whole(f"shiftright(meta_{s}, 24) * {percent} + 99", 100) - l(f"meta_{s}") for s in "ab"]
-    overlap = whole(f"(shiftright(meta_a, 24) + shiftright(meta_b, 24)) * {percent} + {99 + percent}", 100 + percent)
-    more = counted.where((F.col("k") >= F.least(l("meta_a"), l("meta_b"))) & (F.col("k") >= overlap - F.greatest(*left_out))).select("a", "b")
-    second, second_paths = verify(more, rows, of, percent, "join-rest")
+    named = lists.join(labels.select(F.col("node").alias("cls"), F.col("label").alias("comp")), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    mixed = named.groupBy(*span).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(*span)
+    named, named_path = materialize(named.join(mixed, span), "join-mixed")
+    sides = [named.select(*span, *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "meta", "comp", "place")]) for s in "ab"]
+    n, m, l = _n("meta_a"), _n("meta_b"), F.least(_l("meta_a"), _l("meta_b"))  # noqa: E741
+    spare = l - _overlap(n, m, percent)
+    pair = (F.col("cls_a") < F.col("cls_b")) & (F.col("comp_a") != F.col("comp_b")) & (F.greatest(n, m) * percent <= F.least(n, m) * 100)
+    near = (F.col("place_a") < n + spare) & (F.col("place_b") < m + spare)
+    counted = sides[0].join(sides[1], span).where(pair & near).groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).agg(F.count("*").alias("k"), F.first(l).alias("l"))
+    second, second_paths = verify(counted.where("k >= l").select("a", "b"), rows, of, percent, "join-rest")
     final, final_path = components(first.union(second).distinct(), "join")
     drop(spark, lists_path, named_path, labels_path, *first_paths, *second_paths)
     return of, final.select(F.col("node").alias("cls"), "label"), [of_path, final_path]
