@@ -11,6 +11,7 @@ QUERIES: dict[str, tuple[str, str]] = {
     "op1_ngram_jaccard_join": ("ngramjoin", "op1_ngram_jaccard_join"),
     "op2_best_fit_packing": ("packing", "op2_best_fit_packing"),
     "op3_toxicity": ("toxicity", "op3_toxicity"),
+    "op4_lm_scoring": ("kneser", "op4_lm_scoring"),
     "op5_benchmark_decontamination": ("decontam", "op5_benchmark_decontamination"),
     "op6_html_extraction": ("html", "op6_html_extraction"),
     "op7_quality": ("quality", "op7_quality"),
