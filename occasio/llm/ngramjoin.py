@@ -285,14 +285,14 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Data
     labels, labels_path = components(first, "join-star")
     # Between components: lists whose classes are in more than one.
     named = lists.join(labels.select(F.col("node").alias("cls"), F.col("label").alias("comp")), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    mixed = named.groupBy(*span).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(*span)
-    named, named_path = materialize(named.join(mixed, span), "join-mixed")
-    sides = [named.select(*span, *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "meta", "comp", "place")]) for s in "ab"]
+    # Lists with the same classes, as the shingles of one passage have, are taken once, with their number as weight.
+    sets = named.groupBy(*span).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"))
+    once = sets.where("lo < hi").groupBy("low", "high", "size", "x", "y").agg(F.min("token").alias("token"), F.count("*").alias("weight"))
+    named, named_path = materialize(named.join(once.select(*span, "weight"), span).select(*span, "weight", "cls", "meta", "comp"), "join-mixed")
+    sides = [named.select(*span, "weight", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "meta", "comp")]) for s in "ab"]
     n, m, l = _n("meta_a"), _n("meta_b"), F.least(_l("meta_a"), _l("meta_b"))  # noqa: E741
-    spare = l - _overlap(n, m, percent)
     pair = (F.col("cls_a") < F.col("cls_b")) & (F.col("comp_a") != F.col("comp_b")) & (F.greatest(n, m) * percent <= F.least(n, m) * 100)
-    near = (F.col("place_a") < n + spare) & (F.col("place_b") < m + spare)
-    counted = sides[0].join(sides[1], span).where(pair & near).groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).agg(F.count("*").alias("k"), F.first(l).alias("l"))
+    counted = sides[0].join(sides[1].drop("weight"), span).where(pair).groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).agg(F.sum("weight").alias("k"), F.first(l).alias("l"))
     second, second_paths = verify(counted.where("k >= l").select("a", "b"), rows, of, percent, "join-rest")
     final, final_path = components(first.union(second).distinct(), "join")
     drop(spark, lists_path, named_path, labels_path, *first_paths, *second_paths)
