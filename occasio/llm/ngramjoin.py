@@ -22,7 +22,9 @@ Copies and near copies, in groups of any size, make no quadratic work:
 * in each posting list every class meets only the list's hub at first, the class whose prefix is the most common, so
   the likely original of a group; classes that share enough postings with their best hub are verified against it, and
   links make components;
-* candidates are then counted only between different components, over all postings; all that qualify are verified.
+* candidates then come only from lists with several components, and classes that share too little in such lists are
+  dropped again; a pair needs a shingle in common among the first n - o + 1 and m - o + 1, and l in its prefixes, to be
+  verified, and all that qualify are verified.
 
 A pair that is never verified is thus one within a component, or one that shares too few postings to link. Posting
 lists that the sketch shows to be long are dealt over several tasks by class when they are first gathered.
@@ -238,25 +240,45 @@ def _overlap(n: Column, m: Column, percent: int) -> Column:
     return _up((n + m) * percent, 100 + percent)
 
 
+def _enough(n: Column, m: Column, l: Column, percent: int) -> Column:  # noqa: E741
+    """Whether a class of n, with its listed ``places``, can link with a partner of m or more: of the first
+    n - o(n, m) + q shingles at least q must be listed, for q from 1 to the least l of the two (by powers of 2), so the
+    q-th of the ascending ``places`` is one of those."""
+    most = F.least(l, F.greatest(F.lit(1), F.floor(m / 16))).cast("int")
+    levels = F.concat(F.filter(F.array(*[F.lit(1 << i) for i in range(24)]), lambda q: q < most), F.array(most))
+    before = (n - _overlap(n, m, percent)).cast("int")
+    return F.forall(levels, lambda q: F.coalesce(F.get("places", q - 1) < before + q, F.lit(False)))
+
+
+def _between(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows (token, low, high, meta, cls, place, comp) of lists with two components, of classes that can link with
+    another component by what such lists hold, given the least size in them."""
+    span = ["token", "low", "high"]
+    mixed = rows.groupBy(*span).agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(_n("meta")).alias("least")).where("c0 < c1").select(*span, "least")
+    here = rows.join(mixed, span)
+    able = here.groupBy("cls", "low", "high").agg(F.first("meta").alias("meta"), F.min("least").alias("least"), F.sort_array(F.collect_list("place")).alias("places"))
+    n = _n("meta")
+    able = able.where(_enough(n, F.greatest(F.col("least"), _up(n * percent, 100)), _l("meta"), percent)).select("cls", "low", "high")
+    return here.drop("least").join(able, ["cls", "low", "high"], "left_semi")
+
+
 def _live(lists: DataFrame, percent: int) -> DataFrame:
     """(token, low, high, meta, cls, place): the lists by ranges of the lesser and the greater size, without classes
     that can link with none in the other range.
 
     Ranges grow by a tenth. A class of n stands in a list for a range that begins at m if its place is before
-    n - o(n, m) + l, and for the range at all if so many of its listed shingles do as the least l of partners there.
+    n - o(n, m) + l, and for the range at all if enough of its listed shingles do (:func:`_enough`).
     """
     width = math.log(1.1)
     of = lambda n: F.floor(F.log(n.cast("double")) / width).cast("int")
     n, l = _n("meta"), _l("meta")  # noqa: E741
     smallest = _up(n * percent, 100)
     ranges = F.sequence(of(smallest), of(F.floor(n * 100 / percent)))
-    classes_ = lists.groupBy("cls").agg(F.first("meta").alias("meta"), F.collect_list("place").alias("places"))
+    classes_ = lists.groupBy("cls").agg(F.first("meta").alias("meta"), F.sort_array(F.collect_list("place")).alias("places"))
 
     def bound(r: Column) -> Column:
         m = F.greatest(smallest, F.ceil(F.exp(r * width) - 1e-6).cast("long"))
-        enough = F.least(l, F.greatest(F.lit(1), F.floor(m / 16)))
-        first = n - _overlap(n, m, percent) + l
-        return F.struct(r.alias("r"), first.alias("first"), (F.size(F.filter("places", lambda p: p < first)) >= enough).alias("ok"))
+        return F.struct(r.alias("r"), (n - _overlap(n, m, percent) + l).alias("first"), _enough(n, m, l, percent).alias("ok"))
 
     able = classes_.select("cls", F.filter(F.transform(ranges, bound), lambda x: x["ok"]).alias("ranges")).where("size(ranges) > 0")
     rows = lists.join(able, "cls").withColumn("own", of(n)).select("token", "meta", "cls", "place", "own", F.explode("ranges").alias("x")).where("place < x.first")
@@ -285,15 +307,23 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Data
     labels, labels_path = components(first, "join-star")
     # Between components: lists whose classes are in more than one.
     named = lists.join(labels.select(F.col("node").alias("cls"), F.col("label").alias("comp")), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    # Lists with the same classes, as the shingles of one passage have, are taken once, with their number as weight.
-    sets = named.groupBy(*span).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"))
-    once = sets.where("lo < hi").groupBy("low", "high", "size", "x", "y").agg(F.min("token").alias("token"), F.count("*").alias("weight"))
-    named, named_path = materialize(named.join(once.select(*span, "weight"), span).select(*span, "weight", "cls", "meta", "comp"), "join-mixed")
-    sides = [named.select(*span, "weight", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "meta", "comp")]) for s in "ab"]
-    n, m, l = _n("meta_a"), _n("meta_b"), F.least(_l("meta_a"), _l("meta_b"))  # noqa: E741
+    # Lists of the same classes, as the shingles of one passage have, are taken once, with a class's earliest place.
+    named = _between(_between(named, percent), percent)
+    sets = named.groupBy(*span).agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"))
+    key = ["low", "high", "size", "x", "y"]
+    named = named.join(sets, span).groupBy(*key, "cls").agg(F.first("meta").alias("meta"), F.first("comp").alias("comp"), F.min("place").alias("place"))
+    named, named_path = materialize(named, "join-mixed")
+    sides = [named.select(*key, *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "meta", "comp", "place")]) for s in "ab"]
+    n, m = _n("meta_a"), _n("meta_b")
+    spare = 1 - _overlap(n, m, percent)
     pair = (F.col("cls_a") < F.col("cls_b")) & (F.col("comp_a") != F.col("comp_b")) & (F.greatest(n, m) * percent <= F.least(n, m) * 100)
-    counted = sides[0].join(sides[1].drop("weight"), span).where(pair).groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).agg(F.sum("weight").alias("k"), F.first(l).alias("l"))
-    second, second_paths = verify(counted.where("k >= l").select("a", "b"), rows, of, percent, "join-rest")
+    early = (F.col("place_a") < n + spare) & (F.col("place_b") < m + spare)
+    pairs = sides[0].join(sides[1], key).where(pair & early).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
+    # A pair that shares one early shingle must share as many as the lesser l asks for.
+    prefix = lists.select("cls", "token", "meta").distinct().groupBy("cls").agg(F.first("meta").alias("meta"), F.collect_list("token").alias("tokens"))
+    x, y = (prefix.select(F.col("cls").alias(s), F.col("meta").alias(f"meta_{s}"), F.col("tokens").alias(f"tokens_{s}")) for s in "ab")
+    more = pairs.join(x, "a").join(y, "b").where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= F.least(_l("meta_a"), _l("meta_b"))).select("a", "b")
+    second, second_paths = verify(more, rows, of, percent, "join-rest")
     final, final_path = components(first.union(second).distinct(), "join")
     drop(spark, lists_path, named_path, labels_path, *first_paths, *second_paths)
     return of, final.select(F.col("node").alias("cls"), "label"), [of_path, final_path]
