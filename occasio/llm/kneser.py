@@ -36,16 +36,20 @@ from ._io import materialize, table
 from ._text import U64, mix, pieces, words
 
 END = U64(0x5BD1E995A7C3F00D)
-BATCH_BYTES = 3 << 20
-FLUSH = 1 << 20
+BATCH_BYTES = 1 << 20
+FLUSH = 1 << 19
+SHARDS_A_TASK = 4
 _mapped: dict[str, tuple] = {}
 
 
 def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     if not keys:
         return np.zeros(0, U64), np.zeros(0, np.int64)
-    k, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return k, np.bincount(at, np.concatenate(counts), len(k)).astype(np.int64)
+    k, c = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(k, kind="stable")
+    k, c = k[order], c[order]
+    first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
+    return k[first], np.add.reduceat(c, first) if len(k) else c
 
 
 # --- files that executors map into memory
@@ -118,7 +122,7 @@ def _count_words(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.
             c[np.searchsorted(k, END)] += int(train.sum()) - 1
             keys.append(k), counts.append(c)
             held += len(k)
-            if held > 4 * FLUSH:
+            if held > 2 * FLUSH:
                 k, c = _merge(keys, counts)
                 keys, counts, held = [k], [c], len(k)
                 if held > FLUSH:
@@ -439,26 +443,27 @@ def fit_and_score(docs: DataFrame, held_out, shards: int | None = None) -> tuple
     are rows of their own. Without training rows all words are unknown and equally likely.
     """
     spark = docs.sparkSession
-    shards = shards or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shards = shards or SHARDS_A_TASK * tasks
     parts = 1 << (shards - 1).bit_length()
     out = F.coalesce(held_out, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (~out).alias("train"), out.alias("held_out"))
 
-    counted = rows.mapInArrow(lambda b: _count_words(b, parts), "part int, keys binary, counts binary").repartition(shards, "part")
+    counted = rows.mapInArrow(lambda b: _count_words(b, parts), "part int, keys binary, counts binary").repartition(tasks, "part")
     vocabulary, vocabulary_path = materialize(counted.mapInArrow(_merge_words, "part int, keys binary, counts binary, n long, total long"), "lm-words")
     size, tokens = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
     if size + 2 >= 2**32:
         raise OverflowError("the vocabulary has more than 2**32 words")
     known = Vocabulary(Mapped(f"words-{uuid.uuid4().hex}", tuple(_ship(spark, vocabulary_path)), (("keys", "<u8"), ("counts", "<u4"))), size, tokens)
 
-    paired = rows.mapInArrow(lambda b: _pairs(b, known, shards), _PAIRS).repartition(shards, "shard")
+    paired = rows.mapInArrow(lambda b: _pairs(b, known, shards), _PAIRS).repartition(tasks, "shard")
     merged, _ = materialize(paired.mapInArrow(_merge_pairs, _SHARD), "lm-bigrams")
 
     stats, _ = materialize(merged.where("info is null").select("u", "w", "c").mapInArrow(lambda b: _statistics(b, known, shards, shards), "kind int, k long, c long, n1 long, n2 long, n3 long, ids binary, counts binary"), "lm-statistics")
     kinds = {r["k"]: r["c"] for r in stats.where("kind = 0").groupBy("k").agg(F.sum("c").alias("c")).collect()}  # five rows
     large = stats.where("kind = 1").groupBy("k").agg(*[F.sum(c).alias(c) for c in ("c", "n1", "n2", "n3")])
     contexts = {r["k"]: (r["c"], r["n1"], r["n2"], r["n3"]) for r in large.collect()}  # at most 8 a shard
-    ranged = stats.where("kind = 2").select("k", "ids", "counts").repartition(shards, "k")
+    ranged = stats.where("kind = 2").select("k", "ids", "counts").repartition(tasks, "k")
     continued, continued_path = materialize(ranged.mapInArrow(lambda b: _continuations(b, size, shards), "part int, n binary, n1 long, n2 long, n3 long, n4 long, more long"), "lm-continuations")
     bigrams = int(kinds.get(0, 0))
     filled = _fill(continued, continued_path, size, shards)
@@ -468,7 +473,7 @@ def fit_and_score(docs: DataFrame, held_out, shards: int | None = None) -> tuple
     model = Model(known, Mapped(f"continuations-{uuid.uuid4().hex}", tuple(_ship(spark, filled)), (("n", "<u4"),)), bigrams, discounts(*(int(kinds.get(k, 0)) for k in (1, 2, 3, 4))), d1, spare, contexts, shards)
 
     sums = merged.mapInArrow(lambda b: _score(b, model), "batch long, info binary, sums binary")
-    by_batch = sums.repartition(shards, "batch").sortWithinPartitions("batch")
+    by_batch = sums.repartition(tasks, "batch").sortWithinPartitions("batch")
     return by_batch.mapInArrow(_documents, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"), model
 
 
