@@ -364,4 +364,4 @@ def keep_one_of_each_group(docs: DataFrame, percent: int = PERCENT) -> DataFrame
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicate_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "cls")
+    return near_duplicate_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
