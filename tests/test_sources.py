@@ -124,3 +124,45 @@ def test_plan_reaches_the_scan(spark):
     plan = T.read_table(spark, f"{d}/orders.parquet", ["o_orderkey", "o_custkey"]).where("o_custkey = 3")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(o_custkey,3)" in plan and "o_orderdate" not in plan
     assert "WindowGroupLimit" in QUERIES["lift_profiles"](spark, d)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lifecycle(spark, tmp_path):
+    from occasio.plans import lifecycle as L
+
+    rows = []
+    for h in range(40):
+        for w in range(3):
+            kind = (h + w) % 2
+            rows += [(h, 10 * kind + (h + k) % 4, 10 + w) for k in range(3)]
+    vectors = spark.createDataFrame([(str(10 * k + i), [1.0 - k, float(k), 0.1 * (i == 0), 0.1 * (i == 1)]) for k in range(2) for i in range(4)], "tpnb string, embedding array<float>")
+    config = Config(knn_k=12, mutual_knn=False, min_graph_coverage=0.5, min_product_baskets=1, resolution=0.2)
+    run = L.train(spark, purchases(spark, rows), vectors, f"file://{tmp_path}", config)
+    assert run.baskets.count() == 120 and run.labels.where("label >= 0").count() == 120
+    by = {r["basket_id"]: r["label"] for r in run.labels.collect()}
+    kinds = {}
+    for b, label in by.items():
+        h, yw = (int(x) for x in b.split("_"))
+        kinds.setdefault(label, set()).add((h + yw) % 2)
+    assert all(len(v) == 1 for v in kinds.values())
+    again = L.train(spark, purchases(spark, rows), vectors, f"file://{tmp_path}", config)
+    assert sorted(again.labels.inputFiles()) == sorted(run.labels.inputFiles())
+    lookup = spark.createDataFrame([(str(i), f"p{i}", "d") for i in range(20)], "tpnb string, description string, department string")
+    described, log = L.describe("run1", run, lookup, config)
+    row = log.first()
+    assert row["run"] == "run1" and row["null_run"] == "run1-null" and row["excess"] > 0 and row["n_baskets_labelled"] == 120
+    assert described.summary.count() == len(kinds)
+    with pytest.raises(ValueError, match="%"):
+        L.cluster(run.vectors.select("basket_seq", "embedding"), "basket_seq", Config(min_graph_coverage=1.0), run.edges.limit(3))
+
+
+def test_export(spark, tmp_path):
+    cut = T.export_csv({"a": spark.range(3), "b": spark.range(9)}, f"{tmp_path}/x", cap=5)
+    assert cut == {"a": False, "b": True} and spark.read.option("header", True).csv(f"{tmp_path}/x/b").count() == 5
+    whole = T.union_runs({"r1": spark.range(2), "r0": spark.range(1)})
+    assert whole.columns[0] == "run" and whole.count() == 3
+
+
+def test_tables(spark):
+    T.create_table(spark.range(10).withColumn("w", F.col("id") % 3), "occasio_case_t1", bucket_by="w", buckets=2)
+    assert spark.table("occasio_case_t1").count() == 10
+    assert T.drop_tag(spark, "t1") == ["occasio_case_t1"]
