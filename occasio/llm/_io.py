@@ -21,11 +21,28 @@ def shared_root(spark: SparkSession) -> str:
     return _own_root[app]
 
 
-def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+BATCH_BYTES = 8 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """The frame, with the session's Arrow batches held to 8 MB (unless they already are smaller), so that what a
+    Python worker gets at once does not grow with the length of texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = df.sparkSession.conf
+    try:
+        now = int(conf.get(name, str(BATCH_BYTES + 1)))
+    except ValueError:
+        now = BATCH_BYTES + 1
+    if not 0 < now <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
+def materialize(df: DataFrame, tag: str, compression: str = "snappy") -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet in the shared folder and read it back. Returns the frame and its path."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/occasio-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._io import table
+from ._io import bounded, table
 from ._text import U64, Words, mix, pieces, words
 
 MAX_EDITS = 0.2
@@ -238,7 +238,7 @@ def contaminated(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS
     Documents or items without words match nothing; repeated rows each match; an empty table gives no rows. Narrow: no
     shuffle of the documents.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = []
     for block in _item_blocks(items):
         index = build_index(block, max_edits, recall)
@@ -259,7 +259,7 @@ def contaminated(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS
 def keep_uncontaminated(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS, recall: float = RECALL) -> DataFrame:
     """The rows, with all their columns, that no item contaminates."""
     column = docs.columns.index("text")
-    out = docs
+    out = bounded(docs)
     for block in _item_blocks(items):
         index = build_index(block, max_edits, recall)
 

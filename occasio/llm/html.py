@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._io import table
+from ._io import bounded, table
 
 MAX_DEPTH = 200
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -497,7 +497,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 got = [render(x) for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([t for t, _ in got], pa.string()), pa.array([s for _, s in got], pa.string()), pa.array([s.count("\n") + 1 if s else 0 for _, s in got], pa.int64())], names=["page_id", "title", "text", "n_lines"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).mapInArrow(run, "page_id long, title string, text string, n_lines long")
+    return bounded(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).mapInArrow(run, "page_id long, title string, text string, n_lines long")
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._io import materialize, table
+from ._io import bounded, materialize, table
 from ._text import U64, mix, pieces, words
 
 END = U64(0x5BD1E995A7C3F00D)
@@ -226,7 +226,7 @@ def _pairs(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, shards: in
                     first = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))
                     once = p[first]
                     occ = np.diff(np.append(first, len(p)))
-                    rows.append([s, key, _deltas(once >> U64(32)), _planes(once & U64(0xFFFFFFFF)), _planes(occ), doc[cut[s] : cut[s + 1]].tobytes(), flags, None])
+                    rows.append([s, key, _deltas(once >> U64(32)), _planes(once & U64(0xFFFFFFFF)), _planes(occ), _planes2(doc[cut[s] : cut[s + 1]]), flags, None])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
 
@@ -239,6 +239,14 @@ def _unplanes(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
+def _planes2(x: np.ndarray) -> bytes:
+    return x.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
+
+
+def _unplanes2(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(2, -1).T).view("<u2").ravel()
+
+
 def _deltas(x: np.ndarray) -> bytes:
     return _planes(np.diff(x.astype(np.int64), prepend=0))
 
@@ -268,7 +276,7 @@ def _merge_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, trained = [], []
         for _, u, w, occ, docs, train in parts:
             k = _undeltas(u).astype(U64) << U64(32) | _unplanes(w).astype(U64)
-            flags = np.unpackbits(np.frombuffer(train, np.uint8)).astype(np.int64)[np.frombuffer(docs, np.uint16)]
+            flags = np.unpackbits(np.frombuffer(train, np.uint8)).astype(np.int64)[_unplanes2(docs)]
             starts = np.concatenate(([0], np.cumsum(_unplanes(occ))[:-1])).astype(np.int64)
             keys.append(k), trained.append(np.add.reduceat(flags, starts))
         every = np.unique(np.concatenate(keys))
@@ -277,9 +285,9 @@ def _merge_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, t, (_, _, _, occ, d, _) in zip(keys, trained, parts):
             place = np.searchsorted(every, k)
             count[place] += t
-            at.append(np.diff(place, prepend=0)), occs.append(_unplanes(occ)), docs.append(np.frombuffer(d, np.uint16))
+            at.append(np.diff(place, prepend=0)), occs.append(_unplanes(occ)), docs.append(_unplanes2(d))
         table = np.array([(p[0], len(a), len(d)) for p, a, d in zip(parts, at, docs)], np.int64)
-        row = [shard, None, _deltas(every >> U64(32)), _planes(every & U64(0xFFFFFFFF)), _planes(count), _planes(np.concatenate(at)), _planes(np.concatenate(occs)), np.concatenate(docs).tobytes(), table.tobytes(), None]
+        row = [shard, None, _deltas(every >> U64(32)), _planes(every & U64(0xFFFFFFFF)), _planes(count), _planes(np.concatenate(at)), _planes(np.concatenate(occs)), _planes2(np.concatenate(docs)), table.tobytes(), None]
         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=names)
 
 
@@ -397,7 +405,7 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
                 yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([info], pa.binary()), pa.array([None], pa.binary())], names=["batch", "info", "sums"])
                 continue
             logs = np.log10(model.bigram(_undeltas(u), _unplanes(w).astype(np.int64), _unplanes(c).astype(np.int64)))
-            at, occ, docs, table = _unplanes(at), _unplanes(occ), np.frombuffer(docs, np.uint16), np.frombuffer(table, np.int64).reshape(-1, 3)
+            at, occ, docs, table = _unplanes(at), _unplanes(occ), _unplanes2(docs), np.frombuffer(table, np.int64).reshape(-1, 3)
             keys, out, a, d = [], [], 0, 0
             for key, n, m in table.tolist():
                 place = np.cumsum(at[a : a + n].astype(np.int64))
@@ -447,7 +455,7 @@ def fit_and_score(docs: DataFrame, held_out, shards: int | None = None) -> tuple
     shards = shards or SHARDS_A_TASK * tasks
     parts = 1 << (shards - 1).bit_length()
     out = F.coalesce(held_out, F.lit(False))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (~out).alias("train"), out.alias("held_out"))
+    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (~out).alias("train"), out.alias("held_out"))
 
     counted = rows.mapInArrow(lambda b: _count_words(b, parts), "part int, keys binary, counts binary").repartition(tasks, "part")
     vocabulary, vocabulary_path = materialize(counted.mapInArrow(_merge_words, "part int, keys binary, counts binary, n long, total long"), "lm-words")
@@ -457,7 +465,7 @@ def fit_and_score(docs: DataFrame, held_out, shards: int | None = None) -> tuple
     known = Vocabulary(Mapped(f"words-{uuid.uuid4().hex}", tuple(_ship(spark, vocabulary_path)), (("keys", "<u8"), ("counts", "<u4"))), size, tokens)
 
     paired = rows.mapInArrow(lambda b: _pairs(b, known, shards), _PAIRS).repartition(tasks, "shard")
-    merged, _ = materialize(paired.mapInArrow(_merge_pairs, _SHARD), "lm-bigrams")
+    merged, _ = materialize(paired.mapInArrow(_merge_pairs, _SHARD), "lm-bigrams", "zstd")
 
     stats, _ = materialize(merged.where("info is null").select("u", "w", "c").mapInArrow(lambda b: _statistics(b, known, shards, shards), "kind int, k long, c long, n1 long, n2 long, n3 long, ids binary, counts binary"), "lm-statistics")
     kinds = {r["k"]: r["c"] for r in stats.where("kind = 0").groupBy("k").agg(F.sum("c").alias("c")).collect()}  # five rows

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._io import drop, materialize, table
+from ._io import bounded, drop, materialize, table
 from ._text import U64, mix, pieces, raw, word_hashes, words
 
 MIN_WORDS = 50
@@ -214,7 +214,7 @@ def _delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, list[str]]:
     """(doc, fp, lines): the numbers of the lines to delete, for documents that have any; and the tables it reads."""
     spark = docs.sparkSession
-    texts = _keyed(docs).select("doc", "fp", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("text <> ''")
+    texts = _keyed(bounded(docs)).select("doc", "fp", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("text <> ''")
     lines, lines_path = materialize(texts.mapInArrow(_line_table, "doc long, fp long, h array<long>, w array<int>").dropDuplicates(KEY), "lines")
     array, paths = suffix_array(lines, min_words)
     # Intervals: neighbours in the array whose common prefix reaches min_words words share its fingerprint.

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import webp
-from ._io import table
+from ._io import bounded, table
 from ._text import pieces, raw
 
 UNIT = 64
@@ -82,7 +82,7 @@ def media_features(docs: DataFrame) -> DataFrame:
     their doc_id, null or repeated ones too. One narrow stage: no shuffle, memory for a few megabytes of texts or
     one text at a time.
     """
-    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(_round_trip, SCHEMA)
+    return bounded(docs).select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(_round_trip, SCHEMA)
 
 
 def encode_column(docs: DataFrame) -> DataFrame:
@@ -95,7 +95,7 @@ def encode_column(docs: DataFrame) -> DataFrame:
                 padded = [pad(data[off[i] : off[i + 1]].tobytes()) for i in range(part.num_rows)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([store(x) for x in padded], pa.binary()), pa.array([len(x) for x in padded], pa.int64())], names=["doc_id", "media", "payload_bytes"])
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(write, "doc_id long, media binary, payload_bytes long")
+    return bounded(docs).select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(write, "doc_id long, media binary, payload_bytes long")
 
 
 def decode_column(media: DataFrame) -> DataFrame:
@@ -117,7 +117,7 @@ def decode_column(media: DataFrame) -> DataFrame:
                     names=["doc_id", "width", "height", "pixels", "error"],
                 )
 
-    return media.select(media["doc_id"].cast("long"), "media").mapInArrow(read, "doc_id long, width int, height int, pixels binary, error string")
+    return bounded(media).select(media["doc_id"].cast("long"), "media").mapInArrow(read, "doc_id long, width int, height int, pixels binary, error string")
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._io import drop, materialize, table
+from ._io import bounded, drop, materialize, table
 from ._text import U64, mix, pieces, shingle_sets, words
 from ._tree import bloom, may_hold, merged
 
@@ -291,7 +291,7 @@ def _live(lists: DataFrame, percent: int) -> DataFrame:
 def ngram_join(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, list[str]]:
     """Documents with their classes, and (cls, label) of the classes that have links; and the tables they read."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     of, of_path = materialize(classes(rows.withColumn("fp", F.xxhash64(F.coalesce("text", F.lit(""))))), "join-classes")
     sketch = frequency_sketch(rows)
     dealt = postings(rows, sketch, percent).repartition("token", "salt").sortWithinPartitions("token", "salt", "meta", "cls")

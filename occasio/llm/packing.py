@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._io import table
+from ._io import bounded, table
 from ._text import pieces, words
 
 CAPACITY = 2048
@@ -148,7 +148,7 @@ def best_fit_pack(docs: DataFrame, *, capacity: int = CAPACITY, max_per_source:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     of = F.col(cluster).cast("long") if cluster else F.xxhash64(text)
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), source.alias("source"), F.coalesce(of, F.xxhash64(text)).alias("cluster")).mapInArrow(_measure, "doc_id long, n_words long, source string, cluster long")
+    sized = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), source.alias("source"), F.coalesce(of, F.xxhash64(text)).alias("cluster")).mapInArrow(_measure, "doc_id long, n_words long, source string, cluster long")
     blocks = max(1, -(-docs.count() // block_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

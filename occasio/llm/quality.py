@@ -15,19 +15,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._io import drop, materialize, table
+from ._io import bounded, drop, materialize, table
 from ._text import _UPPER, U64, Words, pieces, sums, tokens
+from ._tree import merged
 from .toxicity import SAMPLE_ROWS, _labelled
 
 BUCKETS = 1 << 14
 DIM = 32
 WINDOW = 2
-BLOCKS = 16
-FAN_IN = 256
 PIECE = 1 << 20
 
 
@@ -45,48 +43,19 @@ def _context(w: Words) -> np.ndarray:
     return np.bincount(np.concatenate(cells), np.concatenate(signs), BUCKETS * DIM)
 
 
-def _blocks(total: np.ndarray, part: int) -> pa.RecordBatch:
-    data = [x.tobytes() for x in total.astype(np.float64).reshape(BLOCKS, -1)]
-    return pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS)), pa.array([part] * BLOCKS, pa.int64()), pa.array(data, pa.binary())], names=["block", "part", "data"])
-
-
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _gather(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
     total = np.zeros(BUCKETS * DIM)
     for batch in batches:
         for part in pieces(batch, limit=PIECE):
             w, _ = tokens(part.column(0))
             if len(w.hashes) > 1:
                 total += _context(w)
-    yield _blocks(total, TaskContext.get().partitionId())
-
-
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums by (block, part / FAN_IN), reading row after row."""
-    total: dict[tuple[int, int], np.ndarray] = {}
-    for batch in batches:
-        for block, part, data in zip(*(c.to_pylist() for c in batch.columns)):
-            key, x = (block, part // FAN_IN), np.frombuffer(data)
-            total[key] = total[key] + x if key in total else x.copy()
-    keys = sorted(total)
-    yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in keys], pa.int64()), pa.array([p for _, p in keys], pa.int64()), pa.array([total[k].tobytes() for k in keys], pa.binary())], names=["block", "part", "data"])
+    return total
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
-    """(BUCKETS, DIM) unit context vectors over all of ``docs``: one table a task, summed as a tree of fan-in 256."""
-    schema = "block long, part long, data binary"
-    text = docs.select(F.col("text").cast("string").alias("text"))
-    n = text.rdd.getNumPartitions()
-    parts = text.mapInArrow(_gather, schema)
-    while True:
-        parts = parts.repartition(min(BLOCKS * -(-n // FAN_IN), 4096), "block", F.floor(F.col("part") / FAN_IN)).mapInArrow(_add, schema)
-        n = -(-n // FAN_IN)
-        if n == 1:
-            break
-    rows = parts.collect()  # BLOCKS rows, 4 MB
-    total = np.zeros((BLOCKS, BUCKETS * DIM // BLOCKS))
-    for r in rows:
-        total[r["block"]] += np.frombuffer(r["data"])
-    v = total.reshape(BUCKETS, DIM)
+    """(BUCKETS, DIM) unit context vectors over all of ``docs``: one table of 4 MB a task, summed as a tree."""
+    v = merged(bounded(docs).select(F.col("text").cast("string").alias("text")), _gather, BUCKETS * DIM).reshape(BUCKETS, DIM)
     v = np.sign(v) * np.log1p(np.abs(v))
     return (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
@@ -196,7 +165,7 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
                 p = model.probabilities(features(part.column(1), model.vectors))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p, pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._io import drop, materialize, table
+from ._io import bounded, drop, materialize, table
 from ._text import U64, Words, pieces, prefix_hashes, terms
 
 SAMPLE_ROWS = 20_000
@@ -112,7 +112,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, label: str, sample_rows: int)
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample_rows)
     )
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(y), "doc_id")
+    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(y), "doc_id")
     return rows.groupBy("text").agg(F.max("y").alias("y"))
 
 
@@ -236,7 +236,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
                 got = list(_scan(part.column(1), model))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x for x, _ in got], pa.float64()), pa.array([p for _, p in got], _ARROW_PASSAGE)], names=["doc_id", "score", "passages"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id long, score double, passages array<{_PASSAGE}>")
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id long, score double, passages array<{_PASSAGE}>")
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, limit: float = 0.5) -> DataFrame:
@@ -248,7 +248,7 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, limit: float = 0.5) -> Dat
             for part in pieces(batch):
                 yield part.filter(pa.array([x < limit for x, _ in _scan(part.column(column), model)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
