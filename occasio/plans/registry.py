@@ -633,13 +633,15 @@ def twin_jaccard(spark, d):
 SCORE_ROUNDED = ("largest_share", "median_max_lift", "pct_lift_over_3", "median_twin_jaccard", "pct_thin_profiles")
 
 
-def _score(spark, d, run: str, labels: DataFrame) -> DataFrame:
-    return R.scorecard(run, labels, C.settled(_profiles(spark, d, labels)), C.settled(_enriched(spark, d, labels)))
+def _score(spark, d, run: str, labels: DataFrame, baskets: DataFrame) -> DataFrame:
+    counts = R.state_product_counts(baskets, labels)
+    profile = C.settled(R.profiles(counts, X.part_lookup(spark, d), 10, MIN_PRODUCT_BASKETS))
+    return R.scorecard(run, labels, profile, C.settled(R.enriched(R.summary(baskets, labels), profile)))
 
 
 @query
 def scorecard(spark, d):
-    return rounded(_score(spark, d, "run1", C.settled(X.labels(spark, d))), *SCORE_ROUNDED)
+    return rounded(_score(spark, d, "run1", C.settled(X.labels(spark, d)), C.settled(X.baskets(spark, d))), *SCORE_ROUNDED)
 
 
 def _null_labels(spark, d) -> DataFrame:
@@ -658,13 +660,14 @@ def permutation_null_seeded(spark, d):
 
 @query
 def null_scorecard(spark, d):
-    return rounded(_score(spark, d, "null1", _null_labels(spark, d)), *SCORE_ROUNDED)
+    return rounded(_score(spark, d, "null1", _null_labels(spark, d), C.settled(X.baskets(spark, d))), *SCORE_ROUNDED)
 
 
 @query
 def excess(spark, d):
-    row = C.settled(_score(spark, d, "run1", C.settled(X.labels(spark, d))))
-    null = C.settled(_score(spark, d, "null1", _null_labels(spark, d)))
+    b, labels = C.settled(X.baskets(spark, d)), C.settled(X.labels(spark, d))
+    row = C.settled(_score(spark, d, "run1", labels, b))
+    null = C.settled(_score(spark, d, "null1", C.settled(R.permuted(labels, None)), b))
     return rounded(R.with_null(row, null, warn=lambda _: None).select("run", "null_run", "median_max_lift", "null_median_max_lift", "excess"), "median_max_lift", "null_median_max_lift", "excess")
 
 
