@@ -8,7 +8,7 @@ Tokens are words (A-Z as a-z) and one end a document; a word's context is the wo
 2. Bigrams: tasks send, for each batch of documents, the sorted (context, word) ids that occur, and in which documents.
    A shard merges what it gets into sorted arrays of its bigrams with their training counts, and keeps for each batch
    the places of its bigrams. Shards go by context, so that a context's statistics are at hand; a context with a large
-   share of all tokens is dealt by bigram, and its statistics, some numbers for each such context, are added up.
+   share of all tokens is dealt over as many shards as it fills, and its statistics, some numbers each, are added up.
 3. Counts of counts give the discounts (Chen and Goodman, 1998). Continuation counts, in how many contexts a word
    occurs, are summed by ranges of ids into a second memory-mapped array.
 4. Shards score their bigrams, add up each document's logarithms, and these sums are added by batch.
@@ -38,7 +38,8 @@ from ._text import U64, mix, pieces, words
 END = U64(0x5BD1E995A7C3F00D)
 BATCH_BYTES = 1 << 20
 FLUSH = 1 << 19
-SHARDS_A_TASK = 4
+SHARDS_A_TASK = 2
+HELD = 1 << 21
 _mapped: dict[str, tuple] = {}
 
 
@@ -171,15 +172,17 @@ class Vocabulary:
         return np.where(known, at, self.size)[back], c[back]
 
 
-def _shard(u: np.ndarray, w: np.ndarray, hot: np.ndarray, shards: int) -> np.ndarray:
-    by = mix(u.astype(U64) + U64(1))
-    both = mix(by + w.astype(U64))
-    return (np.where(hot, both, by) % U64(shards)).astype(np.int64)
+def _spread(vocabulary: Vocabulary, u: np.ndarray, count: np.ndarray, shards: int) -> np.ndarray:
+    """Over how many shards a context is dealt: one for each half of a shard's tokens that it has, so that all contexts
+    together have a few pieces a shard; the start and the unknown word over all."""
+    pieces_ = np.minimum(1 + count * 2 * shards // max(vocabulary.tokens, 1), shards)
+    return np.where(u >= vocabulary.size, shards, pieces_)
 
 
-def _hot(vocabulary: Vocabulary, u: np.ndarray, count: np.ndarray, shards: int) -> np.ndarray:
-    """Contexts dealt by bigram: the start, the unknown word, and words with over an eighth of a shard's tokens."""
-    return (u >= vocabulary.size) | (count * 8 * shards > vocabulary.tokens)
+def _shard(u: np.ndarray, w: np.ndarray, spread: np.ndarray, shards: int) -> np.ndarray:
+    by = mix(u.astype(U64) + U64(1))
+    both = mix(by + w.astype(U64))
+    return ((by % U64(shards) + both % spread.astype(U64)) % U64(shards)).astype(np.int64)
 
 
 _PAIRS = "shard int, batch long, u binary, w binary, occ binary, docs binary, train binary, info binary"
@@ -215,7 +218,7 @@ def _pairs(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, shards: in
                     out.write_batch(info)
                 rows = [[key % shards, key, None, None, None, None, None, sink.getvalue().to_pybytes()]]
                 pair = u.astype(U64) << U64(32) | ids.astype(U64)
-                shard = _shard(u, ids, _hot(vocabulary, u, cu, shards), shards)
+                shard = _shard(u, ids, _spread(vocabulary, u, cu, shards), shards)
                 doc = np.repeat(np.arange(part.num_rows, dtype=np.uint16), n)
                 order = np.lexsort((pair, shard))
                 pair, shard, doc = pair[order], shard[order], doc[order]
@@ -308,7 +311,7 @@ def _statistics(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, range
             if len(c):
                 first = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1])))
                 totals = [np.add.reduceat(x.astype(np.int64), first) for x in (c, c == 1, c == 2, c >= 3)]
-                big = _hot(vocabulary, u[first], _counts_of(vocabulary, u[first]), shards)
+                big = _spread(vocabulary, u[first], _counts_of(vocabulary, u[first]), shards) > 1
                 rows += [[1, int(u[first][i]), *(int(t[i]) for t in totals), None, None] for i in np.flatnonzero(big)]
                 ids, n = np.unique(w, return_counts=True)
                 cut = np.searchsorted(ids, np.arange(ranges + 1) * width)
@@ -378,7 +381,7 @@ class Model:
         first = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1])))
         of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(u))))
         total, once, twice, more = (np.add.reduceat(x.astype(np.int64), first) for x in (c, c == 1, c == 2, c >= 3))
-        big = _hot(self.vocabulary, u[first], _counts_of(self.vocabulary, u[first]), self.shards)
+        big = _spread(self.vocabulary, u[first], _counts_of(self.vocabulary, u[first]), self.shards) > 1
         for i in np.flatnonzero(big).tolist():
             total[i], once[i], twice[i], more[i] = self.contexts.get(int(u[first][i]), (0, 0, 0, 0))
         total = total[of].astype(np.float64)
@@ -397,7 +400,14 @@ def _discount(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    """(batch, info, sums): sums of log10 p by document of each batch, from each shard; the batch's facts as they are."""
+    """(batch, info, sums): sums of log10 p by document of each batch, added up over a task's shards as far as ``HELD``
+    numbers go; the batch's facts as they are."""
+    held: dict[int, np.ndarray] = {}
+
+    def flush() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([None] * len(held), pa.binary()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["batch", "info", "sums"])
+
+    size = 0
     for batch in batches:
         for i in range(batch.num_rows):
             _, key, u, w, c, at, occ, docs, table, info = (x[i].as_py() for x in batch.columns)
@@ -406,15 +416,20 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
                 continue
             logs = np.log10(model.bigram(_undeltas(u), _unplanes(w).astype(np.int64), _unplanes(c).astype(np.int64)))
             at, occ, docs, table = _unplanes(at), _unplanes(occ), _unplanes2(docs), np.frombuffer(table, np.int64).reshape(-1, 3)
-            keys, out, a, d = [], [], 0, 0
+            a = d = 0
             for key, n, m in table.tolist():
-                place = np.cumsum(at[a : a + n].astype(np.int64))
-                each = np.repeat(logs[place], occ[a : a + n])
+                each = np.repeat(logs[np.cumsum(at[a : a + n].astype(np.int64))], occ[a : a + n])
                 doc = docs[d : d + m]
-                out.append(np.bincount(doc, each, int(doc.max()) + 1).tobytes())
-                keys.append(key)
                 a, d = a + n, d + m
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([None] * len(keys), pa.binary()), pa.array(out, pa.binary())], names=["batch", "info", "sums"])
+                old = held.get(key, np.zeros(0))
+                held[key] = np.bincount(doc, each, max(int(doc.max()) + 1, len(old)))
+                held[key][: len(old)] += old
+                size += len(held[key]) - len(old)
+                if size > HELD:
+                    yield flush()
+                    held, size = {}, 0
+    if held:
+        yield flush()
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -467,14 +482,14 @@ def fit_and_score(docs: DataFrame, held_out, shards: int | None = None) -> tuple
     paired = rows.mapInArrow(lambda b: _pairs(b, known, shards), _PAIRS).repartition(tasks, "shard")
     merged, _ = materialize(paired.mapInArrow(_merge_pairs, _SHARD), "lm-bigrams", "zstd")
 
-    stats, _ = materialize(merged.where("info is null").select("u", "w", "c").mapInArrow(lambda b: _statistics(b, known, shards, shards), "kind int, k long, c long, n1 long, n2 long, n3 long, ids binary, counts binary"), "lm-statistics")
+    stats, _ = materialize(merged.where("info is null").select("u", "w", "c").mapInArrow(lambda b: _statistics(b, known, tasks, shards), "kind int, k long, c long, n1 long, n2 long, n3 long, ids binary, counts binary"), "lm-statistics")
     kinds = {r["k"]: r["c"] for r in stats.where("kind = 0").groupBy("k").agg(F.sum("c").alias("c")).collect()}  # five rows
     large = stats.where("kind = 1").groupBy("k").agg(*[F.sum(c).alias(c) for c in ("c", "n1", "n2", "n3")])
-    contexts = {r["k"]: (r["c"], r["n1"], r["n2"], r["n3"]) for r in large.collect()}  # at most 8 a shard
+    contexts = {r["k"]: (r["c"], r["n1"], r["n2"], r["n3"]) for r in large.collect()}  # some a shard
     ranged = stats.where("kind = 2").select("k", "ids", "counts").repartition(tasks, "k")
-    continued, continued_path = materialize(ranged.mapInArrow(lambda b: _continuations(b, size, shards), "part int, n binary, n1 long, n2 long, n3 long, n4 long, more long"), "lm-continuations")
+    continued, continued_path = materialize(ranged.mapInArrow(lambda b: _continuations(b, size, tasks), "part int, n binary, n1 long, n2 long, n3 long, n4 long, more long"), "lm-continuations")
     bigrams = int(kinds.get(0, 0))
-    filled = _fill(continued, continued_path, size, shards)
+    filled = _fill(continued, continued_path, size, tasks)
     n1, n2, n3, n4, more = (int(x or 0) for x in continued.agg(*[F.sum(c) for c in ("n1", "n2", "n3", "n4", "more")]).first())
     d1 = discounts(n1, n2, n3, n4)
     spare = (d1[0] * n1 + d1[1] * n2 + d1[2] * more) / bigrams if bigrams else 1.0
