@@ -38,7 +38,7 @@ from ._text import U64, mix, pieces, words
 END = U64(0x5BD1E995A7C3F00D)
 BATCH_BYTES = 1 << 20
 FLUSH = 1 << 19
-SHARDS_A_TASK = 2
+SHARDS_A_TASK = 4
 HELD = 1 << 21
 _mapped: dict[str, tuple] = {}
 
