@@ -166,3 +166,14 @@ def test_tables(spark):
     T.create_table(spark.range(10).withColumn("w", F.col("id") % 3), "occasio_case_t1", bucket_by="w", buckets=2)
     assert spark.table("occasio_case_t1").count() == 10
     assert T.drop_tag(spark, "t1") == ["occasio_case_t1"]
+
+
+def test_windowed_counts_of_a_stream(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("ts", "event_type", "value")
+    events.repartition(2).write.parquet(f"{tmp_path}/events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{tmp_path}/events")
+    q = scoring.event_counts(stream).writeStream.outputMode("complete").format("memory").queryName("weekly").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {(r["d"], r["event_type"]): r["n"] for r in spark.sql("select date(window.start) d, event_type, n from weekly").collect()}
+    want = {(r["d"], r["event_type"]): r["count"] for r in events.groupBy(F.to_date("ts").alias("d"), "event_type").count().collect()}
+    assert got == want
