@@ -4,7 +4,8 @@ A document is its sequence of lines (split at line feeds); a line's id is a fing
 at every line and end with their document. They are ranked by their first line, then by 2, 4, 8 ... lines: each round
 sorts the suffixes that are still tied by (rank, rank of the suffix that begins as many lines on), and a suffix's new
 rank is the place of the first suffix it ties with, so ranks are places in the suffix array (Larsson and Sadakane).
-A suffix leaves the rounds when it is alone, or when the lines compared hold ``min_words`` words.
+A suffix leaves the rounds when it is alone, or when neither its own ``min_words`` words nor those of an earlier suffix
+whose rank is made from its rank reach any further; near the end of a document it is ranked by the lines that are left.
 
 Neighbours in the suffix array whose longest common prefix holds at least ``min_words`` words form intervals. In each
 interval the first suffix, by (doc_id, text, line), is the original; from each other one the longest common prefix with
@@ -66,12 +67,29 @@ def _exact(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return mix(word_hashes(data, starts, ends) ^ (word_hashes(capital, starts, ends) * U64(_R)))
 
 
+def _reach(need: np.ndarray) -> np.ndarray:
+    """To how many lines (a power of two; 0: never read) each suffix of a document must be ranked for ``need`` lines of
+    every suffix to be compared: ranks by 2n lines read the rank by n lines of the suffix n lines on."""
+    reach = np.zeros(len(need), np.int64)
+    depth = 1
+    while depth < need.max(initial=0):
+        depth *= 2
+    while depth:
+        reach[(reach == 0) & (2 * need > depth) & (need > 0)] = depth  # need > depth / 2
+        longer = np.flatnonzero(reach >= 2 * depth) + depth
+        longer = longer[longer < len(need)]
+        reach[longer] = np.maximum(reach[longer], depth)
+        depth //= 2
+    return reach
+
+
 def _suffixes(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    """A row for each line: its id, how many lines hold min_words words from here on, and a fingerprint of those."""
+    """A row for each line: its id, how many lines hold min_words words from here on, a fingerprint of those, and to how
+    many lines it must be ranked."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 512):
             part = batch.slice(lo, 512)
-            cols: list[list[np.ndarray]] = [[], [], [], []]
+            cols: list[list[np.ndarray]] = [[], [], [], [], []]
             sizes = []
             for h, w in zip(part.column(2), part.column(3)):
                 h, w = h.values.to_numpy().view(U64), w.values.to_numpy()
@@ -90,11 +108,12 @@ def _suffixes(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.
                 end = np.minimum(end, n)
                 prefix = mix((total[end] - total[at]) * inverse[at] + (end - at).astype(U64))
                 sizes.append(n)
-                for c, x in zip(cols, (at, h.view(np.int64), np.where(enough, end - at, 0), prefix.view(np.int64))):
+                need = np.where(enough, end - at, 0)
+                for c, x in zip(cols, (at, h.view(np.int64), need, prefix.view(np.int64), _reach(need))):
                     c.append(x)
             take = pa.array(np.repeat(np.arange(part.num_rows), sizes))
-            at, h, need, prefix = (np.concatenate(c) for c in cols)
-            yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(at, pa.int32()), pa.array(h), pa.array(need, pa.int32()), pa.array(prefix)], names=["doc", "fp", "pos", "h", "need", "prefix"])
+            at, h, need, prefix, reach = (np.concatenate(c) for c in cols)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(at, pa.int32()), pa.array(h), pa.array(need, pa.int32()), pa.array(prefix), pa.array(reach, pa.int32())], names=["doc", "fp", "pos", "h", "need", "prefix", "reach"])
 
 
 def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,24 +190,24 @@ def suffix_array(lines: DataFrame, min_words: int) -> tuple[DataFrame, list[str]
     ``lines``: (doc, fp, h, w). Returns (doc, fp, pos, need, prefix, rank) and the tables it reads.
     """
     spark = lines.sparkSession
-    suffixes = lines.mapInArrow(lambda batches: _suffixes(batches, min_words), "doc long, fp long, pos int, h long, need int, prefix long")
-    first, paths = _place(suffixes.select(F.lit(0).cast("long").alias("a"), F.col("h").alias("b"), *PLACE, "need", "prefix"), ["b", *PLACE], "lines-rank1")
-    ranked = first.select(*PLACE, "need", "prefix", F.col("first_ab").alias("rank"), "tied")
+    suffixes = lines.mapInArrow(lambda batches: _suffixes(batches, min_words), "doc long, fp long, pos int, h long, need int, prefix long, reach int")
+    first, paths = _place(suffixes.select(F.lit(0).cast("long").alias("a"), F.col("h").alias("b"), *PLACE, "need", "prefix", "reach"), ["b", *PLACE], "lines-rank1")
+    ranked = first.select(*PLACE, "need", "prefix", "reach", F.col("first_ab").alias("rank"), "tied")
     alone, alone_path = materialize(ranked.where("not tied").select(*PLACE, "rank"), "lines-alone")
     live, live_path = materialize(ranked.where("tied"), "lines-live1")
     drop(spark, *paths)
     depth = 1
-    while not live.where(f"tied and need > {depth}").isEmpty():
-        active = F.col("tied") & (F.col("need") > depth)
+    while not live.where(f"tied and reach > {depth}").isEmpty():
+        active = F.col("tied") & (F.col("reach") > depth)
         ranks = alone.unionByName(live.select(*PLACE, "rank")).select("doc", "fp", (F.col("pos") - depth).alias("pos"), F.col("rank").alias("b"))
-        pairs = live.where(active).join(ranks, PLACE, "left").select(F.col("rank").alias("a"), F.coalesce("b", F.lit(-1)).alias("b"), *PLACE, "need", "prefix")
+        pairs = live.where(active).join(ranks, PLACE, "left").select(F.col("rank").alias("a"), F.coalesce("b", F.lit(-1)).alias("b"), *PLACE, "need", "prefix", "reach")
         done, paths = _place(pairs, ["a", "b", *PLACE], f"lines-rank{2 * depth}")
-        done = done.select(*PLACE, "need", "prefix", (F.col("a") + F.col("first_ab") - F.col("first_a")).alias("rank"), "tied")
+        done = done.select(*PLACE, "need", "prefix", "reach", (F.col("a") + F.col("first_ab") - F.col("first_a")).alias("rank"), "tied")
         now, now_path = materialize(live.where(~active).unionByName(done), f"lines-live{2 * depth}")
         drop(spark, live_path, *paths)
         live, live_path, depth = now, now_path, 2 * depth
     drop(spark, alone_path)
-    return live.where("need > 0").drop("tied"), [live_path]
+    return live.where("need > 0").drop("tied", "reach"), [live_path]
 
 
 def _delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +238,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFra
     array, paths = suffix_array(lines, min_words)
     # Intervals: neighbours in the array whose common prefix reaches min_words words share its fingerprint.
     order = array.select(F.lit(0).cast("long").alias("a"), F.col("prefix").alias("b"), *PLACE, "rank")
-    members, member_paths = _place(order, ["rank", *PLACE], "lines-intervals")
+    members, member_paths = _place(order, ["rank", "b", *PLACE], "lines-intervals")
     members = members.where("tied").select(*PLACE, F.col("first_ab").alias("interval"))
     origin = members.groupBy("interval").agg(F.min(F.struct(*PLACE)).alias("o"))
     copies = members.join(origin, "interval").where(F.struct(*PLACE) > F.col("o"))

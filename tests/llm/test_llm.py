@@ -725,6 +725,29 @@ def test_repeated_lines_are_deleted(spark):
         assert got[d][1] == "\n".join(x for i, x in enumerate(t.split("\n")) if i not in want[d])
 
 
+def test_runs_at_the_ends_of_documents_are_found(spark):
+    # Lines of 10 words; a run of 5 to 7 lines ends some documents and goes on in others, among near copies of itself.
+    rng = random.Random(12)
+    lines = [prose(rng, 10, 10**6) for _ in range(9)]
+    rows = []
+    for d in range(160):
+        n = rng.choice([5, 6, 7])
+        run = [lines[i] if rng.random() < 0.97 else lines[8] for i in range(n)]
+        head, tail = ([prose(rng, 4, 10**6) for _ in range(rng.randrange(3))] for _ in range(2))
+        rows.append((d, "\n".join(head + run + (tail if rng.random() < 0.4 else []))))
+    cut, starts = brute_lines(rows)
+    want = defaultdict(set)
+    for places in starts.values():
+        (o, j0), *later = sorted(places)
+        for k, i in later:
+            j = j0
+            while i < len(cut[k]) and j < len(cut[o]) and cut[k][i] == cut[o][j]:
+                want[k[0]].add(i)
+                i, j = i + 1, j + 1
+    got = {r["doc_id"]: set(r["deleted_lines"] or ()) for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    assert got == {d: want[d] for d, _ in rows}
+
+
 def test_lines_of_odd_rows(spark, odd, none):
     got = linededup.dedup_lines(odd)
     assert got.columns == [*odd.columns, "deleted_lines"] and got.count() == odd.count()
