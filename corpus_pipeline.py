@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated line runs of 50 words or more go, and documents of which nothing is left."""
-    out = linededup.dedup_lines(docs).where("deleted_lines is null or text <> ''").drop("deleted_lines")
+    out = linededup.dedup_lines(docs, nested=True).where("deleted_lines is null or text <> ''").drop("deleted_lines")
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns) if "n_chars" in docs.columns else out
 
 

@@ -11,6 +11,11 @@ Neighbours in the suffix array whose longest common prefix holds at least ``min_
 interval the first suffix, by (doc_id, text, line), is the original; from each other one the longest common prefix with
 the original, which is a maximal repeated run of lines, is deleted.
 
+``nested`` deletes every later copy of every repeated run of ``min_words`` words, whichever copy it repeats. Such a run
+is covered by the shortest prefixes with ``min_words`` words of the suffixes inside it, and by the shortest one that ends
+where it ends: so each suffix is also taken by its longer prefixes that hold fewer than ``min_words`` words after their
+first line (no more than lines in all), ranked as far as those go, and neighbours that share such a prefix form an interval of its own.
+
 Sorts break ties by position and are cut into ranges by place, so that a line that a third of all documents hold spreads
 over tasks; what crosses a boundary between tasks is settled from one small row a task. Rounds are tables in the shared
 folder.
@@ -67,53 +72,55 @@ def _exact(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return mix(word_hashes(data, starts, ends) ^ (word_hashes(capital, starts, ends) * U64(_R)))
 
 
-def _reach(need: np.ndarray) -> np.ndarray:
-    """To how many lines (a power of two; 0: never read) each suffix of a document must be ranked for ``need`` lines of
-    every suffix to be compared: ranks by 2n lines read the rank by n lines of the suffix n lines on."""
+def _reach(need: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """To how many lines (a power of two; 0: never read) each suffix must be ranked for ``need`` lines of every suffix
+    to be compared: ranks by 2n lines read the rank by n lines of the suffix n lines on. ``stop``: its document's end."""
     reach = np.zeros(len(need), np.int64)
     depth = 1
     while depth < need.max(initial=0):
         depth *= 2
     while depth:
-        reach[(reach == 0) & (2 * need > depth) & (need > 0)] = depth  # need > depth / 2
-        longer = np.flatnonzero(reach >= 2 * depth) + depth
-        longer = longer[longer < len(need)]
+        reach[(reach == 0) & (2 * need > depth)] = depth  # need > depth / 2
+        longer = np.flatnonzero(reach >= 2 * depth)
+        longer = longer[longer + depth < stop[longer]] + depth
         reach[longer] = np.maximum(reach[longer], depth)
         depth //= 2
     return reach
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    """A row for each line: its id, how many lines hold min_words words from here on, a fingerprint of those, and to how
-    many lines it must be ranked."""
+def _suffixes(batches: Iterator[pa.RecordBatch], min_words: int, nested: bool) -> Iterator[pa.RecordBatch]:
+    """A row for each line: its id, how many lines hold min_words words from here on, fingerprints of those and (nested) of
+    the longer prefixes that only end here, each one line longer, and to how many lines it must be ranked."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 512):
             part = batch.slice(lo, 512)
-            cols: list[list[np.ndarray]] = [[], [], [], [], []]
-            sizes = []
-            for h, w in zip(part.column(2), part.column(3)):
-                h, w = h.values.to_numpy().view(U64), w.values.to_numpy()
-                n = len(h)
-                power = np.full(n + 1, _R, U64)
-                power[0] = 1
-                power = np.multiply.accumulate(power)
-                inverse = np.full(n + 1, _RINV, U64)
-                inverse[0] = 1
-                inverse = np.multiply.accumulate(inverse)
-                total = np.concatenate((np.zeros(1, U64), np.cumsum(h * power[:n])))
-                seen = np.concatenate(([0], np.cumsum(w)))
-                end = np.searchsorted(seen, seen[:-1] + min_words)
-                at = np.arange(n)
-                enough = end <= n
-                end = np.minimum(end, n)
-                prefix = mix((total[end] - total[at]) * inverse[at] + (end - at).astype(U64))
-                sizes.append(n)
-                need = np.where(enough, end - at, 0)
-                for c, x in zip(cols, (at, h.view(np.int64), need, prefix.view(np.int64), _reach(need))):
-                    c.append(x)
+            h, w = (part.column(i).flatten().to_numpy() for i in (2, 3))
+            h, sizes = h.view(U64), part.column(2).value_lengths().to_numpy()
+            n = len(h)
+            power = np.full(n + 1, _R, U64)
+            power[0] = 1
+            power = np.multiply.accumulate(power)
+            inverse = np.full(n + 1, _RINV, U64)
+            inverse[0] = 1
+            inverse = np.multiply.accumulate(inverse)
+            total = np.concatenate((np.zeros(1, U64), np.cumsum(h * power[:n])))
+            seen = np.concatenate(([0], np.cumsum(w, dtype=np.int64)))
+            stop = np.repeat(np.cumsum(sizes), sizes)
+            at = np.arange(n)
+            end = np.searchsorted(seen, seen[:-1] + min_words)
+            enough = end <= stop
+            need = np.where(enough, end - at, 0)
+            far = np.maximum(need, np.minimum(np.searchsorted(seen, seen[1:] + min_words) - 1, stop) - at) if nested else need
+            far = np.where(enough, far, 0)
+            many = np.where(enough, far - need + 1, 0)
+            upto = np.cumsum(many)
+            begin = np.repeat(at, many)
+            end = begin + np.repeat(need, many) + np.arange(len(begin)) - np.repeat(upto - many, many)
+            prefix = mix((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(U64))
+            prefixes = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], upto)), pa.int32()), pa.array(prefix.view(np.int64)))
             take = pa.array(np.repeat(np.arange(part.num_rows), sizes))
-            at, h, need, prefix, reach = (np.concatenate(c) for c in cols)
-            yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(at, pa.int32()), pa.array(h), pa.array(need, pa.int32()), pa.array(prefix), pa.array(reach, pa.int32())], names=["doc", "fp", "pos", "h", "need", "prefix", "reach"])
+            pos = at - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(pos, pa.int32()), pa.array(h.view(np.int64)), pa.array(need, pa.int32()), prefixes, pa.array(_reach(far, stop), pa.int32())], names=["doc", "fp", "pos", "h", "need", "prefixes", "reach"])
 
 
 def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,15 +191,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "fp": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
 
 
-def suffix_array(lines: DataFrame, min_words: int) -> tuple[DataFrame, list[str]]:
+def suffix_array(lines: DataFrame, min_words: int, nested: bool = False) -> tuple[DataFrame, list[str]]:
     """Suffixes that share their first lines with another one up to ``min_words`` words, with their ranks.
 
-    ``lines``: (doc, fp, h, w). Returns (doc, fp, pos, need, prefix, rank) and the tables it reads.
+    ``lines``: (doc, fp, h, w). Returns (doc, fp, pos, need, prefixes, rank) and the tables it reads.
     """
     spark = lines.sparkSession
-    suffixes = lines.mapInArrow(lambda batches: _suffixes(batches, min_words), "doc long, fp long, pos int, h long, need int, prefix long, reach int")
-    first, paths = _place(suffixes.select(F.lit(0).cast("long").alias("a"), F.col("h").alias("b"), *PLACE, "need", "prefix", "reach"), ["b", *PLACE], "lines-rank1")
-    ranked = first.select(*PLACE, "need", "prefix", "reach", F.col("first_ab").alias("rank"), "tied")
+    suffixes = lines.mapInArrow(lambda batches: _suffixes(batches, min_words, nested), "doc long, fp long, pos int, h long, need int, prefixes array<long>, reach int")
+    first, paths = _place(suffixes.select(F.lit(0).cast("long").alias("a"), F.col("h").alias("b"), *PLACE, "need", "prefixes", "reach"), ["b", *PLACE], "lines-rank1")
+    ranked = first.select(*PLACE, "need", "prefixes", "reach", F.col("first_ab").alias("rank"), "tied")
     alone, alone_path = materialize(ranked.where("not tied").select(*PLACE, "rank"), "lines-alone")
     live, live_path = materialize(ranked.where("tied"), "lines-live1")
     drop(spark, *paths)
@@ -200,9 +207,9 @@ def suffix_array(lines: DataFrame, min_words: int) -> tuple[DataFrame, list[str]
     while not live.where(f"tied and reach > {depth}").isEmpty():
         active = F.col("tied") & (F.col("reach") > depth)
         ranks = alone.unionByName(live.select(*PLACE, "rank")).select("doc", "fp", (F.col("pos") - depth).alias("pos"), F.col("rank").alias("b"))
-        pairs = live.where(active).join(ranks, PLACE, "left").select(F.col("rank").alias("a"), F.coalesce("b", F.lit(-1)).alias("b"), *PLACE, "need", "prefix", "reach")
+        pairs = live.where(active).join(ranks, PLACE, "left").select(F.col("rank").alias("a"), F.coalesce("b", F.lit(-1)).alias("b"), *PLACE, "need", "prefixes", "reach")
         done, paths = _place(pairs, ["a", "b", *PLACE], f"lines-rank{2 * depth}")
-        done = done.select(*PLACE, "need", "prefix", "reach", (F.col("a") + F.col("first_ab") - F.col("first_a")).alias("rank"), "tied")
+        done = done.select(*PLACE, "need", "prefixes", "reach", (F.col("a") + F.col("first_ab") - F.col("first_a")).alias("rank"), "tied")
         now, now_path = materialize(live.where(~active).unionByName(done), f"lines-live{2 * depth}")
         drop(spark, live_path, *paths)
         live, live_path, depth = now, now_path, 2 * depth
@@ -230,34 +237,52 @@ def _delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cuts, pa.list_(pa.int32()))], names=["doc", "fp", "lines"])
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, list[str]]:
+def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of a document that runs of n lines from at on cover."""
+    for batch in batches:
+        cuts = []
+        for at, n in zip(batch.column(2), batch.column(3)):
+            at = at.values.to_numpy()
+            end = at + n.values.to_numpy()
+            edge = np.bincount(at, minlength=end.max() + 1) - np.bincount(end, minlength=end.max() + 1)
+            cuts.append(np.flatnonzero(np.cumsum(edge)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cuts, pa.list_(pa.int32()))], names=["doc", "fp", "lines"])
+
+
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, nested: bool = False) -> tuple[DataFrame, list[str]]:
     """(doc, fp, lines): the numbers of the lines to delete, for documents that have any; and the tables it reads."""
     spark = docs.sparkSession
     texts = _keyed(bounded(docs)).select("doc", "fp", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("text <> ''")
     lines, lines_path = materialize(texts.mapInArrow(_line_table, "doc long, fp long, h array<long>, w array<int>").dropDuplicates(KEY), "lines")
-    array, paths = suffix_array(lines, min_words)
+    array, paths = suffix_array(lines, min_words, nested)
     # Intervals: neighbours in the array whose common prefix reaches min_words words share its fingerprint.
-    order = array.select(F.lit(0).cast("long").alias("a"), F.col("prefix").alias("b"), *PLACE, "rank")
-    members, member_paths = _place(order, ["rank", "b", *PLACE], "lines-intervals")
-    members = members.where("tied").select(*PLACE, F.col("first_ab").alias("interval"))
+    order = array.select(*PLACE, "need", "rank", F.posexplode("prefixes").alias("more", "b"))
+    order = order.select(F.lit(0).cast("long").alias("a"), "b", *PLACE, (F.col("need") + F.col("more")).alias("n") if nested else F.lit(0).alias("n"), "rank")
+    members, member_paths = _place(order, ["n", "rank", "b", *PLACE], "lines-intervals")
+    members = members.where("tied").select(*PLACE, "n", F.col("first_ab").alias("interval"))
     origin = members.groupBy("interval").agg(F.min(F.struct(*PLACE)).alias("o"))
     copies = members.join(origin, "interval").where(F.struct(*PLACE) > F.col("o"))
-    runs = copies.groupBy("doc", "fp", F.col("o.doc").alias("doc0"), F.col("o.fp").alias("fp0")).agg(F.collect_list(F.struct("pos", F.col("o.pos").alias("pos0"))).alias("r"))
-    runs = runs.join(lines.select("doc", "fp", "h"), KEY).join(lines.select(F.col("doc").alias("doc0"), F.col("fp").alias("fp0"), F.col("h").alias("h0")), ["doc0", "fp0"])
-    gone = runs.select("doc", "fp", "h", "h0", F.col("r.pos").alias("at"), F.col("r.pos0").alias("at0")).mapInArrow(_delete, "doc long, fp long, lines array<int>")
-    gone = gone.groupBy(*KEY).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("lines"))
+    if nested:
+        runs = copies.groupBy(*KEY).agg(F.collect_list(F.struct("pos", "n")).alias("r"))
+        gone = runs.select("doc", "fp", F.col("r.pos").alias("at"), F.col("r.n").alias("n")).mapInArrow(_covered, "doc long, fp long, lines array<int>")
+    else:
+        runs = copies.groupBy("doc", "fp", F.col("o.doc").alias("doc0"), F.col("o.fp").alias("fp0")).agg(F.collect_list(F.struct("pos", F.col("o.pos").alias("pos0"))).alias("r"))
+        runs = runs.join(lines.select("doc", "fp", "h"), KEY).join(lines.select(F.col("doc").alias("doc0"), F.col("fp").alias("fp0"), F.col("h").alias("h0")), ["doc0", "fp0"])
+        gone = runs.select("doc", "fp", "h", "h0", F.col("r.pos").alias("at"), F.col("r.pos0").alias("at0")).mapInArrow(_delete, "doc long, fp long, lines array<int>")
+        gone = gone.groupBy(*KEY).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("lines"))
     gone, gone_path = materialize(gone, "lines-deleted")
     drop(spark, lines_path, *paths, *member_paths)
     return gone, [gone_path]
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, nested: bool = False) -> DataFrame:
     """The rows with all their columns, ``text`` without repeated runs, and ``deleted_lines`` (null: none).
 
     Only runs of at least ``min_words`` words count; of copies, the one with the least (doc_id, fingerprint of the text,
-    line number) stays. A null text stays null. Rows with equal doc_id and text are one document and get one result.
+    line number) stays. A later copy loses what it shares with the first one, or, ``nested``, what it shares with any
+    earlier one. A null text stays null. Rows with equal doc_id and text are one document and get one result.
     """
-    gone, _ = repeated_lines(docs, min_words)
+    gone, _ = repeated_lines(docs, min_words, nested)
     names = docs.columns
     keyed = _keyed(docs.select(F.struct(*names).alias("row"), "doc_id", "text")).select("row", "doc", "fp")
     out = keyed.join(gone.hint("shuffle_hash"), KEY, "left")
@@ -267,5 +292,5 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), nested=True)
     return out.select("doc_id", "text", F.coalesce(F.size("deleted_lines"), F.lit(0)).cast("long").alias("n_deleted"), F.array_join(F.col("deleted_lines").cast("array<string>"), ",").alias("deleted_lines"))

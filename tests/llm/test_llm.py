@@ -748,6 +748,36 @@ def test_runs_at_the_ends_of_documents_are_found(spark):
     assert got == {d: want[d] for d, _ in rows}
 
 
+def brute_runs(rows, min_words=50):
+    """Lines to delete, by doc_id: those of every later copy of any repeated run of min_words words."""
+    places, want = defaultdict(set), defaultdict(set)
+    for d, t in rows:
+        lines = t.split("\n")
+        for i in range(len(lines)):
+            n = 0
+            for j in range(i, len(lines)):
+                n += len(words(lines[j]))
+                if n >= min_words:
+                    places[tuple(lines[i : j + 1])].add((d, i))
+    for run, at in places.items():
+        for d, i in sorted(at)[1:]:
+            want[d].update(range(i, i + len(run)))
+    return want
+
+
+def test_every_later_copy_of_a_run_is_deleted(spark):
+    rng = random.Random(13)
+    x, y = prose(rng, 60, 10**6), [prose(rng, 9, 10**6) for _ in range(4)]
+    rows = [(0, "\n".join([x, prose(rng, 9, 10**6)])), (1, "\n".join([x, *y])), (2, "\n".join([x, *y])), (3, "\n".join([x, *y[:2], prose(rng, 9, 10**6)]))]
+    pool = [prose(rng, rng.choice([0, 1, 3, 12, 30, 70]), 10**6) for _ in range(9)]
+    rows += [(10 + d, "\n".join(rng.choice(pool) if rng.random() < 0.9 else prose(rng, 9) for _ in range(rng.randrange(1, 16)))) for d in range(120)]
+    rows += [(200 + d, rows[10 + d][1]) for d in range(5)] + [(300, "Some line\n" * 60)]
+    want = brute_runs(rows)
+    assert want[1] == {0} and want[2] == {0, 1, 2, 3, 4} and want[3] == {0, 1, 2}
+    got = {r["doc_id"]: set(r["deleted_lines"] or ()) for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), nested=True).collect()}
+    assert got == {d: want[d] for d, _ in rows}
+
+
 def test_lines_of_odd_rows(spark, odd, none):
     got = linededup.dedup_lines(odd)
     assert got.columns == [*odd.columns, "deleted_lines"] and got.count() == odd.count()
