@@ -8,7 +8,8 @@ alike, so that a rare word has the odds of the stem that tells most. Words whose
 ``odds_min`` (a language's words, say) weigh nothing.
 
 Scoring, on whole texts: every token scores its log-odds less a drift, so that the expected score of clean text is
-below zero. One linear scan (Ruzzo and Tompa, 1999) finds all maximal segments. Segment scores follow an
+below zero. One linear scan (Ruzzo and Tompa, 1999) finds all maximal segments: each candidate keeps a link to the one
+before it with a lower sum on its left, and a search follows links only, so it passes over a candidate once. Segment scores follow an
 extreme-value law (Karlin and Altschul, 1990): with lambda from the clean token distribution and K from the clean
 training documents, a segment of score S in n tokens has the E-value K n exp(-lambda S). Segments with an E-value up
 to ``e_max`` are passages; the document's evidence is the best sum statistic of its segments (Karlin and Altschul,
@@ -30,7 +31,6 @@ from ._io import bounded, drop, materialize, table
 from ._text import U64, Words, pieces, prefix_hashes, terms
 
 SAMPLE_ROWS = 20_000
-MAX_TERMS = 65_536
 STEMS = (4, 5, 6, 7, 8, 9)
 
 
@@ -62,16 +62,15 @@ class ToxicityModel:
                 out[i[more]] = self.weights[k[more]] - self.drift
         return out
 
-    def evidence(self, segments: list[tuple[int, int, float]], n: int) -> float:
-        """-ln of the chance that clean text of n tokens has segments that good (its best sum statistic)."""
-        best, total = 0.0, 0.0
-        base = math.log(max(self.k * n, 1e-12))
-        for r, s in enumerate(sorted((s for _, _, s in segments), reverse=True)[:32], 1):
-            total += self.lam * s - base
-            if total <= 0:
-                break
-            best = max(best, total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r) if r > 1 else total)
-        return best
+    def evidence(self, scores: np.ndarray, n: int) -> float:
+        """-ln of the chance that clean text of n tokens has segments of such scores (its best sum statistic)."""
+        total = np.cumsum(self.lam * np.sort(scores)[::-1] - math.log(max(self.k * n, 1e-12)))
+        total = total[total > 0]  # the terms fall: a sum that is not above zero never rises again
+        if not len(total):
+            return 0.0
+        r = np.arange(1, len(total) + 1)
+        factorial = np.cumsum(np.log(r))
+        return max(0.0, float((total - (r - 1) * np.log(total) + 2 * factorial - np.log(r))[1:].max(initial=total[0])))
 
     def probability(self, evidence: float) -> float:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.slope * evidence + self.bias))))
@@ -82,25 +81,30 @@ def _features(w: Words) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(np.arange(len(w.hashes)), w.hashes), *prefix_hashes(w, STEMS)]
 
 
-def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (start, end, score) of a sequence, by one linear scan."""
-    positive = np.flatnonzero(scores > 0)
-    if not len(positive):
-        return []
-    total = np.concatenate(([0.0], np.cumsum(scores)))
-    found: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum after
-    for i in positive.tolist():
+def _candidates(positive: list[int], total: np.ndarray) -> tuple[list[tuple[int, int, float, float, int]], int]:
+    """(start, end, sum before, sum after, link) of all maximal segments, and how many links were followed."""
+    found: list[tuple[int, int, float, float, int]] = []
+    steps = 0
+    for i in positive:
         start, end, low, high = i, i + 1, float(total[i]), float(total[i + 1])
+        j = len(found) - 1
         while True:
-            j = len(found) - 1
             while j >= 0 and found[j][2] >= low:
-                j -= 1
+                j = found[j][4]
+                steps += 1
             if j < 0 or found[j][3] >= high:
-                found.append((start, end, low, high))
+                found.append((start, end, low, high, j))
                 break
-            start, low = found[j][0], found[j][2]
+            start, _, low, _, link = found[j]
             del found[j:]
-    return [(s, e, high - low) for s, e, low, high in found]
+            j = link
+    return found, steps
+
+
+def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments (start, end, score) of a sequence, by one linear scan."""
+    found, _ = _candidates(np.flatnonzero(scores > 0).tolist(), np.concatenate(([0.0], np.cumsum(scores))))
+    return [(s, e, high - low) for s, e, low, high, _ in found]
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, label: str, sample_rows: int) -> DataFrame:
@@ -132,10 +136,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.bincount(at[toxic], minlength=len(keys))), pa.array(np.bincount(at[~toxic], minlength=len(keys)))], names=["w", "toxic", "clean"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample_rows: int = SAMPLE_ROWS, prior: float = 0.02, z_min: float = 2.3, odds_min: float = 2.0, max_terms: int = MAX_TERMS, drift: float = 0.5, e_max: float = 0.01) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample_rows: int = SAMPLE_ROWS, prior: float = 0.02, z_min: float = 2.3, odds_min: float = 2.0, drift: float = 0.5, e_max: float = 0.01) -> ToxicityModel:
     """Learn from labels whose crc32(doc_id as text) mod 5 is not 0. Without toxic or clean rows nothing scores.
 
-    ``prior``: the weight of the Dirichlet prior, as a share of all counts.
+    Null labels and null doc_ids are left out; a doc_id or a text that is labelled more than once counts as toxic if any
+    of its labels is; equal texts count once; a null text counts as empty. ``sample_rows`` bounds the labelled rows, and
+    with their words the model. ``prior``: the weight of the Dirichlet prior, as a share of all counts.
     """
     spark = docs.sparkSession
     train, path = materialize(_labelled(docs, labels, label, sample_rows), "toxicity-train")
@@ -145,22 +151,20 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample_rows
     a = F.lit(a0) * (F.col("toxic") + F.col("clean")) / F.lit(max(n1 + n0, 1.0))
     odds = F.log((F.col("toxic") + a) / (n1 + a0 - F.col("toxic") - a)) - F.log((F.col("clean") + a) / (n0 + a0 - F.col("clean") - a))
     z = odds / F.sqrt(1 / (F.col("toxic") + a) + 1 / (F.col("clean") + a))
-    chosen = counts.select("w", odds.alias("odds"), z.alias("z"), ((F.col("clean") + a) / (n0 + a0)).alias("p0")).where((F.abs("z") >= z_min) & (F.abs("odds") >= odds_min)).orderBy(F.desc(F.abs("z")), "w").limit(max_terms).toPandas()
+    chosen = counts.select("w", odds.alias("odds"), z.alias("z"), ((F.col("clean") + a) / (n0 + a0)).alias("p0")).where((F.abs("z") >= z_min) & (F.abs("odds") >= odds_min)).toPandas()  # words of sample_rows texts at most
     keys = chosen["w"].to_numpy(np.int64).view(U64)
     order = np.argsort(keys)
     keys, weights, zs, p0 = (x[order] for x in (keys, *(chosen[c].to_numpy(float) for c in ("odds", "z", "p0"))))
     lam = _lambda(weights - drift, p0, drift)
+    lowest = max(float((weights - drift)[weights > drift].min(initial=math.inf)), 1e-3) if (weights > drift).any() else 1.0
     model = ToxicityModel(keys, weights, zs, drift, lam, 1.0, 0.0, 0.0, e_max)
-    rows = train.mapInArrow(lambda batches: _train_rows(batches, model), "y int, n long, scores array<double>").toPandas()  # sample_rows at most
+    seen, n = train.where("y = 0").mapInArrow(lambda batches: _clean_rows(batches, model, lowest), "seen long, n long").agg(F.coalesce(F.sum("seen"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    k = min((seen + 0.5) / max(1.0, n * math.exp(-lam * lowest)), 1.0)
+    model = ToxicityModel(keys, weights, zs, drift, lam, k, 0.0, 0.0, e_max)
+    rows = train.mapInArrow(lambda batches: _train_rows(batches, model), "y int, x double").toPandas().sort_values(["y", "x"])  # sample_rows at most
     drop(spark, path, counts_path)
-    lowest = max(float((weights - drift)[weights > drift].min(initial=math.inf)), 1e-3) if (weights > drift).any() else 1.0
-    clean = rows[rows["y"] == 0]
-    seen = sum(sum(s >= lowest for s in x) for x in clean["scores"])
-    k = (seen + 0.5) / max(1.0, float(clean["n"].sum()) * math.exp(-lam * lowest))
-    model = ToxicityModel(keys, weights, zs, drift, lam, min(k, 1.0), 0.0, 0.0, e_max)
-    x = np.array([model.evidence([(0, 0, s) for s in ss], int(n)) for ss, n in zip(rows["scores"], rows["n"])])
-    slope, bias = _logistic(x, rows["y"].to_numpy(float))
-    return ToxicityModel(keys, weights, zs, drift, lam, min(k, 1.0), slope, bias, e_max)
+    slope, bias = _logistic(rows["x"].to_numpy(float), rows["y"].to_numpy(float))
+    return ToxicityModel(keys, weights, zs, drift, lam, k, slope, bias, e_max)
 
 
 def _lambda(scores: np.ndarray, p0: np.ndarray, drift: float) -> float:
@@ -198,29 +202,44 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(0.0, float(beta[0]) / scale), float(beta[1])
 
 
+def _found(text: pa.Array, model: ToxicityModel) -> Iterator[tuple[list[tuple[int, int, float]], int]]:
+    """The maximal segments and the number of tokens of each text of one piece."""
+    w = terms(text)
+    s = model.scores(w)
+    hot = np.zeros(len(w.bounds) - 1, bool)
+    hot[np.searchsorted(w.bounds, np.flatnonzero(s > 0), "right") - 1] = True
+    for d, (i, j) in enumerate(zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist())):
+        yield segments(s[i:j]) if hot[d] else [], j - i
+
+
+def _scores_of(found: list[tuple[int, int, float]]) -> np.ndarray:
+    return np.array([x for _, _, x in found], float)
+
+
+def _clean_rows(batches: Iterator[pa.RecordBatch], model: ToxicityModel, lowest: float) -> Iterator[pa.RecordBatch]:
+    """How many segments of ``lowest`` or more there are in how many tokens."""
+    for batch in batches:
+        for part in pieces(batch):
+            got = list(_found(part.column(0), model))
+            yield pa.RecordBatch.from_arrays([pa.array([sum(int((_scores_of(x) >= lowest).sum()) for x, _ in got)], pa.int64()), pa.array([sum(n for _, n in got)], pa.int64())], names=["seen", "n"])
+
+
 def _train_rows(batches: Iterator[pa.RecordBatch], model: ToxicityModel) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in pieces(batch):
-            w = terms(part.column(0))
-            s = model.scores(w)
-            found = [[x[2] for x in segments(s[i:j])] for i, j in zip(w.bounds[:-1], w.bounds[1:])]
-            yield pa.RecordBatch.from_arrays([part.column(1).cast(pa.int32()), pa.array(np.diff(w.bounds)), pa.array(found, pa.list_(pa.float64()))], names=["y", "n", "scores"])
+            x = [model.evidence(_scores_of(found), n) for found, n in _found(part.column(0), model)]
+            yield pa.RecordBatch.from_arrays([part.column(1).cast(pa.int32()), pa.array(x, pa.float64())], names=["y", "x"])
 
 
 def _scan(text: pa.Array, model: ToxicityModel) -> Iterator[tuple[float, list[dict]]]:
     """Score and passages of each text of one piece."""
-    w = terms(text)
-    s = model.scores(w)
-    hot = np.zeros(len(w.bounds) - 1, bool)
-    hot[np.searchsorted(w.bounds, np.flatnonzero(s > 0), "right") - 1] = True
     calm = model.probability(0.0)
-    for d, (i, j) in enumerate(zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist())):
-        if not hot[d]:
+    for found, n in _found(text, model):
+        if not found:
             yield calm, []
             continue
-        found = segments(s[i:j])
-        e = [(a, b, x, model.k * (j - i) * math.exp(-min(700.0, model.lam * x))) for a, b, x in found]
-        yield model.probability(model.evidence(found, j - i)), [{"first_word": a, "end_word": b, "score": x, "e_value": v} for a, b, x, v in e if v <= model.e_max]
+        e = [(a, b, x, model.k * n * math.exp(-min(700.0, model.lam * x))) for a, b, x in found]
+        yield model.probability(model.evidence(_scores_of(found), n)), [{"first_word": a, "end_word": b, "score": x, "e_value": v} for a, b, x, v in e if v <= model.e_max]
 
 
 _PASSAGE = "struct<first_word:long,end_word:long,score:double,e_value:double>"
@@ -240,7 +259,10 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, limit: float = 0.5) -> DataFrame:
-    """The rows, with all their columns, whose score is below ``limit``. Narrow: no shuffle."""
+    """The rows, with all their columns, whose score is below ``limit``. Narrow: no shuffle.
+
+    A null or empty text has no tokens and the score of clean text; repeated rows are judged alike.
+    """
     column = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
