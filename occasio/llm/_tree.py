@@ -15,25 +15,27 @@ FAN_IN = 256
 SCHEMA = "block long, part long, data binary"
 
 
-def merged(df: DataFrame, gather: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int, dtype: type = np.float64, union: bool = False) -> np.ndarray:
+def merged(df: DataFrame, gather: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int, dtype: type = np.float64, union: bool = False, sent: type | None = None) -> np.ndarray:
     """The sum (or bitwise union) of ``gather``'s arrays of ``size`` items over all partitions of ``df``.
 
-    Each partition sends one array in BLOCKS pieces; the driver gets BLOCKS pieces in the end.
+    Each partition sends one array in BLOCKS pieces, as ``sent`` if one partition's numbers fit that; the driver gets
+    BLOCKS pieces in the end.
     """
+    sent = sent or dtype
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, part = gather(batches), TaskContext.get().partitionId()
-        data = [x.tobytes() for x in total.astype(dtype, copy=False).reshape(BLOCKS, -1)]
+        data = [x.tobytes() for x in total.astype(sent, copy=False).reshape(BLOCKS, -1)]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS)), pa.array([part] * BLOCKS, pa.int64()), pa.array(data, pa.binary())], names=["block", "part", "data"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterator[pa.RecordBatch], kind: type) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             for i in range(batch.num_rows):
                 block, part, data = (c[i].as_py() for c in batch.columns)
-                key, x = (block, part // FAN_IN), np.frombuffer(data, dtype)
+                key, x = (block, part // FAN_IN), np.frombuffer(data, kind)
                 if key not in total:
-                    total[key] = x.copy()
+                    total[key] = x.astype(dtype)
                 elif union:
                     total[key] |= x
                 else:
@@ -44,8 +46,8 @@ def merged(df: DataFrame, gather: Callable[[Iterator[pa.RecordBatch]], np.ndarra
     n = max(1, df.rdd.getNumPartitions())
     parts = df.mapInArrow(emit, SCHEMA)
     while True:
-        parts = parts.repartition(min(BLOCKS * -(-n // FAN_IN), 4096), "block", F.floor(F.col("part") / FAN_IN)).mapInArrow(add, SCHEMA)
-        n = -(-n // FAN_IN)
+        parts = parts.repartition(min(BLOCKS * -(-n // FAN_IN), 4096), "block", F.floor(F.col("part") / FAN_IN)).mapInArrow(lambda batches, kind=sent: add(batches, kind), SCHEMA)
+        n, sent = -(-n // FAN_IN), dtype
         if n == 1:
             break
     out = np.zeros((BLOCKS, size // BLOCKS), dtype)

@@ -37,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,24 +112,26 @@ def frequency_sketch(docs: DataFrame) -> np.ndarray:
                     np.add(out, np.bincount((np.concatenate(new) >> U64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS), out=out)
         return out
 
-    cells = merged(docs, gather, 1 << CELL_BITS, np.int64)
+    cells = merged(docs, gather, 1 << CELL_BITS, np.int64, sent=np.int32)
     usual = float(np.median(cells))
     over = cells - usual - 3 * np.sqrt(usual) - 2
     return np.where(over > 0, cells - usual, 0).astype(np.float32)
 
 
 def postings(docs: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
-    """(token, salt, meta, cls, place) for the prefix of every class; a class comes once from a task.
+    """(tp, salt, cls) for the prefix of every class, and a row (meta, -1, cls) of the class; once from a task.
 
+    tp: 48 bits of the shingle's fingerprint, and its place in the class's own order (from 0, at most 2**16 - 1). Lists
+    of shingles that agree in 48 bits are one list: that adds candidates and loses none, and so does an earlier place.
     meta: how many in a thousand of the prefix do not stand out in the sketch, n, and l; so by meta, sets whose prefix
-    is common come first. place: from 0, in the class's own order.
+    is common come first.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for part in pieces(batch):
-                tokens, salts, meta, cls, place = [], [], [], [], []
+                tp, salts, cls = [], [], []
                 for x in _sets(part, 1):
                     c, n = class_of(x), len(x)
                     if not n or c in seen:
@@ -139,61 +142,113 @@ def postings(docs: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
                     x, e = (x[order], e[order]) if order is not None else (x, e)
                     l = choose(n, e, percent)  # noqa: E741
                     keep = n - needed(n, percent) + l
-                    tokens.append(x[:keep])
+                    tp.append((x[:keep] & ~U64(0xFFFF) | np.minimum(np.arange(keep), 0xFFFF).astype(U64)).view(np.int64))
                     k = np.minimum(1 + (e[:keep] / LIST_ROWS).astype(np.int64), MAX_SALT)
                     salts.append(np.where(k > 1, 1 + (c & 0x7FFFFFFF) % k, 0))
-                    meta.append(np.full(keep, int((e[:keep] == 0).mean() * 1000) << 52 | n << 24 | l))
-                    cls.append(np.full(keep, c))
-                    place.append(np.arange(keep, dtype=np.int32))
-                if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(salts).astype(np.int32)), pa.array(np.concatenate(meta)), pa.array(np.concatenate(cls)), pa.array(np.concatenate(place))], names=["token", "salt", "meta", "cls", "place"])
+                    tp.append(np.array([int((e[:keep] == 0).mean() * 1000) << 52 | n << 24 | l]))
+                    salts.append(np.array([-1]))
+                    cls.append(np.full(keep + 1, c))
+                if tp:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tp)), pa.array(np.concatenate(salts).astype(np.int32)), pa.array(np.concatenate(cls))], names=["tp", "salt", "cls"])
 
-    return docs.mapInArrow(run, "token long, salt int, meta long, cls long, place int")
+    return docs.mapInArrow(run, LISTED)
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (token, salt, meta, cls): those of lists with two classes or a salt, each class once a list."""
-    held: tuple | None = None  # the last row, and whether its list is kept
+LISTED = "tp long, salt int, cls long"
+
+
+def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by tp in batches that end with a list (rows of a shingle); salted lists may be cut."""
+    held: pa.RecordBatch | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        names, kinds = batch.schema.names, batch.schema.types
-        columns = [c.to_numpy() for c in batch.columns]
-        kept = False
         if held is not None:
-            columns, kept = [np.concatenate(([h], x)) for h, x in zip(held[0], columns)], held[1]
-        token, salt, _, cls, _ = columns
-        same = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])
-        once = np.concatenate(([True], ~(same & (cls[1:] == cls[:-1]))))
-        columns = [x[once] for x in columns]
-        token, salt = columns[:2]
-        new = np.concatenate(([True], (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])))
-        several = ~new
-        several[:-1] |= ~new[1:]
-        several |= salt > 0
-        several[0] |= kept
-        out = several.copy()
-        out[-1] = False  # the last row waits for what follows
-        if out.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[out], t) for x, t in zip(columns, kinds)], names=names)
-        held = ([x[-1] for x in columns], bool(several[-1]), names, kinds)
-    if held is not None and held[1]:
-        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(held[0], held[3])], names=held[2])
-
-
-def _blobs(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """(cls, shingles) of the classes that the filter may hold."""
+            batch = pa.concat_batches([held, batch])
+        tp, salt = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        cut = batch.num_rows
+        if salt[-1] == 0:
+            other = np.flatnonzero(tp >> 16 != tp[-1] >> 16)
+            cut = int(other[-1]) + 1 if len(other) else 0
+        held = batch.slice(cut) if cut < batch.num_rows else None
+        if cut:
+            yield batch.slice(0, cut)
+    if held is not None:
+        yield held
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (tp, cls): those of lists with two classes or a salt, each class once a list; all of classes."""
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_lists(batches):
+            tp, salt, cls = (c.to_numpy() for c in batch.columns)
+            once = np.concatenate(([True], (tp[1:] != tp[:-1]) | (cls[1:] != cls[:-1])))
+            tp, salt, cls = tp[once], salt[once], cls[once]
+            same = tp[1:] >> 16 == tp[:-1] >> 16
+            keep = salt > 0
+            keep[1:] |= same
+            keep[:-1] |= same
+            yield pa.RecordBatch.from_arrays([pa.array(tp[keep]), pa.array(salt[keep]), pa.array(cls[keep])], names=batch.schema.names)
+
+    of_classes: list[pa.RecordBatch] = []
+
+    def apart() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            is_class = pa.array(batch.column(1).to_numpy() < 0)
+            of_classes.append(batch.filter(is_class))
+            yield batch.filter(pa.compute.invert(is_class))
+
+    for batch in several(apart()):
+        yield from of_classes
+        of_classes.clear()
+        yield batch
+    yield from of_classes
+
+
+def _by_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (tp, salt, cls, meta, own, ranges, firsts) sorted by (tp, cls): (token, low, high, meta, cls, place) for
+    each range that the place is early enough for, without lists that hold one class, or one side's sizes, alone."""
+    for batch in _whole_lists(batches):
+        tp, salt, cls, meta, own = (batch.column(i).to_numpy() for i in range(5))
+        row = np.repeat(np.arange(len(tp)), batch.column(5).value_lengths().to_numpy())
+        r, first = batch.column(5).flatten().to_numpy(), batch.column(6).flatten().to_numpy()
+        place = tp & 0xFFFF
+        early = place[row] < first
+        row, r = row[early], r[early]
+        low, high = np.minimum(own[row], r), np.maximum(own[row], r)
+        token = tp[row] >> 16
+        order = np.lexsort((cls[row], high, low, token))
+        row, low, high, token = row[order], low[order], high[order], token[order]
+        if not len(row):
+            continue
+        new = np.concatenate(([True], (token[1:] != token[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])))
+        at = np.flatnonzero(new)
+        c, o = cls[row], own[row]
+        several = np.minimum.reduceat(c, at) < np.maximum.reduceat(c, at)
+        several &= (low[at] == high[at]) | (np.minimum.reduceat(o, at) < np.maximum.reduceat(o, at))
+        keep = np.repeat(several, np.diff(np.append(at, len(row)))) | (salt[row] > 0)
+        row = row[keep]
+        columns = (token[keep], low[keep].astype(np.int32), high[keep].astype(np.int32), meta[row], cls[row], place[row].astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["token", "low", "high", "meta", "cls", "place"])
+
+
+def _blobs(docs: DataFrame, left: np.ndarray, right: np.ndarray) -> DataFrame:
+    """(cls, left, right, x) of the documents that a filter may hold: the class, which filters, and the shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            part = batch.filter(pa.array(may_hold(wanted, batch.column(0).fill_null(0).to_numpy())))
-            for piece in pieces(part):
-                got = [(class_of(x), x.tobytes()) for x in _sets(piece, 1) if len(x)]
-                got = [(c, b) for c, b in got if not (c in seen or seen.add(c))]
-                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in got], pa.int64()), pa.array([b for _, b in got], pa.binary())], names=["cls", "x"])
+            ids = batch.column(0).fill_null(0).to_numpy()
+            sides = [may_hold(f, ids) for f in (left, right)]
+            some = pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(x) for x in sides)], names=["doc_id", "text", "left", "right"]).filter(pa.array(sides[0] | sides[1]))
+            for piece in pieces(some):
+                got = [(class_of(x), x.tobytes(), i) for i, x in enumerate(_sets(piece, 1)) if len(x)]
+                got = [(c, b, i) for c, b, i in got if not (c in seen or seen.add(c))]
+                at = pa.array([i for _, _, i in got], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([c for c, _, _ in got], pa.int64()), piece.column(2).take(at), piece.column(3).take(at), pa.array([b for _, b, _ in got], pa.binary())], names=["cls", "left", "right", "x"])
 
-    return docs.mapInArrow(run, "cls long, x binary")
+    return docs.mapInArrow(run, "cls long, left boolean, right boolean, x binary")
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -212,13 +267,15 @@ def _overlaps(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
 def verify(pairs: DataFrame, docs: DataFrame, of: DataFrame, percent: int, tag: str) -> tuple[DataFrame, list[str]]:
     """The pairs (a, b) of classes that link. ``of``: (doc_id, cls, n_shingles) of the documents."""
     pairs, pairs_path = materialize(pairs, f"{tag}-pairs")
-    used = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    holders = of.join(used, "cls").groupBy("cls").agg(F.min(F.coalesce("doc_id", F.lit(0))).alias("doc_id"))
-    sets, sets_path = materialize(_blobs(docs, bloom(holders.select("doc_id"))), f"{tag}-sets")
-    left = pairs.join(sets.select(F.col("cls").alias("a"), "x"), "a")
-    both = left.join(sets.select(F.col("cls").alias("b"), F.col("x").alias("y")), "b").select("a", "b", "x", "y")
+    used = pairs.select(F.col("a").alias("cls"), F.lit(1).alias("side")).union(pairs.select("b", F.lit(2))).groupBy("cls").agg(F.bit_or("side").alias("side"))
+    holders = of.join(used, "cls").groupBy("cls").agg(F.min(F.coalesce("doc_id", F.lit(0))).alias("doc_id"), F.first("side").alias("side"))
+    holders, holders_path = materialize(holders.select("doc_id", "side"), f"{tag}-holders")
+    filters = [bloom(holders.where(F.col("side").bitwiseAND(F.lit(side)) > 0).select("doc_id")) for side in (1, 2)]
+    sets, sets_path = materialize(_blobs(docs, *filters), f"{tag}-sets")
+    left = pairs.join(sets.where("left").select(F.col("cls").alias("a"), "x"), "a")
+    both = left.join(sets.where("right").select(F.col("cls").alias("b"), F.col("x").alias("y")), "b").select("a", "b", "x", "y")
     links, path = materialize(both.mapInArrow(lambda batches: _overlaps(batches, percent), "a long, b long").distinct(), f"{tag}-verified")
-    drop(docs.sparkSession, pairs_path, sets_path)
+    drop(docs.sparkSession, pairs_path, holders_path, sets_path)
     return links, [path]
 
 
@@ -250,19 +307,19 @@ def _enough(n: Column, m: Column, l: Column, percent: int) -> Column:  # noqa: E
     return F.forall(levels, lambda q: F.coalesce(F.get("places", q - 1) < before + q, F.lit(False)))
 
 
-def _between(rows: DataFrame, percent: int) -> DataFrame:
+def _between(rows: DataFrame, percent: int, tag: str) -> tuple[DataFrame, list[str]]:
     """Rows (token, low, high, meta, cls, place, comp) of lists with two components, of classes that can link with
-    another component by what such lists hold, given the least size in them."""
+    another component by what such lists hold, given the least size in them; and the table they are read from."""
     span = ["token", "low", "high"]
     mixed = rows.groupBy(*span).agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(_n("meta")).alias("least")).where("c0 < c1").select(*span, "least")
-    here = rows.join(mixed, span)
+    here, path = materialize(rows.join(mixed, span), tag)
     able = here.groupBy("cls", "low", "high").agg(F.first("meta").alias("meta"), F.min("least").alias("least"), F.sort_array(F.collect_list("place")).alias("places"))
     n = _n("meta")
     able = able.where(_enough(n, F.greatest(F.col("least"), _up(n * percent, 100)), _l("meta"), percent)).select("cls", "low", "high")
-    return here.drop("least").join(able, ["cls", "low", "high"], "left_semi")
+    return here.drop("least").join(able, ["cls", "low", "high"], "left_semi"), [path]
 
 
-def _live(lists: DataFrame, percent: int) -> DataFrame:
+def _live(raw: DataFrame, percent: int) -> DataFrame:
     """(token, low, high, meta, cls, place): the lists by ranges of the lesser and the greater size, without classes
     that can link with none in the other range.
 
@@ -274,18 +331,19 @@ def _live(lists: DataFrame, percent: int) -> DataFrame:
     n, l = _n("meta"), _l("meta")  # noqa: E741
     smallest = _up(n * percent, 100)
     ranges = F.sequence(of(smallest), of(F.floor(n * 100 / percent)))
-    classes_ = lists.groupBy("cls").agg(F.first("meta").alias("meta"), F.sort_array(F.collect_list("place")).alias("places"))
+    lists = raw.where("salt >= 0")
+    place = F.col("tp").bitwiseAND(F.lit(0xFFFF)).cast("int")
+    classes_ = lists.groupBy("cls").agg(F.sort_array(F.collect_list(place)).alias("places"))
+    classes_ = classes_.join(raw.where("salt < 0").groupBy("cls").agg(F.first("tp").alias("meta")), "cls")
 
     def bound(r: Column) -> Column:
         m = F.greatest(smallest, F.ceil(F.exp(r * width) - 1e-6).cast("long"))
-        return F.struct(r.alias("r"), (n - _overlap(n, m, percent) + l).alias("first"), _enough(n, m, l, percent).alias("ok"))
+        return F.struct(r.alias("r"), (n - _overlap(n, m, percent) + l).cast("int").alias("first"), _enough(n, m, l, percent).alias("ok"))
 
-    able = classes_.select("cls", F.filter(F.transform(ranges, bound), lambda x: x["ok"]).alias("ranges")).where("size(ranges) > 0")
-    rows = lists.join(able, "cls").withColumn("own", of(n)).select("token", "meta", "cls", "place", "own", F.explode("ranges").alias("x")).where("place < x.first")
-    rows = rows.select("token", F.least("own", "x.r").alias("low"), F.greatest("own", "x.r").alias("high"), "own", "meta", "cls", "place")
-    both = rows.groupBy("token", "low", "high").agg(F.min("cls").alias("c0"), F.max("cls").alias("c1"), F.min("own").alias("o0"), F.max("own").alias("o1"))
-    both = both.where("c0 < c1 and (low = high or o0 < o1)").select("token", "low", "high")
-    return rows.drop("own").join(both, ["token", "low", "high"])
+    able = classes_.select("cls", "meta", of(n).alias("own"), F.filter(F.transform(ranges, bound), lambda x: x["ok"]).alias("x")).where("size(x) > 0")
+    rows = lists.join(able.select("cls", "meta", "own", F.col("x.r").alias("ranges"), F.col("x.first").alias("firsts")), "cls")
+    rows = rows.select("tp", "salt", "cls", "meta", "own", "ranges", "firsts").repartition(F.shiftright("tp", 16), "salt").sortWithinPartitions("tp", "cls")
+    return rows.mapInArrow(_by_ranges, "token long, low int, high int, meta long, cls long, place int")
 
 
 def ngram_join(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -294,8 +352,8 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Data
     rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     of, of_path = materialize(classes(rows.withColumn("fp", F.xxhash64(F.coalesce("text", F.lit(""))))), "join-classes")
     sketch = frequency_sketch(rows)
-    dealt = postings(rows, sketch, percent).repartition("token", "salt").sortWithinPartitions("token", "salt", "meta", "cls")
-    raw, raw_path = materialize(dealt.mapInArrow(_lists, "token long, salt int, meta long, cls long, place int"), "join-lists")
+    dealt = postings(rows, sketch, percent).repartition(F.when(F.col("salt") < 0, F.col("cls")).otherwise(F.shiftright("tp", 16)), "salt").sortWithinPartitions("tp", "cls")
+    raw, raw_path = materialize(dealt.mapInArrow(_lists, LISTED), "join-lists")
     lists, lists_path = materialize(_live(raw, percent), "join-live")
     drop(spark, raw_path)
     span = ["token", "low", "high"]
@@ -308,11 +366,16 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Data
     # Between components: lists whose classes are in more than one.
     named = lists.join(labels.select(F.col("node").alias("cls"), F.col("label").alias("comp")), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     # Lists of the same classes, as the shingles of one passage have, are taken once, with a class's earliest place.
-    named = _between(_between(named, percent), percent)
+    named, named_path = materialize(named, "join-named")
+    once, once_paths = _between(named, percent, "join-between")
+    once, once_path = materialize(once, "join-between")
+    drop(spark, named_path, *once_paths)
+    named, twice_paths = _between(once, percent, "join-between")
     sets = named.groupBy(*span).agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"))
     key = ["low", "high", "size", "x", "y"]
     named = named.join(sets, span).groupBy(*key, "cls").agg(F.first("meta").alias("meta"), F.first("comp").alias("comp"), F.min("place").alias("place"))
     named, named_path = materialize(named, "join-mixed")
+    drop(spark, once_path, *twice_paths)
     sides = [named.select(*key, *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "meta", "comp", "place")]) for s in "ab"]
     n, m = _n("meta_a"), _n("meta_b")
     spare = 1 - _overlap(n, m, percent)
