@@ -14,28 +14,37 @@ from occasio.llm._io import materialize, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score of 0.5 or more go. The model learns from the labels of the documents given."""
+    """Documents with a toxicity score of 0.5 or more go. The model learns from the labels of the documents given.
+
+    Null and empty texts score as clean text and stay; repeated rows get one score. Without documents none are returned.
+    """
     return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs of 50 words or more go, and documents of which nothing is left."""
-    out = linededup.dedup_lines(docs, nested=True).where("deleted_lines is null or text <> ''").drop("deleted_lines")
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns) if "n_chars" in docs.columns else out
+    """Later copies of repeated line runs of 50 words or more go, and documents of which nothing is left.
+
+    ``n_chars`` follows the text. Null and empty texts stay; rows with equal doc_id and text are one document.
+    """
+    out = linededup.without_repeated_lines(docs)
+    if "n_chars" not in docs.columns:
+        return out
+    return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays: that with the least doc_id (a null one only in a group of
+    null ones). Documents without words all stay; of repeated rows one stays."""
     return ngramjoin.keep_one_of_each_group(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, or a near copy of one, go."""
+    """Documents that hold a benchmark item, or a near copy of one, go. Those without words stay."""
     return decontam.keep_uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, packed into sequences."""
+    """What is left, packed into sequences. Documents without words have a row without a bin."""
     return packing.best_fit_pack(docs)
 
 

@@ -7,17 +7,17 @@ rank is the place of the first suffix it ties with, so ranks are places in the s
 A suffix leaves the rounds when it is alone, or when neither its own ``min_words`` words nor those of an earlier suffix
 whose rank is made from its rank reach any further; near the end of a document it is ranked by the lines that are left.
 
-Neighbours in the suffix array whose longest common prefix holds at least ``min_words`` words form intervals. In each
-interval the first suffix, by (doc_id, text, line), is the original; from each other one the longest common prefix with
-the original, which is a maximal repeated run of lines, is deleted.
-
-``nested`` deletes every later copy of every repeated run of ``min_words`` words, whichever copy it repeats. Such a run
-is covered by the shortest prefixes with ``min_words`` words of the suffixes inside it, and by the shortest one that ends
-where it ends: so each suffix is also taken by its longer prefixes that hold fewer than ``min_words`` words after their
-first line (no more than lines in all), ranked as far as those go, and neighbours that share such a prefix form an interval of its own.
+A repeated run of ``min_words`` words is covered by the shortest prefixes with ``min_words`` words of the suffixes inside
+it, and by the shortest one that ends where it ends: so each suffix counts with its prefixes from ``min_words`` words up to
+those that hold fewer than ``min_words`` words after their first line, and is ranked as far as those go. The longest
+common prefix of neighbours in the suffix array is the longest of these prefixes that both have, told by fingerprints.
+One scan in the array's order keeps a stack of the intervals that are open (Kasai et al., 2001; Abouelhoda et al., 2004):
+an interval of n lines is a stretch of the array in which all neighbours share n lines at least. In each interval the
+first suffix, by (doc_id, text, line), is the original, and the n lines of every other one are deleted: so every later
+copy of every repeated run goes, whichever copy it repeats.
 
 Sorts break ties by position and are cut into ranges by place, so that a line that a third of all documents hold spreads
-over tasks; what crosses a boundary between tasks is settled from one small row a task. Rounds are tables in the shared
+over tasks; what crosses a boundary between tasks, an interval too, is settled from one small row a task. Rounds are tables in the shared
 folder.
 """
 
@@ -88,9 +88,9 @@ def _reach(need: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return reach
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch], min_words: int, nested: bool) -> Iterator[pa.RecordBatch]:
-    """A row for each line: its id, how many lines hold min_words words from here on, fingerprints of those and (nested) of
-    the longer prefixes that only end here, each one line longer, and to how many lines it must be ranked."""
+def _suffixes(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+    """A row for each line: its id, how many lines hold min_words words from here on, fingerprints of those and of the
+    longer prefixes that count, each one line longer, and to how many lines it must be ranked."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 512):
             part = batch.slice(lo, 512)
@@ -110,7 +110,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch], min_words: int, nested: bool) -
             end = np.searchsorted(seen, seen[:-1] + min_words)
             enough = end <= stop
             need = np.where(enough, end - at, 0)
-            far = np.maximum(need, np.minimum(np.searchsorted(seen, seen[1:] + min_words) - 1, stop) - at) if nested else need
+            far = np.maximum(need, np.minimum(np.searchsorted(seen, seen[1:] + min_words) - 1, stop) - at)
             far = np.where(enough, far, 0)
             many = np.where(enough, far - need + 1, 0)
             upto = np.cumsum(many)
@@ -191,18 +191,21 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "fp": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
 
 
-def suffix_array(lines: DataFrame, min_words: int, nested: bool = False) -> tuple[DataFrame, list[str]]:
+def suffix_array(lines: DataFrame, min_words: int) -> tuple[DataFrame, list[str]]:
     """Suffixes that share their first lines with another one up to ``min_words`` words, with their ranks.
 
-    ``lines``: (doc, fp, h, w). Returns (doc, fp, pos, need, prefixes, rank) and the tables it reads.
+    ``lines``: (doc, fp, h, w). Returns (doc, fp, pos, need, prefixes, reach, rank) and the tables it reads. In the order of
+    (rank, reach) suffixes that share lines are next to each other, as far as they count: of equal ranks, those that left
+    the rounds first have the shorter prefixes.
     """
     spark = lines.sparkSession
-    suffixes = lines.mapInArrow(lambda batches: _suffixes(batches, min_words, nested), "doc long, fp long, pos int, h long, need int, prefixes array<long>, reach int")
+    # Written first: the sort reads its input twice, once for the bounds of its ranges.
+    suffixes, suffixes_path = materialize(lines.mapInArrow(lambda batches: _suffixes(batches, min_words), "doc long, fp long, pos int, h long, need int, prefixes array<long>, reach int"), "lines-suffixes")
     first, paths = _place(suffixes.select(F.lit(0).cast("long").alias("a"), F.col("h").alias("b"), *PLACE, "need", "prefixes", "reach"), ["b", *PLACE], "lines-rank1")
     ranked = first.select(*PLACE, "need", "prefixes", "reach", F.col("first_ab").alias("rank"), "tied")
     alone, alone_path = materialize(ranked.where("not tied").select(*PLACE, "rank"), "lines-alone")
     live, live_path = materialize(ranked.where("tied"), "lines-live1")
-    drop(spark, *paths)
+    drop(spark, suffixes_path, *paths)
     depth = 1
     while not live.where(f"tied and reach > {depth}").isEmpty():
         active = F.col("tied") & (F.col("reach") > depth)
@@ -214,83 +217,161 @@ def suffix_array(lines: DataFrame, min_words: int, nested: bool = False) -> tupl
         drop(spark, live_path, *paths)
         live, live_path, depth = now, now_path, 2 * depth
     drop(spark, alone_path)
-    return live.where("need > 0").drop("tied", "reach"), [live_path]
-
+    return live.where("need > 0").drop("tied"), [live_path]
+
+
+def _shared(a: list[int], b: list[int]) -> int:
+    """Lines that two suffixes share, given (need, prefix fingerprints) of both; 0 if fewer than hold min_words words."""
+    if a[:2] != b[:2]:
+        return 0
+    k = 2
+    while k < len(a) and k < len(b) and a[k] == b[k]:
+        k += 1
+    return a[0] + k - 2
+
+
+INTERVALS = "doc long, fp long, pos int, n int, start long, part int, head array<long>, tail array<long>, levels array<int>, starts array<long>"
+
+
+def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of suffixes (doc, fp, pos, need, prefixes) in the array's order: (doc, fp, pos, n, start) for each n that a
+    neighbour may share; start names the interval of n lines, null: it began before this task. A last row, for the task:
+    its first and last suffix, and the intervals that are open at its end, those of more than levels[i] lines with
+    starts[i]."""
+    part, place = TaskContext.get().partitionId(), 0
+    stack: list[tuple[int, int | None]] = [(-1, None)]
+    head = before = waiting = None
+    rows: list[tuple[int, int, int, int, int | None]] = []
+    names = [x.split()[0] for x in INTERVALS.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+
+    def put(row: tuple[int, int, int, int], most: int) -> None:
+        """Its intervals of need to ``most`` lines."""
+        doc, fp, pos, need = row
+        k = len(stack) - 1
+        for n in range(most, need - 1, -1):
+            while stack[k][0] >= n:
+                k -= 1
+            rows.append((doc, fp, pos, n, stack[k][1]))
+
+    def flush() -> pa.RecordBatch:
+        columns = [*(list(c) for c in zip(*rows)), [part] * len(rows), *[[None] * len(rows)] * 4]
+        rows.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
-def _delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines of a document that the runs shared with one original cover."""
     for batch in batches:
-        cuts = []
-        for h, h0, at, at0 in zip(*(batch.column(i) for i in (2, 3, 4, 5))):
-            h, h0 = h.values.to_numpy(), h0.values.to_numpy()
-            ends: dict[int, int] = {}
-            gone = np.zeros(len(h), bool)
-            for i, j in sorted(zip(at.as_py(), at0.as_py())):
-                if i < ends.get(i - j, 0):
-                    continue
-                n = min(len(h) - i, len(h0) - j)
-                other = np.flatnonzero(h[i : i + n] != h0[j : j + n])
-                stop = i + (int(other[0]) if len(other) else n)
-                gone[i:stop] = True
-                ends[i - j] = stop
-            cuts.append(np.flatnonzero(gone).tolist())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cuts, pa.list_(pa.int32()))], names=["doc", "fp", "lines"])
+        doc, fp, pos, need = (batch.column(i).to_pylist() for i in range(4))
+        for i, prefixes in enumerate(batch.column(4).to_pylist()):
+            now = [need[i], *prefixes]
+            if before is None:
+                head, same = now, len(now) + need[i] - 2
+                waiting = (doc[i], fp[i], pos[i], need[i])
+                put(waiting, same)
+                waiting = None
+            else:
+                same = _shared(before, now)
+                if waiting is not None:
+                    row, least = waiting
+                    put(row, max(least, same))
+                while stack[-1][0] >= same:
+                    stack.pop()
+                stack.append((same, part << 40 | place))
+                waiting = ((doc[i], fp[i], pos[i], need[i]), same)
+            before = now
+            place += 1
+        if len(rows) > 1 << 16:
+            yield flush()
+    if before is not None:
+        if waiting is not None:
+            put(waiting[0], before[0] + len(before) - 2)
+        if rows:
+            yield flush()
+        levels, starts = zip(*stack)
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((None, None, None, None, None, part, head, before, levels, starts), kinds)], names=names)
+
+
+def _members(array: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(doc, fp, pos, n, start): the suffixes of each interval of n lines; and the tables they are read from."""
+    spark = array.sparkSession
+    ordered = array.select(*PLACE, "need", "prefixes", "rank", "reach").orderBy("rank", "reach", *PLACE).select(*PLACE, "need", "prefixes")
+    found, path = materialize(ordered.mapInArrow(_intervals, INTERVALS), "lines-intervals")
+    carry: list[tuple[int, int]] = []
+    tail, fixed = None, []
+    for r in found.where("head is not null").select("part", "head", "tail", "levels", "starts").orderBy("part").collect():  # a row a task
+        same = -1 if tail is None else _shared(tail, list(r["head"]))
+        while carry and carry[-1][0] >= same:
+            carry.pop()
+        carry.append((same, r["part"] << 40))
+        fixed.append((r["part"], [x for x, _ in carry], [x for _, x in carry]))
+        own = list(zip(r["levels"], r["starts"]))[1:]
+        if own:
+            carry = [x for x in carry if x[0] < own[0][0]] + own
+        tail = list(r["tail"])
+    fix = F.broadcast(spark.createDataFrame(fixed, "part int, bounds array<int>, names array<long>"))
+    rows = found.where("head is null").join(fix, "part")
+    # bounds ascend: the last one below n counts
+    start = F.coalesce("start", F.get("names", F.size(F.filter("bounds", lambda x: x < F.col("n"))) - 1))
+    return rows.select(*PLACE, "n", start.alias("start")), [path]
 
 
 def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines of a document that runs of n lines from at on cover."""
+    """The lines of a document that runs of n lines from at on cover, and for each of its lines up to the last such one
+    whether it is one."""
     for batch in batches:
-        cuts = []
+        flags = []
         for at, n in zip(batch.column(2), batch.column(3)):
             at = at.values.to_numpy()
             end = at + n.values.to_numpy()
             edge = np.bincount(at, minlength=end.max() + 1) - np.bincount(end, minlength=end.max() + 1)
-            cuts.append(np.flatnonzero(np.cumsum(edge)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cuts, pa.list_(pa.int32()))], names=["doc", "fp", "lines"])
+            flags.append(np.cumsum(edge)[:-1] > 0)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([np.flatnonzero(x) for x in flags], pa.list_(pa.int32())), pa.array(flags, pa.list_(pa.bool_()))], names=["doc", "fp", "lines", "gone"])
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, nested: bool = False) -> tuple[DataFrame, list[str]]:
-    """(doc, fp, lines): the numbers of the lines to delete, for documents that have any; and the tables it reads."""
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, list[str]]:
+    """(doc, fp, lines, gone): the numbers of the lines to delete, and flags of all lines up to the last one of these,
+    for documents that have any; and the tables they are read from."""
     spark = docs.sparkSession
     texts = _keyed(bounded(docs)).select("doc", "fp", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("text <> ''")
-    lines, lines_path = materialize(texts.mapInArrow(_line_table, "doc long, fp long, h array<long>, w array<int>").dropDuplicates(KEY), "lines")
-    array, paths = suffix_array(lines, min_words, nested)
-    # Intervals: neighbours in the array whose common prefix reaches min_words words share its fingerprint.
-    order = array.select(*PLACE, "need", "rank", F.posexplode("prefixes").alias("more", "b"))
-    order = order.select(F.lit(0).cast("long").alias("a"), "b", *PLACE, (F.col("need") + F.col("more")).alias("n") if nested else F.lit(0).alias("n"), "rank")
-    members, member_paths = _place(order, ["n", "rank", "b", *PLACE], "lines-intervals")
-    members = members.where("tied").select(*PLACE, "n", F.col("first_ab").alias("interval"))
-    origin = members.groupBy("interval").agg(F.min(F.struct(*PLACE)).alias("o"))
-    copies = members.join(origin, "interval").where(F.struct(*PLACE) > F.col("o"))
-    if nested:
-        runs = copies.groupBy(*KEY).agg(F.collect_list(F.struct("pos", "n")).alias("r"))
-        gone = runs.select("doc", "fp", F.col("r.pos").alias("at"), F.col("r.n").alias("n")).mapInArrow(_covered, "doc long, fp long, lines array<int>")
-    else:
-        runs = copies.groupBy("doc", "fp", F.col("o.doc").alias("doc0"), F.col("o.fp").alias("fp0")).agg(F.collect_list(F.struct("pos", F.col("o.pos").alias("pos0"))).alias("r"))
-        runs = runs.join(lines.select("doc", "fp", "h"), KEY).join(lines.select(F.col("doc").alias("doc0"), F.col("fp").alias("fp0"), F.col("h").alias("h0")), ["doc0", "fp0"])
-        gone = runs.select("doc", "fp", "h", "h0", F.col("r.pos").alias("at"), F.col("r.pos0").alias("at0")).mapInArrow(_delete, "doc long, fp long, lines array<int>")
-        gone = gone.groupBy(*KEY).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("lines"))
+    lines = texts.mapInArrow(_line_table, "doc long, fp long, h array<long>, w array<int>").dropDuplicates(KEY)
+    array, paths = suffix_array(lines, min_words)
+    members, member_paths = _members(array)
+    origin = members.groupBy("n", "start").agg(F.min(F.struct(*PLACE)).alias("o")).select("o.*", "n")
+    copies = members.join(origin, [*PLACE, "n"], "left_anti")
+    runs = copies.groupBy(*KEY).agg(F.collect_list(F.struct("pos", "n")).alias("r"))
+    gone = runs.select("doc", "fp", F.col("r.pos").alias("at"), F.col("r.n").alias("n")).mapInArrow(_covered, "doc long, fp long, lines array<int>, gone array<boolean>")
     gone, gone_path = materialize(gone, "lines-deleted")
-    drop(spark, lines_path, *paths, *member_paths)
+    drop(spark, *paths, *member_paths)
     return gone, [gone_path]
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, nested: bool = False) -> DataFrame:
-    """The rows with all their columns, ``text`` without repeated runs, and ``deleted_lines`` (null: none).
+def _cut(docs: DataFrame, min_words: int) -> DataFrame:
+    """(row, kept, lines): the rows as structs, the text that is left, and the lines that are deleted."""
+    gone, _ = repeated_lines(docs, min_words)
+    keyed = _keyed(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")).select("row", "doc", "fp")
+    out = keyed.join(gone.hint("shuffle_hash"), KEY, "left")
+    text: Column = F.col("row.text").cast("string")
+    left = F.array_join(F.zip_with(F.split(text, "\n"), F.col("gone"), lambda line, x: F.when(~F.coalesce(x, F.lit(False)), line)), "\n")
+    return out.select("row", F.when(F.col("lines").isNull(), F.col("row.text")).otherwise(left).alias("kept"), "lines")
+
+
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The rows with all their columns, ``text`` without later copies of repeated runs, and ``deleted_lines`` (null: none;
+    a column of that name is replaced).
 
     Only runs of at least ``min_words`` words count; of copies, the one with the least (doc_id, fingerprint of the text,
-    line number) stays. A later copy loses what it shares with the first one, or, ``nested``, what it shares with any
-    earlier one. A null text stays null. Rows with equal doc_id and text are one document and get one result.
+    line number) stays. A null text stays null; a null doc_id counts as the least one. Rows with equal doc_id and text are
+    one document and get one result. A text is its lines whole, however long it is; an empty table gives no rows.
     """
-    gone, _ = repeated_lines(docs, min_words, nested)
-    names = docs.columns
-    keyed = _keyed(docs.select(F.struct(*names).alias("row"), "doc_id", "text")).select("row", "doc", "fp")
-    out = keyed.join(gone.hint("shuffle_hash"), KEY, "left")
-    text: Column = F.col("row.text")
-    kept = F.when(F.col("lines").isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("lines"), i)), "\n"))
-    return out.select(*[kept.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in names], F.col("lines").alias("deleted_lines"))
+    names = [c for c in docs.columns if c.lower() != "deleted_lines"]
+    return _cut(docs.select(*names), min_words).select(*[F.col("kept").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in names], F.col("lines").alias("deleted_lines"))
+
+
+def without_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """:func:`dedup_lines` with the rows' own columns alone, without the rows of which nothing is left."""
+    out = _cut(docs, min_words).where("lines is null or kept <> ''")
+    return out.select(*[F.col("kept").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), nested=True)
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "text", F.coalesce(F.size("deleted_lines"), F.lit(0)).cast("long").alias("n_deleted"), F.array_join(F.col("deleted_lines").cast("array<string>"), ",").alias("deleted_lines"))

@@ -689,20 +689,26 @@ def test_pii_runs_no_python(spark, docs):
 # --- 10
 
 
-def brute_lines(rows, min_words=50):
-    """Lines to delete, by (doc_id, text): from each later copy of a run of min_words words, what it shares with the first."""
-    lines = {k: k[1].split("\n") for k in {(d, t or "") for d, t in rows}}
-    count = {k: [len(words(x)) for x in v] for k, v in lines.items()}
-    starts = defaultdict(list)
-    for k, v in lines.items():
-        for i in range(len(v)):
-            n, j = 0, i
-            while j < len(v) and n < min_words:
-                n += count[k][j]
-                j += 1
-            if n >= min_words:
-                starts[tuple(v[i:j])].append((k, i))
-    return lines, starts
+def brute_runs(rows, min_words=50):
+    """Lines to delete, by doc_id: those of every later copy of any repeated run of min_words words."""
+    places, want = defaultdict(set), defaultdict(set)
+    for d, t in rows:
+        lines = t.split("\n")
+        for i in range(len(lines)):
+            n = 0
+            for j in range(i, len(lines)):
+                n += len(words(lines[j]))
+                if n >= min_words:
+                    places[tuple(lines[i : j + 1])].add((d, i))
+    for run, at in places.items():
+        for d, i in sorted(at)[1:]:
+            want[d].update(range(i, i + len(run)))
+    return want
+
+
+def deleted(spark, rows, parts=6):
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    return {r["doc_id"]: (set(r["deleted_lines"] or ()), r["text"]) for r in linededup.dedup_lines(df).collect()}
 
 
 def test_repeated_lines_are_deleted(spark):
@@ -710,19 +716,9 @@ def test_repeated_lines_are_deleted(spark):
     pool = [prose(rng, rng.choice([1, 3, 12, 30, 70]), 10**6) for _ in range(40)]
     rows = [(d, "\n".join(rng.choice(pool) if rng.random() < 0.7 else prose(rng, 9) for _ in range(rng.randrange(1, 14)))) for d in range(60)]
     rows += [(100 + d, rows[d][1]) for d in range(5)] + [(200, "\n".join([pool[0]] * 9)), (201, "Some line\n" * 60), (202, "some line\n" * 60)]
-    lines, starts = brute_lines(rows)
-    want = defaultdict(set)
-    for places in starts.values():
-        (o, j0), *later = sorted(places, key=lambda p: (p[0][0], p[1]))
-        for k, i in later:
-            j = j0
-            while i < len(lines[k]) and j < len(lines[o]) and lines[k][i] == lines[o][j]:
-                want[k[0]].add(i)
-                i, j = i + 1, j + 1
-    got = {r["doc_id"]: (r["deleted_lines"], r["text"]) for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    want, got = brute_runs(rows), deleted(spark, rows)
     for d, t in rows:
-        assert set(got[d][0] or ()) == want[d]
-        assert got[d][1] == "\n".join(x for i, x in enumerate(t.split("\n")) if i not in want[d])
+        assert got[d] == (want[d], "\n".join(x for i, x in enumerate(t.split("\n")) if i not in want[d]))
 
 
 def test_runs_at_the_ends_of_documents_are_found(spark):
@@ -735,34 +731,55 @@ def test_runs_at_the_ends_of_documents_are_found(spark):
         run = [lines[i] if rng.random() < 0.97 else lines[8] for i in range(n)]
         head, tail = ([prose(rng, 4, 10**6) for _ in range(rng.randrange(3))] for _ in range(2))
         rows.append((d, "\n".join(head + run + (tail if rng.random() < 0.4 else []))))
-    cut, starts = brute_lines(rows)
-    want = defaultdict(set)
-    for places in starts.values():
-        (o, j0), *later = sorted(places)
-        for k, i in later:
-            j = j0
-            while i < len(cut[k]) and j < len(cut[o]) and cut[k][i] == cut[o][j]:
-                want[k[0]].add(i)
-                i, j = i + 1, j + 1
-    got = {r["doc_id"]: set(r["deleted_lines"] or ()) for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
-    assert got == {d: want[d] for d, _ in rows}
+    want, got = brute_runs(rows), deleted(spark, rows)
+    assert {d: got[d][0] for d in got} == {d: want[d] for d, _ in rows}
 
 
-def brute_runs(rows, min_words=50):
-    """Lines to delete, by doc_id: those of every later copy of any repeated run of min_words words."""
-    places, want = defaultdict(set), defaultdict(set)
-    for d, t in rows:
-        lines = t.split("\n")
-        for i in range(len(lines)):
-            n = 0
-            for j in range(i, len(lines)):
-                n += len(words(lines[j]))
-                if n >= min_words:
-                    places[tuple(lines[i : j + 1])].add((d, i))
-    for run, at in places.items():
-        for d, i in sorted(at)[1:]:
-            want[d].update(range(i, i + len(run)))
-    return want
+def lines_of_suffixes(spark, rows):
+    schema = "doc long, fp long, pos int, need int, prefixes array<long>, rank long"
+    return linededup._members(spark.createDataFrame(rows, schema).withColumn("reach", F.lit(1)))[0].collect()
+
+
+@pytest.mark.parametrize("parts", [1, 2, 5, 40])
+def test_intervals_are_those_of_ranks_and_common_prefixes(spark, parts):
+    # Rows with any fingerprints, whatever texts they stand for: only neighbours by rank may share an interval.
+    rng = random.Random(parts)
+    rows, rank = [], 0
+    for _ in range(60):
+        need, base = rng.randrange(1, 4), [rng.randrange(10**9) for _ in range(6)]
+        for many in sorted(rng.randrange(1, 6) for _ in range(rng.randrange(1, 9))):
+            rows.append((rng.randrange(10**6), 0, len(rows), need, base[:many], rank))
+            rank += 1
+    order = sorted(rows, key=lambda r: (r[5], *r[:3]))
+    rng.shuffle(order)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = lines_of_suffixes(spark, order)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    by = defaultdict(set)
+    for r in got:
+        by[r["n"], r["start"]].add(r["pos"])
+    want = set()
+    ordered = sorted(rows, key=lambda r: r[5])
+    for i, r in enumerate(ordered):
+        for n in range(r[3], r[3] + len(r[4])):
+            group, j = {r[2]}, i
+            while j + 1 < len(ordered) and ordered[j + 1][3] == r[3] and ordered[j + 1][4][: n - r[3] + 1] == r[4][: n - r[3] + 1]:
+                j += 1
+                group.add(ordered[j][2])
+            j = i
+            while j and ordered[j - 1][3] == r[3] and ordered[j - 1][4][: n - r[3] + 1] == r[4][: n - r[3] + 1]:
+                j -= 1
+                group.add(ordered[j][2])
+            if len(group) > 1:
+                want.add((n, frozenset(group)))
+    assert {(n, frozenset(g)) for (n, _), g in by.items() if len(g) > 1} == want
+    # The same prefixes in ranks that are apart make no interval: ranks and neighbours decide, not the fingerprints alone.
+    apart = [(1, 0, 0, 1, [5], 0), (2, 0, 1, 1, [6], 1), (3, 0, 2, 1, [5], 2)]
+    got = lines_of_suffixes(spark, apart)
+    assert len({(r["n"], r["start"]) for r in got}) == len(got)
 
 
 def test_every_later_copy_of_a_run_is_deleted(spark):
@@ -774,8 +791,8 @@ def test_every_later_copy_of_a_run_is_deleted(spark):
     rows += [(200 + d, rows[10 + d][1]) for d in range(5)] + [(300, "Some line\n" * 60)]
     want = brute_runs(rows)
     assert want[1] == {0} and want[2] == {0, 1, 2, 3, 4} and want[3] == {0, 1, 2}
-    got = {r["doc_id"]: set(r["deleted_lines"] or ()) for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), nested=True).collect()}
-    assert got == {d: want[d] for d, _ in rows}
+    got = deleted(spark, rows)
+    assert {d: got[d][0] for d in got} == {d: want[d] for d, _ in rows}
 
 
 def test_lines_of_odd_rows(spark, odd, none):
@@ -786,6 +803,10 @@ def test_lines_of_odd_rows(spark, odd, none):
     assert all(not r["deleted_lines"] for r in rows if r["doc_id"] in (4, 5, 6, 9, 10, 11, 12))
     assert [r["deleted_lines"] for r in rows if r["doc_id"] == 13] == [[0, 1, 2, 3]]
     assert linededup.dedup_lines(none).count() == 0
+    clash = odd.withColumn("deleted_lines", F.lit("x"))
+    assert linededup.dedup_lines(clash).columns == clash.columns and linededup.without_repeated_lines(clash).columns == clash.columns
+    left = linededup.without_repeated_lines(clash).collect()
+    assert {r["deleted_lines"] for r in left} == {"x"} and sorted((r["doc_id"] or 0) for r in left) == sorted((r["doc_id"] or 0) for r in rows if not (r["deleted_lines"] and r["text"] == ""))
 
 
 # --- all
