@@ -50,6 +50,25 @@ _SPACES = re.compile(r"[ \t\n\r\f]+")
 _RULE = re.compile(r"([^{}]++)\{([^{}]*+)\}")
 _SIMPLE = re.compile(r"(?:[a-zA-Z][\w-]*+|\*)?(?:[.#][\w-]++)*+")
 
+#: Fixed values of the HTML standard: the most columns and rows that a cell spans; a rowspan of 0 is as many as there are.
+MAX_COLSPAN, MAX_ROWSPAN = 1000, 65_534
+
+
+def unescape(text: str) -> str:
+    """The text with its character references resolved; numbers of any length, those beyond Unicode as U+FFFD."""
+    if "&#" in text:
+        text = re.sub(r"&#0+(?=[0-9])", "&#", text)
+        text = re.sub(r"&#[0-9]{8,}", "&#9999999", text)
+    return entities.unescape(text)
+
+
+def _number(text: str | None, least: int, most: int, default: int) -> int:
+    """A whole number of any length held between two bounds."""
+    if not text or not (m := re.fullmatch(r"[ \t\n\f\r]*\+?0*([0-9]+)[^0-9]?.*", text, re.S)):
+        return default
+    return max(least, min(int(m[1][:9]) if len(m[1]) <= 9 else most, most))
+
+
 
 class Node:
     __slots__ = ("attrs", "children", "tag")
@@ -136,7 +155,7 @@ def parse(source: str) -> tuple[Node, list[str]]:
             if at < n and source[at] in "\"'" and a[2] is None and a[3] is None and a[4] is None and source[at - 1 : at] in "= \t\n":
                 at = n  # a quoted value that does not end
                 break
-            attrs.setdefault(a[1].lower(), entities.unescape(next((v for v in a.groups()[1:] if v is not None), "")))
+            attrs.setdefault(a[1].lower(), unescape(next((v for v in a.groups()[1:] if v is not None), "")))
         if at >= n:
             break
         at += 1
@@ -164,7 +183,7 @@ def parse(source: str) -> tuple[Node, list[str]]:
             if tag == "style":
                 sheets.append(body)
             elif tag in ("textarea", "xmp", "plaintext"):
-                node.children.append(entities.unescape(body) if tag == "textarea" else body)
+                node.children.append(unescape(body) if tag == "textarea" else body)
             stop = source.find(">", end.start()) if end else -1
             at = n if stop < 0 else stop + 1
             continue
@@ -179,7 +198,7 @@ def add_text(stack: list[Node], text: str) -> None:
     if node.tag == "head" and text.strip():
         stack.pop()
         node = stack[-1]
-    node.children.append(entities.unescape(text) if "&" in text else text)
+    node.children.append(unescape(text) if "&" in text else text)
 
 
 def _declared(style: str) -> tuple[bool | None, bool | None]:
@@ -361,10 +380,8 @@ class Renderer:
                 self.render(child, out, sees, pre or tag == "textarea", depth)
 
     def list(self, node: Node, out: Lines, visible: bool, depth: int) -> None:
-        try:
-            number = int(node.attrs.get("start", "1"))
-        except ValueError:
-            number = 1
+        m = re.fullmatch(r"\s*([-+]?[0-9]{1,9})\s*", node.attrs.get("start", "1"))
+        number = int(m[1]) if m else 1
         for child in node.children:
             if isinstance(child, Node) and child.tag == "li":
                 shown, sees = self.shown(child, visible)
@@ -410,7 +427,8 @@ class Renderer:
                 while above.get(column, 0):
                     line.append(([], 1))
                     column += 1
-                span, down = (max(1, min(int(x), 1000)) if (x := c.attrs.get(k, "1")).isdecimal() else 1 for k in ("colspan", "rowspan"))
+                span = _number(c.attrs.get("colspan"), 1, MAX_COLSPAN, 1)
+                down = _number(c.attrs.get("rowspan"), 0, MAX_ROWSPAN, 1) or MAX_ROWSPAN
                 one = Lines()
                 self.render(c, one, inner, False, depth + 1)
                 line.append((one.lines(), span))
@@ -478,7 +496,7 @@ def render(source: str | None) -> tuple[str, str]:
         return "", ""
     root, sheets = parse(source)
     found = re.search(r"<title(?:\s[^>]*)?>(.*?)(?:</title|$)", source, re.S | re.I)
-    title = " ".join(entities.unescape(found[1]).split()) if found else ""
+    title = " ".join(unescape(found[1]).split()) if found else ""
     out = Lines()
     r = Renderer(sheets)
     shown, sees = r.shown(root, True)
@@ -488,7 +506,11 @@ def render(source: str | None) -> tuple[str, str]:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, title, text, n_lines of every page; null or empty html gives empty text. Narrow: no shuffle."""
+    """page_id, title, text, n_lines of every page; null or empty html gives empty text. Narrow: no shuffle.
+
+    Repeated rows each give a row; other columns do not matter. A page is read whole, however long it is or deep its
+    tags are nested; markup that is broken in whatever way gives the text that a browser would show.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
