@@ -450,13 +450,64 @@ def test_media_round_trip(spark, odd, none):
         data = (t or "").encode()
         padded = data + b"\0" * (-len(data) % 64 if data else 64)
         stored = media.store(padded)
-        assert media.load(stored, len(padded)) == padded
+        assert media.load([stored], [len(padded)])[0][0] == padded
         seen.setdefault((d, len(data)), []).append((len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]), len(stored), hashlib.sha256(stored).hexdigest()))
     for r in got:
         assert (r["payload_bytes"], r["payload_sha256"], r["tail_crc32"], r["media_bytes"], r["media_sha256"]) in seen[r["doc_id"], r["n_bytes"]]
     assert media.media_features(none).count() == 0
     pixels = media.decode_column(media.encode_column(odd).union(spark.createDataFrame([(99, None, 0), (98, bytearray(b"RIFFxxxxWEBP"), 0)], "doc_id long, media binary, payload_bytes long"))).collect()
-    assert {r["doc_id"]: r["error"] for r in pixels if r["error"]} == {99: "null", 98: "no VP8L chunk"}
+    assert {r["doc_id"]: r["error"] for r in pixels if r["error"]} == {99: "null", 98: "no whole RIFF container"}
+
+
+def test_stored_texts_are_read_through_every_feature(spark, docs, odd):
+    got = media.media_features(docs.union(odd.select(docs.columns))).agg(*[F.sum(x).alias(x) for x in media.FEATURES], F.max("images").alias("images"), F.sum("media_bytes").alias("media"), F.sum("payload_bytes").alias("payload")).first()
+    assert all(got[x] > 0 for x in media.FEATURES) and got["images"] > 10 and got["media"] < got["payload"]
+
+
+def chunks(n=120):
+    rng = random.Random(21)
+    alphabet = "abcdefgh ijklmnop\nqrstuvwxyzÄéß漢\0"
+    texts = ["".join(rng.choice(alphabet[: rng.randrange(1, 30)]) for _ in range(rng.randrange(3000))) * rng.randrange(1, 3) for _ in range(n)]
+    payloads = [media.pad(t.encode()) for t in texts] + [bytes(rng.randrange(256) for _ in range(64 * 40))]
+    return payloads, [[webp.chunk(f) for f in media.images(media.store(x))] for x in payloads]
+
+
+def test_images_read_together_are_those_read_one_by_one():
+    payloads, stored = chunks()
+    flat = [c for x in stored for c in x]
+    together, alone = webp.decode_many(flat), [webp.decode_with_features(c) for c in flat]
+    assert all((a[0] == b[0]).all() and a[1] == b[1] for a, b in zip(together, alone))
+    assert {k for _, read in together for k, v in read.items() if v} == {"palette", "predictor", "cross_colour", "references", "cached"}
+    for x, (back, _, _) in zip(payloads, media.load([media.store(x) for x in payloads], [len(x) for x in payloads])):
+        assert back == x
+
+
+def test_other_streams_are_read_together():
+    # With a meta prefix image, a palette, a cache and references, many times over and beside images of other sizes.
+    rng = random.Random(22)
+    meta = Writer()
+    meta.put(0x2F, 8).put(7, 14).put(7, 14).put(1, 1).put(0, 3).put(0, 1)
+    meta.put(0, 1).put(1, 1).put(0, 3)  # no cache; a meta image of 2 x 2 tiles
+    image(meta, [0xFF000000, 0xFF000100, 0xFF000100, 0xFF000000], top=False)
+    groups = [[meta.flat(x, n) for x, n in zip(parts, (280, 256, 256, 256, 40))] for parts in ([[1, 2], [3], [4], [255], [0]], [[5, 6, 7, 8], [9], [10], [255], [0]])]
+    want = []
+    for y in range(8):
+        for x in range(8):
+            which = int((y < 4) != (x < 4))
+            g = rng.choice([[1, 2], [5, 6, 7, 8]][which])
+            meta.put(*groups[which][0][g])
+            for k, v in zip((1, 2, 3), ((3, 4, 255), (9, 10, 255))[which]):
+                meta.put(*groups[which][k][v])
+            want.append(255 << 24 | (3, 9)[which] << 16 | g << 8 | (4, 10)[which])
+    ref = head(6, 3).put(0, 1)
+    pixels = [rng.randrange(2**32) for _ in range(6)]
+    image(ref, None, ops=[("px", p) for p in pixels] + [("copy", 6, 126), ("copy", 6, 1)])
+    many = [meta.bytes(), ref.bytes()] * 20 + [x for c in chunks(5)[1] for x in c]
+    got = webp.decode_many(many)
+    assert all(argb(px) == (want, pixels * 3)[i % 2] for i, (px, _) in enumerate(got[:40]))
+    assert argb(webp.decode_vp8l(meta.bytes())) == want
+    with pytest.raises(webp.WebPError):
+        webp.decode_many(many + [many[-1][: len(many[-1]) - 20]])
 
 
 class Writer(webp.BitWriter):
