@@ -105,22 +105,22 @@ def canonical(used: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
     return out
 
 
-_known: dict[tuple[int, int], list[tuple[int, int, PrefixCode]]] = {}
+_known: dict[tuple[int, int], list[tuple[int, int, list[PrefixCode]]]] = {}
 
 
-def _read_code(b: Bits, alphabet: int) -> PrefixCode:
-    """The prefix code that begins here. Codes met before are known by their bits; at most 256 are kept."""
+def _read_group(b: Bits, greens: int) -> list[PrefixCode]:
+    """The five prefix codes that begin here. Groups met before are known by their bits; at most 64 are kept."""
     bits = lambda at, n: (int.from_bytes(b.data[at >> 3 : (at + n >> 3) + 1], "little") >> (at & 7)) & ((1 << n) - 1)
-    key = (alphabet, bits(b.at, 32))
-    for n, value, code in _known.get(key, ()):
+    key = (greens, bits(b.at, 32))
+    for n, value, group in _known.get(key, ()):
         if b.at + n <= b.end and bits(b.at, n) == value:
             b.at += n
-            return code
+            return group
     began = b.at
-    code = _parse_code(b, alphabet)
-    if sum(map(len, _known.values())) < 256:
-        _known.setdefault(key, []).append((b.at - began, bits(began, b.at - began), code))
-    return code
+    group = [_parse_code(b, n) for n in (greens, 256, 256, 256, 40)]
+    if sum(map(len, _known.values())) < 64:
+        _known.setdefault(key, []).append((b.at - began, bits(began, b.at - began), group))
+    return group
 
 
 def _parse_code(b: Bits, alphabet: int) -> PrefixCode:
@@ -190,7 +190,7 @@ def _entropy_image(b: Bits, width: int, height: int, top: bool) -> Generator[Ima
         meta = (((yield from _entropy_image(b, w, h, False)) >> 8) & 0xFFFF).reshape(h, w)
     groups = []
     for _ in range(1 + (int(meta.max()) if meta is not None else 0)):
-        groups.append([_read_code(b, n) for n in (256 + 24 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)])
+        groups.append(_read_group(b, 256 + 24 + (1 << cache_bits if cache_bits else 0)))
     return (yield Image(b, width, height, cache_bits, groups, meta, shift))
 
 
@@ -573,22 +573,6 @@ class BitWriter:
         self.n += n
         return self
 
-    def append(self, values: np.ndarray, sizes: np.ndarray) -> BitWriter:
-        """Values of at most 58 bits each."""
-        end = np.cumsum(sizes, dtype=np.uint64)
-        total = int(end[-1]) if len(end) else 0
-        if total:
-            begin = end - sizes
-            word, shift = (begin >> np.uint64(6)).astype(np.int64), begin & np.uint64(63)
-            out = np.zeros(total // 64 + 2, np.uint64)
-            first = np.flatnonzero(np.diff(word, prepend=-1))
-            out[word[first]] = np.bitwise_or.reduceat(values << shift, first)
-            high = np.where(shift > 0, values >> (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
-            out[word[first] + 1] |= np.bitwise_or.reduceat(high, first)
-            self.value |= int.from_bytes(out.tobytes(), "little") << self.n
-            self.n += total
-        return self
-
     def bytes(self) -> bytes:
         return self.value.to_bytes((self.n + 7) // 8, "little")
 
@@ -678,35 +662,31 @@ def _write_code(w: BitWriter, counts: np.ndarray, limit: int = 12) -> tuple[np.n
 
 
 MAX_MATCH = 4096
-MAX_DISTANCE = (1 << 20) - 120
 
 
-def _parse(px: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Greedy tokens of the pixels: where they begin, their lengths (1: no reference) and distances.
+def _parse(px: np.ndarray, image: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Greedy tokens of the pixels of images one after another: where they begin, their lengths (1: no reference) and
+    distances.
 
-    A place refers to the latest one with the same two pixels; matches grow while the distance stays the same.
+    A place refers to the latest one in its image with the same two pixels; matches grow while the distance stays the same.
     """
     n = len(px)
     step, far = np.ones(n, np.int64), np.zeros(n, np.int64)
-    if n > 2:
-        key = px[:-1].astype(np.uint64) | px[1:].astype(np.uint64) << np.uint64(32)
-        order = np.argsort((key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.uint16), kind="stable")
-        key = key[order]
-        same = key[1:] == key[:-1]
-        at = order[1:][same]
-        if len(at):
-            far[at] = at - order[:-1][same]
-            far[far > MAX_DISTANCE] = 0
-            edge = np.append(np.flatnonzero(far[1:] != far[:-1]), n - 1)
-            last = np.repeat(edge, np.diff(edge, prepend=-1))
-            size = np.minimum(last - np.arange(n) + 2, MAX_MATCH)
-            use = far > 0
-            step[use] = size[use]
-    may = np.flatnonzero(step > 1)
-    if not len(may):
+    key = px[:-1].astype(np.uint64) | px[1:].astype(np.uint64) << np.uint64(32)
+    mixed = (key ^ image[:-1].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
+    order = np.argsort(mixed.astype(np.uint32), kind="stable")
+    order = order[image[order] == image[order + 1]]
+    again = (key[order[1:]] == key[order[:-1]]) & (image[order[1:]] == image[order[:-1]])
+    at = order[1:][again]
+    if not len(at):
         return np.arange(n), step, far
+    far[at] = at - order[:-1][again]
+    edge = np.append(np.flatnonzero((far[1:] != far[:-1]) | (image[1:] != image[:-1])), n - 1)
+    last = np.repeat(edge, np.diff(edge, prepend=-1))
+    step[at] = np.minimum(last[at] - at + 2, MAX_MATCH)
     taken, free = [], 0
-    for i, size in zip(may.tolist(), step[may].tolist()):
+    at.sort()
+    for i, size in zip(at.tolist(), step[at].tolist()):
         if i >= free:
             taken.append(i)
             free = i + size
@@ -737,13 +717,17 @@ def _near(width: int) -> np.ndarray:
     return out
 
 
-def _cache_hits(pixel: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each pixel's place in the cache, and whether it is there when its turn comes."""
-    slot = (pixel * np.uint32(0x1E35A7BD) >> np.uint32(32 - bits)).astype(np.uint16)
-    order = np.argsort(slot, kind="stable")
-    hit = np.zeros(len(pixel), bool)
-    hit[order[1:]] = (slot[order[1:]] == slot[order[:-1]]) & (pixel[order[1:]] == pixel[order[:-1]])
-    return slot.astype(np.int64), hit
+CACHE_BITS = 8
+
+
+def _cache_hits(px: np.ndarray, image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pixel's place in its image's cache, and whether it is there when its turn comes."""
+    slot = (px * np.uint32(0x1E35A7BD) >> np.uint32(32 - CACHE_BITS)).astype(np.int64)
+    order = np.argsort((image << CACHE_BITS | slot).astype(np.uint32), kind="stable")
+    hit = np.zeros(len(px), bool)
+    a, b = order[1:], order[:-1]
+    hit[a] = (slot[a] == slot[b]) & (px[a] == px[b]) & (image[a] == image[b])
+    return slot, hit
 
 
 _CLASSES = np.full(256, 1)
@@ -758,11 +742,11 @@ _CLASSES[32] = 200
 WEIGHTS = (_CLASSES, np.full(256, 4))
 
 
-@functools.lru_cache(256)
-def _code(table: int, channel: int, cache_bits: int, only: int) -> tuple[int, int, np.ndarray, np.ndarray]:
+@functools.lru_cache(1024)
+def _code(table: int, channel: int, cache: bool, only: int = -1) -> tuple[int, int, np.ndarray, np.ndarray]:
     """The prefix code of a channel (0 green, 1 to 3 others, 4 distances) as bits, how many bits, codes and lengths.
     ``only`` from 0 up: this symbol alone."""
-    size = 40 if channel == 4 else 256 if channel else 280 + (1 << cache_bits if cache_bits else 0)
+    size = 40 if channel == 4 else 256 if channel else 280 + (1 << CACHE_BITS if cache else 0)
     weights = np.zeros(size, np.int64)
     if only >= 0:
         weights[only] = 1
@@ -770,57 +754,120 @@ def _code(table: int, channel: int, cache_bits: int, only: int) -> tuple[int, in
         weights[:] = 1
     else:
         weights[:256] = WEIGHTS[table]
-        weights[256:264] = 2 if channel == 0 else 0
+        weights[256:264] = 2
         weights[264:] = 1
     w = BitWriter()
     codes, lengths = _write_code(w, weights)
     return w.value, w.n, codes, lengths.astype(np.uint64)
 
 
-def _write_image(w: BitWriter, px: np.ndarray, width: int, *, top: bool, cache_bits: int = 0, index: bool = False) -> None:
-    """An entropy-coded image of ARGB pixels; only the top one has references. ``index``: only green differs."""
-    w.put(bool(cache_bits), 1)
-    if cache_bits:
-        w.put(cache_bits, 4)
-    if top:
-        w.put(0, 1)
-    begin, length, distance = _parse(px) if top else (np.arange(len(px)), np.ones(len(px), np.int64), np.zeros(len(px), np.int64))
+#: Kinds of images by what codes they take: each table without and with a cache, and images of palette indices.
+_KINDS = [(t, cache, -1) for cache in (False, True) for t in range(len(WEIGHTS))] + [(1, False, 0)]
+_INDICES = len(_KINDS) - 1
+_GREENS = 280 + (1 << CACHE_BITS)
+
+
+@functools.lru_cache(1)
+def _book() -> tuple[np.ndarray, ...]:
+    """Codes and lengths of green symbols and of the other channels' by kind, row after row; those of distances."""
+    green, other = np.zeros((2, len(_KINDS), _GREENS), np.uint64), np.zeros((2, len(_KINDS), 256), np.uint64)
+    for k, (t, cache, fixed) in enumerate(_KINDS):
+        _, _, codes, lengths = _code(t, 0, cache)
+        green[0, k, : len(codes)], green[1, k, : len(codes)] = codes, lengths
+        if fixed < 0:
+            other[0, k], other[1, k] = _code(t, 1, False)[2:]
+    return green[0].ravel(), green[1].ravel(), other[0].ravel(), other[1].ravel(), *_code(0, 4, False)[2:]
+
+
+def _write_images(writers: list[BitWriter], pixels: list[np.ndarray], widths: list[int], *, top: bool, cache: list[bool] | None = None, index: list[bool] | None = None) -> None:
+    """Each writer gets an entropy-coded image of ARGB pixels; only top ones have references. ``index``: red and blue are
+    0, alpha is 255."""
+    if not writers:
+        return
+    green_code, green_size, other_code, other_size, far_code, far_size = _book()
+    n = len(writers)
+    has_cache, is_index = (np.array(x if x is not None else [False] * n) for x in (cache, index))
+    px, sizes = np.concatenate(pixels), np.array([len(x) for x in pixels])
+    image = np.repeat(np.arange(n), sizes)
+    every = np.arange(len(px))
+    begin, length, distance = _parse(px, image) if top and len(px) > 1 else (every, np.ones(len(px), np.int64), np.zeros(len(px), np.int64))
+    of = image[begin]
     copy, cached = length > 1, np.zeros(len(begin), bool)
-    if cache_bits:
-        slot, hit = _cache_hits(px, cache_bits)
+    if has_cache.any():
+        some = np.flatnonzero(has_cache[image])
+        slot, hit = np.zeros(len(px), np.int64), np.zeros(len(px), bool)
+        slot[some], hit[some] = _cache_hits(px[some], image[some])
         cached = ~copy & hit[begin]
-    literal = ~(copy | cached)
-    v = px[begin[literal]]
-    channels = [(v >> np.uint32(shift) & np.uint32(255)).astype(np.int64) for shift in (8, 16, 0, 24)]
-    alone = len(px) == 1
-    only = [int(c[0]) if k and index or alone else -1 for k, c in enumerate(channels)]
-    best = 0
-    if not (index or alone):
-        count = np.bincount(v.view(np.uint8), minlength=256)
-        best = int(np.argmin([int(count @ _code(t, 1, 0, -1)[3].astype(np.int64)) for t in range(len(WEIGHTS))]))
-    codes = [_code(best, k, cache_bits, only[k]) for k in range(4)] + [_code(best, 4, 0, -1 if copy.any() else 0)]
-    for value, n, _, _ in codes:
-        w.put(value, n)
-    fields = np.zeros((4, 2, len(begin)), np.uint64)  # values and their bits
-    at = slice(None) if literal.all() else literal
-    for k, c in enumerate(channels):
-        if codes[k][3].any():
-            fields[k, 0, at], fields[k, 1, at] = codes[k][2][c], codes[k][3][c]
-    if cached.any():
-        symbol = 280 + slot[begin[cached]]
-        fields[0, 0, cached], fields[0, 1, cached] = codes[0][2][symbol], codes[0][3][symbol]
-    if copy.any():
-        near, d = _near(width), distance[copy]
-        mapped = near[np.minimum(d, len(near) - 1)]
-        d = np.where((d < len(near)) & (mapped > 0), mapped, d + 120)
-        (ls, lx, ln), (ds, dx, dn) = _prefix(length[copy]), _prefix(d)
-        for k, (x, n) in enumerate(((codes[0][2][256 + ls], codes[0][3][256 + ls]), (lx, ln), (codes[4][2][ds], codes[4][3][ds]), (dx, dn))):
-            fields[k, 0, copy], fields[k, 1, copy] = x, n
-    value, size = fields[0, 0].copy(), fields[0, 1].copy()
-    for x, n in fields[1:]:
-        value |= x << size
-        size += n
-    w.append(value, size)
+    literal = np.flatnonzero(~(copy | cached))
+    v, of_literal = px[begin[literal]], of[literal]
+    green, red, blue, alpha = (((v >> np.uint32(shift)) & np.uint32(255)).astype(np.int64) for shift in (8, 16, 0, 24))
+    cost = [np.bincount(of_literal, sum(x[c] for c in (green, red, blue, alpha)), n) for x in (other_size[t * 256 : t * 256 + 256].astype(np.float64) for t in range(len(WEIGHTS)))]
+    kind = np.where(is_index, _INDICES, np.argmin(cost, axis=0) + len(WEIGHTS) * has_cache)
+    value, size = np.zeros(len(begin), np.uint64), np.zeros(len(begin), np.uint64)
+    base = kind[of_literal]
+    k = base * _GREENS + green
+    x, bits = green_code[k], green_size[k]
+    for c in (red, blue, alpha):
+        k = base * 256 + c
+        x |= other_code[k] << bits
+        bits += other_size[k]
+    value[literal], size[literal] = x, bits
+    at = np.flatnonzero(cached)
+    k = kind[of[at]] * _GREENS + 280 + slot[begin[at]] if len(at) else at
+    value[at], size[at] = green_code[k], green_size[k]
+    at = np.flatnonzero(copy)
+    if len(at):
+        d = distance[at]
+        for width in set(widths):
+            near, mine = _near(width), np.array(widths)[of[at]] == width
+            mapped = near[np.minimum(distance[at[mine]], len(near) - 1)]
+            d[mine] = np.where((distance[at[mine]] < len(near)) & (mapped > 0), mapped, distance[at[mine]] + 120)
+        (ls, lx, ln), (ds, dx, dn) = _prefix(length[at]), _prefix(d)
+        k = kind[of[at]] * _GREENS + 256 + ls
+        x, bits = green_code[k], green_size[k]
+        for y, more in ((lx.astype(np.uint64), ln.astype(np.uint64)), (far_code[ds], far_size[ds]), (dx.astype(np.uint64), dn.astype(np.uint64))):
+            x |= y << bits
+            bits += more
+        value[at], size[at] = x, bits
+    refers = np.bincount(of[at], minlength=n) > 0
+    packed = _packed(value, size, of, n)
+    for i, w in enumerate(writers):
+        table, with_cache, fixed = _KINDS[kind[i]]
+        w.put(with_cache, 1)
+        if with_cache:
+            w.put(CACHE_BITS, 4)
+        if top:
+            w.put(0, 1)
+        for c in range(5):
+            head, bits, _, _ = _code(table, c, with_cache and not c, (0 if c < 3 else 255) if fixed >= 0 and 0 < c < 4 else 0 if c == 4 and not refers[i] else -1)
+            w.put(head, bits)
+        w.put(*packed[i])
+
+
+def _packed(values: np.ndarray, sizes: np.ndarray, of: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """For each of n groups of values (of at most 58 bits) all their bits as one number, and how many they are."""
+    total = np.bincount(of, sizes.astype(np.float64), n).astype(np.int64)
+    words = (total + 63) // 64 + 1
+    first_word = np.cumsum(words) - words
+    upto = np.cumsum(sizes.astype(np.int64))
+    before = np.concatenate(([0], upto))[np.searchsorted(of, np.arange(n))]
+    at = upto - sizes.astype(np.int64) - before[of]
+    word, shift = first_word[of] + (at >> 6), (at & 63).astype(np.uint64)
+    out = np.zeros(int(words.sum()) + 1, np.uint64)
+    start = np.flatnonzero(np.diff(word, prepend=-1))
+    if len(start):
+        out[word[start]] = np.bitwise_or.reduceat(values << shift, start)
+        high = np.where(shift > 0, values >> (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
+        out[word[start] + 1] |= np.bitwise_or.reduceat(high, start)
+    data = out.tobytes()
+    return [(int.from_bytes(data[8 * f : 8 * (f + w)], "little"), t) for f, w, t in zip(first_word.tolist(), words.tolist(), total.tolist())]
+
+
+def _write_pixel(w: BitWriter, p: int) -> None:
+    """An entropy-coded image of one colour: every code has one symbol, so pixels take no bits."""
+    w.put(0, 1)
+    for c, v in enumerate((p >> 8 & 255, p >> 16 & 255, p & 255, p >> 24, 0)):
+        w.put(*_code(0, c, False, v)[:2])
 
 
 #: One tile of a predictor or cross-colour table covers 2**9 x 2**9 pixels.
@@ -828,66 +875,85 @@ _TILE_BITS = 9
 PREDICTORS = (1, 2, 3, 4, 8, 9)
 
 
-CACHE_BITS = 8
-
-
-def encode(px: np.ndarray, width: int, height: int, deal: int) -> bytes:
-    """A lossless WebP file of ARGB pixels (uint32, row after row).
+def encode(images: list[tuple[np.ndarray, int, int, int]]) -> list[bytes]:
+    """Lossless WebP files of images: ARGB pixels (uint32, row after row), width, height, and a number that deals.
 
-    At most 256 pixels make a palette. For other images ``deal`` chooses between a colour cache, a predictor (one of
+    At most 256 pixels make a palette. For other images the number chooses between a colour cache, a predictor (one of
     ``PREDICTORS``) and cross-colour, so that a column of images has all of them.
     """
-    w = BitWriter()
-    w.put(0x2F, 8).put(width - 1, 14).put(height - 1, 14).put(1, 1).put(0, 3)
-    opaque = np.uint32(0xFF000000)
-    if max(width, height) > 1 << _TILE_BITS:
-        raise WebPError("images of one tile are written: at most 512 x 512 pixels")
-    cache_bits, kind, deal, index = 0, deal % 3, deal // 3, False
-    colours, place = np.unique(px, return_inverse=True) if len(px) <= 256 else (None, None)
-    if colours is not None:
-        n, index = len(colours), True
-        c = colours.astype("<u4").view(np.uint8).reshape(-1, 4)
-        deltas = np.diff(c, axis=0, prepend=np.zeros((1, 4), np.uint8)).astype(np.uint8)
-        w.put(1, 1).put(COLOR_INDEXING, 2).put(n - 1, 8)
-        _write_image(w, np.ascontiguousarray(deltas).view("<u4").ravel(), n, top=False)
-        green = place.astype(np.uint8)
-        bits = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
-        if bits:
-            each, row = 8 >> bits, np.zeros((height, -(-width // (1 << bits)) << bits), np.uint8)
-            row[:, :width] = green.reshape(height, width)
-            green = (row.reshape(height, -1, 1 << bits) << (np.arange(1 << bits) * each).astype(np.uint8)).sum(2, dtype=np.uint8).ravel()
-            width = width + (1 << bits) - 1 >> bits
-        px = green.astype(np.uint32) << np.uint32(8) | opaque
-    elif kind == 0:
-        cache_bits = CACHE_BITS
-    elif kind == 1:
-        mode = PREDICTORS[deal % len(PREDICTORS)]
-        w.put(1, 1).put(PREDICTOR, 2).put(_TILE_BITS - 2, 3)
-        _write_image(w, np.array([opaque | np.uint32(mode << 8)]), 1, top=False)
-        c = px.astype("<u4").view(np.uint8).reshape(height, width, 4)  # blue, green, red, alpha
-        guess = np.zeros_like(c)
-        guess[0, 0, 3] = 255
-        guess[0, 1:], guess[1:, 0] = c[0, :-1], c[:-1, 0]
-        above, left, corner = c[:-1, 1:], c[1:, :-1], c[:-1, :-1]
-        if mode in (3, 9):
-            right = np.concatenate((c[:-1, 2:], c[1:, :1]), 1)[:, : width - 1]
-        mean = lambda a, b: (a & b) + ((a ^ b) >> 1)
-        guess[1:, 1:] = left if mode == 1 else above if mode == 2 else right if mode == 3 else corner if mode == 4 else mean(corner if mode == 8 else right, above)
-        px = np.ascontiguousarray(c - guess).view("<u4").ravel()
+    writers, palettes, body, widths, cache, index = [], [], [], [], [], []
+    for px, width, height, deal in images:
+        if max(width, height) > 1 << _TILE_BITS:
+            raise WebPError("images of one tile are written: at most 512 x 512 pixels")
+        w = BitWriter()
+        w.put(0x2F, 8).put(width - 1, 14).put(height - 1, 14).put(1, 1).put(0, 3)
+        kind, deal = deal % 3 if len(px) > 256 else 3, deal // 3
+        deltas = None
+        if kind == 3:
+            colours, place = np.unique(px, return_inverse=True)
+            n = len(colours)
+            c = colours.astype("<u4").view(np.uint8).reshape(-1, 4)
+            deltas = c.copy()
+            deltas[1:] -= c[:-1]
+            deltas = deltas.view("<u4").ravel()
+            w.put(1, 1).put(COLOR_INDEXING, 2).put(n - 1, 8)
+            green = place.astype(np.uint8)
+            bits = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
+            if bits:
+                each, row = 8 >> bits, np.zeros((height, -(-width // (1 << bits)) << bits), np.uint8)
+                row[:, :width] = green.reshape(height, width)
+                green = (row.reshape(height, -1, 1 << bits) << (np.arange(1 << bits) * each).astype(np.uint8)).sum(2, dtype=np.uint8).ravel()
+                width = width + (1 << bits) - 1 >> bits
+            px = green.astype(np.uint32) << np.uint32(8) | np.uint32(0xFF000000)
+        elif kind == 1:
+            px = _predicted(w, px, width, height, PREDICTORS[deal % len(PREDICTORS)])
+        elif kind == 2:
+            px = _crossed(w, px, deal % 256, deal // 256 % 256, deal // 65536 % 256)
+        writers.append(w)
+        palettes.append(deltas)
+        body.append(px)
+        widths.append(width)
+        cache.append(kind == 0)
+        index.append(kind == 3)
+    some = [i for i, x in enumerate(palettes) if x is not None]
+    _write_images([writers[i] for i in some], [palettes[i] for i in some], [len(palettes[i]) for i in some], top=False)
+    for w in writers:
+        w.put(0, 1)
+    _write_images(writers, body, widths, top=True, cache=cache, index=index)
+    return [container(w.bytes()) for w in writers]
+
+
+def _predicted(w: BitWriter, px: np.ndarray, width: int, height: int, mode: int) -> np.ndarray:
+    """Write the predictor transform; the pixels less what it predicts."""
+    w.put(1, 1).put(PREDICTOR, 2).put(_TILE_BITS - 2, 3)
+    _write_pixel(w, 0xFF000000 | mode << 8)
+    c = px.astype("<u4").view(np.uint8).reshape(height, width, 4)  # blue, green, red, alpha
+    left = c.copy()
+    left[0, 0, 3] = int(c[0, 0, 3]) + 1 & 255
+    left[0, 1:] -= c[0, :-1]
+    left[1:, 0] -= c[:-1, 0]
+    above, corner = c[:-1, 1:], c[:-1, :-1]
+    if mode in (3, 9):
+        right = np.concatenate((c[:-1, 2:], c[1:, :1]), 1)[:, : width - 1]
+    if mode in (8, 9):
+        other = corner if mode == 8 else right
+        left[1:, 1:] -= (other & above) + ((other ^ above) >> 1)
     else:
-        to_red, to_blue, red_to_blue = deal % 256, deal // 256 % 256, deal // 65536 % 256
-        w.put(1, 1).put(CROSS_COLOR, 2).put(_TILE_BITS - 2, 3)
-        table = opaque | np.uint32(red_to_blue << 16 | to_blue << 8 | to_red)
-        _write_image(w, np.array([table]), 1, top=False)
-        signed = lambda v: (v & 255).astype(np.uint8).view(np.int8).astype(np.int32)
-        m = [int(signed(np.array([x]))[0]) for x in (to_red, to_blue, red_to_blue)]
-        green, red = signed(px >> 8), signed(px >> 16)
-        new_red = (px >> np.uint32(16) & np.uint32(255)).astype(np.int32) - (m[0] * green >> 5) & 255
-        new_blue = (px & np.uint32(255)).astype(np.int32) - (m[1] * green >> 5) - (m[2] * red >> 5) & 255
-        px = (px & np.uint32(0xFF00FF00)) | new_red.astype(np.uint32) << np.uint32(16) | new_blue.astype(np.uint32)
-    w.put(0, 1)
-    _write_image(w, px, width, top=True, cache_bits=cache_bits, index=index)
-    return container(w.bytes())
+        left[1:, 1:] -= c[1:, :-1] if mode == 1 else above if mode == 2 else right if mode == 3 else corner
+    return left.view("<u4").ravel()
+
+
+def _crossed(w: BitWriter, px: np.ndarray, to_red: int, to_blue: int, red_to_blue: int) -> np.ndarray:
+    """Write the cross-colour transform; the pixels less what green tells of red, and both of blue."""
+    w.put(1, 1).put(CROSS_COLOR, 2).put(_TILE_BITS - 2, 3)
+    _write_pixel(w, 0xFF000000 | red_to_blue << 16 | to_blue << 8 | to_red)
+    c = px.astype("<u4").view(np.uint8).reshape(-1, 4)
+    green, red = (c[:, k].view(np.int8).astype(np.int16) for k in (1, 2))
+    m = [x - 256 if x > 127 else x for x in (to_red, to_blue, red_to_blue)]
+    out = c.copy()
+    out[:, 2] -= (m[0] * green >> 5).astype(np.uint8)
+    out[:, 0] -= ((m[1] * green >> 5) + (m[2] * red >> 5)).astype(np.uint8)
+    return out.view("<u4").ravel()
 
 
 def image_size(n_pixels: int) -> tuple[int, int]:
