@@ -433,12 +433,62 @@ def test_quality_learns_and_is_calibrated(spark, odd, none):
     assert all((got[d]["score"] >= 0.5) == (d % 3 > 0) for d in held)
     again = by_id(quality.score(df, quality.fit(df.repartition(7), lab)))
     assert all(again[d]["score"] == pytest.approx(got[d]["score"], abs=1e-6) for d in got)
-    assert all(0 <= r["score"] <= 1 for r in quality.score(odd, model).collect()) and quality.score(none, model).count() == 0
+    rows = by_id(quality.score(odd, model))
+    assert all(0 <= r["score"] <= 1 for r in rows.values()) and quality.score(odd, model).count() == odd.count() and quality.score(none, model).count() == 0
+    assert rows[1]["score"] == rows[2]["score"] and rows[4]["score"] == rows[5]["score"] == rows[6]["score"] != rows[1]["score"]
     blank = quality.fit(none, lab)
     assert len({r["score"] for r in quality.score(odd, blank).collect()}) == 1
     assert quality._temperature(np.array([8.0, -8.0, 8.0, -8.0]), np.array([1.0, 0.0, 0.0, 1.0])) > 4
 
 
+def test_word_vectors_are_those_of_the_neighbours(spark):
+    rng = random.Random(16)
+    texts = [" ".join(rng.choice(["alpha", "Beta", "BETA", "gamma!", "delta\n\n", "x1"]) for _ in range(rng.randrange(0, 30))) for _ in range(60)] + [None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5).select(F.coalesce("text", F.lit("")).alias("text"))
+    vocabulary = quality.Vocabulary(quality.frequent_tokens(df, 0.02))
+    place, sign = vocabulary.index()
+    want = np.zeros((vocabulary.size, quality.DIM))
+    token = re.compile(r"[A-Za-z0-9]+|\n+|[^A-Za-z0-9\s]+")
+    counts = Counter(x for t in texts for x in token.findall(t or ""))
+    assert len(vocabulary.keys) == sum(n >= 0.02 * sum(counts.values()) for n in counts.values())
+    for t in texts:
+        rows = vocabulary.rows(*quality._tokens(pa.array([t], pa.string()))[:2])
+        assert len(rows) == len(token.findall(t or ""))
+        for i in range(len(rows)):
+            for j in range(max(0, i - quality.WINDOW), min(len(rows), i + quality.WINDOW + 1)):
+                if i != j:
+                    np.add.at(want[rows[i]], place[rows[j]], sign[rows[j]])
+    want = np.sign(want) * np.log1p(np.abs(want))
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9)
+    assert np.abs(quality.word_vectors(df, vocabulary) - want).max() < 1e-6
+    got = quality.features(pa.array(texts, pa.string()), vocabulary, want.astype(np.float32))
+    for t, f in zip(texts, got):
+        x = want[vocabulary.rows(*quality._tokens(pa.array([t], pa.string()))[:2])]
+        pairs = (x[1:] * x[:-1]).sum(0)
+        assert np.allclose(f, np.concatenate([x.sum(0), pairs]) / max(len(x), 1), atol=1e-5)
+
+
+def test_the_score_is_carried_by_the_vectors(spark):
+    # Good and bad texts have the same shapes of tokens, of the same lengths, and differ only in which words occur.
+    rng, rows, labels = random.Random(17), [], []
+    good, bad = ([f"{x}{c}{d}" for c in "bcdfg" for d in "aeiou"] for x in ("ka", "mo"))
+    for d in range(400):
+        rows.append((d, " ".join(rng.choice(good if d % 3 else bad) for _ in range(20))))
+        labels.append((d, int(d % 3 > 0), 0))
+    df, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = by_id(quality.score(df, quality.fit(df, lab)))
+    held = [d for d in got if zlib.crc32(str(d).encode()) % 5 == 0]
+    assert all((got[d]["score"] >= 0.5) == (d % 3 > 0) for d in held)
+
+
+def test_quality_holds_out(spark):
+    # On the labelled documents of the test tables: learnt from four fifths, right on the others.
+    df, lab = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = by_id(quality.score(df, quality.fit(df, lab)))
+    rows = [(r["quality"], got[r["doc_id"]]["score"]) for r in lab.collect() if r["doc_id"] in got and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
+    assert len(rows) > 20 and sum((s >= 0.3) == (y == 1) for y, s in rows) >= 0.9 * len(rows)
+
+
 # --- 8
 
 
