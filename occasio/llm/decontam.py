@@ -11,10 +11,12 @@ document; at a document's end they are shorter.
 2. The CGK embedding (Chakraborty, Goldenberg and Koucky, 2016) walks over the words, staying or moving on by a random
    bit of (step, word), and writes down the word at each of 3 m steps, which turns edit distance into Hamming distance.
    A table samples ``BITS`` of the steps; equal samples make a candidate pair. Each table has a walk of its own. The
-   number of tables is the least that finds ``recall`` of simulated copies with exactly k random edits.
+   number of tables is the least that finds ``recall`` of simulated copies with exactly k random edits, each taken from
+   its first word that the item has, as the search takes it; tables are added until that is reached.
 3. Candidates are verified by the exact edit distance of the item to the best run around the window.
 
 Items are taken in blocks of at most ``BLOCK_ITEMS``, each a pass over the documents, so what a task holds is bounded.
+Item ids may be of any type, null too: distinct (item_id, text) rows are items of their own.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ._io import bounded, table
 from ._text import U64, Words, mix, pieces, words
@@ -34,7 +37,7 @@ from ._text import U64, Words, mix, pieces, words
 MAX_EDITS = 0.2
 RECALL = 0.97
 BITS = 3
-MIN_TABLES, MAX_TABLES = 4, 96
+MIN_TABLES, MORE_TABLES = 4, 96
 BLOCK_ITEMS = 20_000
 _PAD = U64(0)
 
@@ -46,7 +49,7 @@ class LengthIndex:
     m: int
     k: int
     items: np.ndarray  # (items, m) word fingerprints
-    ids: np.ndarray
+    ids: np.ndarray  # their places in the block
     steps: np.ndarray  # (tables, BITS) sampled steps, ascending
     seeds: np.ndarray  # (tables, 3 m) of the walks
     tables: tuple[tuple[np.ndarray, np.ndarray], ...]  # sorted signatures, items
@@ -107,19 +110,30 @@ def _edited(item: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
 def _length_index(m: int, items: np.ndarray, ids: np.ndarray, max_edits: float, recall: float) -> LengthIndex:
     k = int(max_edits * m + 1e-9)
     rng = np.random.default_rng([m, 5])
-    n_tables = MAX_TABLES if k else 1
-    steps = np.sort(rng.integers(0, 3 * m, (n_tables, BITS)), axis=1)
-    seeds = rng.integers(0, 2**64, (n_tables, 3 * m), dtype=np.uint64)
-    if k:
-        trials, windows, of = 300, [], []
-        for _ in range(trials):
+    steps, seeds = np.zeros((0, BITS), np.int64), np.zeros((0, 3 * m), U64)
+    more = lambda n: (np.sort(rng.integers(0, 3 * m, (n, BITS)), axis=1), rng.integers(0, 2**64, (n, 3 * m), dtype=np.uint64))
+    if not k:
+        steps, seeds = more(1)
+    else:
+        windows, of = [], []
+        for _ in range(300):
             i = int(rng.integers(len(items)))
-            tail = rng.integers(1, 2**63, m, dtype=np.uint64)
-            windows.append(np.concatenate([_edited(items[i], k, rng), tail])[:m])
+            copy = _edited(items[i], k, rng)
+            shared = np.flatnonzero(np.isin(copy, items[i]))
+            if not len(shared):
+                continue
+            tail = rng.integers(1, 2**63, 2 * m + k, dtype=np.uint64)
+            windows.append(np.concatenate([copy[shared[0] :], tail])[:m])
             of.append(i)
-        same = signatures(np.array(windows), steps, seeds) == signatures(items[of], steps, seeds)
-        found = np.logical_or.accumulate(same, axis=0).mean(axis=1)
-        n_tables = min(MAX_TABLES, max(MIN_TABLES, int(np.searchsorted(found, recall)) + 1))
+        found = np.zeros(len(of), bool)
+        share = np.zeros(0)
+        while len(of) and (not len(share) or share[-1] < recall):
+            new = more(MORE_TABLES)
+            steps, seeds = np.concatenate([steps, new[0]]), np.concatenate([seeds, new[1]])
+            same = signatures(np.array(windows), *new) == signatures(items[of], *new)
+            upto = np.logical_or.accumulate(same, axis=0) | found
+            found, share = upto[-1], np.concatenate([share, upto.mean(axis=1)])
+        n_tables = max(MIN_TABLES, int(np.searchsorted(share, recall)) + 1)
         steps, seeds = steps[:n_tables], seeds[:n_tables]
     tables = []
     for s in signatures(items, steps, seeds):
@@ -128,14 +142,14 @@ def _length_index(m: int, items: np.ndarray, ids: np.ndarray, max_edits: float,
     return LengthIndex(m, k, items, ids, steps, seeds, tuple(tables))
 
 
-def build_index(texts: list[tuple[int, str | None]], max_edits: float = MAX_EDITS, recall: float = RECALL) -> Index:
-    """Items without words (null, empty, blank) are left out. Equal items each keep their id."""
-    w = words(pa.array([t or "" for _, t in texts], pa.string()))
+def build_index(texts: list[str | None], max_edits: float = MAX_EDITS, recall: float = RECALL) -> Index:
+    """Items without words (null, empty, blank) are left out. Items are known by their places in ``texts``."""
+    w = words(pa.array([t or "" for t in texts], pa.string()))
     by: dict[int, list[int]] = {}
     for i, n in enumerate(np.diff(w.bounds).tolist()):
         if n:
             by.setdefault(n, []).append(i)
-    ids = np.array([i for i, _ in texts], np.int64)
+    ids = np.arange(len(texts))
     lengths = tuple(_length_index(m, np.stack([w.hashes[w.bounds[i] : w.bounds[i + 1]] for i in by[m]]), ids[by[m]], max_edits, recall) for m in sorted(by))
     vocabulary = np.unique(w.hashes)
     member = np.zeros((len(lengths), len(vocabulary)), bool)
@@ -146,7 +160,7 @@ def build_index(texts: list[tuple[int, str | None]], max_edits: float = MAX_EDIT
 
 
 def find(w: Words, index: Index) -> list[tuple[int, int, int, int]]:
-    """(document, item id, edits, first word) of each contamination in one piece: the nearest, then first, run."""
+    """(document, item, edits, first word) of each contamination in one piece: the nearest, then first, run."""
     h, total = w.hashes, len(w.hashes)
     if not total or not len(index.vocabulary):
         return []
@@ -216,52 +230,57 @@ def find(w: Words, index: Index) -> list[tuple[int, int, int, int]]:
     return [(doc, item, d, f) for (doc, item), (d, f) in sorted(best.items())]
 
 
-def _item_blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The distinct items, BLOCK_ITEMS at a time, by item_id."""
-    rows = items.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).where("t is not null and i is not null").dropDuplicates().orderBy("i", "t")
-    block: list[tuple[int, str]] = []
+def _item_blocks(items: DataFrame) -> Iterator[tuple[pa.Array, list[str]]]:
+    """The ids and texts of the distinct items, BLOCK_ITEMS at a time."""
+    kind = to_arrow_type(items.schema["item_id"].dataType)
+    rows = items.select(F.col("item_id").alias("i"), F.col("text").cast("string").alias("t")).where("t is not null").dropDuplicates().orderBy("i", "t")
+    ids, texts = [], []
     for r in rows.toLocalIterator():
-        block.append((r["i"], r["t"]))
-        if len(block) == BLOCK_ITEMS:
-            yield block
-            block = []
-    if block:
-        yield block
-
-
-MATCHES = "doc_id long, item_id long, n_edits long, first_word long, item_words long"
+        ids.append(r["i"])
+        texts.append(r["t"])
+        if len(ids) == BLOCK_ITEMS:
+            yield pa.array(ids, kind), texts
+            ids, texts = [], []
+    if ids:
+        yield pa.array(ids, kind), texts
 
 
 def contaminated(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS, recall: float = RECALL) -> DataFrame:
-    """One row for each document and item that contaminates it, with the edits of the nearest run.
+    """doc_id, item_id, n_edits (of the nearest run), first_word (of it), item_words: one row for each document and item
+    that contaminates it.
 
-    Documents or items without words match nothing; repeated rows each match; an empty table gives no rows. Narrow: no
-    shuffle of the documents.
+    Documents or items without words (null, empty, blank) match nothing. Rows with a null doc_id or a null item_id count
+    like others; repeated rows each match; two texts under one item_id are two items, the same text twice is one. Other
+    columns do not matter, an empty table gives no rows, and texts are searched whole, however long. Narrow: no shuffle of
+    the documents.
     """
+    spark = docs.sparkSession
     rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    schema = f"doc_id long, item_id {items.schema['item_id'].dataType.simpleString()}, n_edits long, first_word long, item_words long"
+    names = ["doc_id", "item_id", "n_edits", "first_word", "item_words"]
     parts = []
-    for block in _item_blocks(items):
-        index = build_index(block, max_edits, recall)
+    for ids, texts in _item_blocks(items):
+        index = build_index(texts, max_edits, recall)
         size = {int(i): x.m for x in index.lengths for i in x.ids}
 
-        def run(batches: Iterator[pa.RecordBatch], index: Index = index, size: dict[int, int] = size) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], index: Index = index, size: dict[int, int] = size, ids: pa.Array = ids) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in pieces(batch):
                     got = find(words(part.column(1)), index)
                     if got:
                         doc, item, d, f = (list(c) for c in zip(*got))
-                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), *(pa.array(c, pa.int64()) for c in (item, d, f, [size[i] for i in item]))], names=["doc_id", "item_id", "n_edits", "first_word", "item_words"])
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), ids.take(pa.array(item)), *(pa.array(c, pa.int64()) for c in (d, f, [size[i] for i in item]))], names=names)
 
-        parts.append(rows.mapInArrow(run, MATCHES))
-    return reduce(DataFrame.unionAll, parts) if parts else docs.sparkSession.createDataFrame([], MATCHES)
+        parts.append(rows.mapInArrow(run, schema))
+    return reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], schema)
 
 
 def keep_uncontaminated(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS, recall: float = RECALL) -> DataFrame:
-    """The rows, with all their columns, that no item contaminates."""
+    """The rows, with all their columns, that no item contaminates (see :func:`contaminated`); those without words stay."""
     column = docs.columns.index("text")
     out = bounded(docs)
-    for block in _item_blocks(items):
-        index = build_index(block, max_edits, recall)
+    for _, texts in _item_blocks(items):
+        index = build_index(texts, max_edits, recall)
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -6,8 +6,9 @@ that holds it and has no conflict: the search starts at the bin with just enough
 and goes on until a bin is found whose bitmaps hold neither the piece's source (``max_per_source`` pieces of a source
 are allowed in a bin) nor its duplicate cluster. Without one, a new bin opens.
 
-Rows are dealt by the hash of doc_id into blocks of about ``block_rows`` rows, each packed alone, so no source or
-cluster gathers in one task, and memory is bounded by the block. Bins are as full as those of one global packing but
+Rows are dealt by the hash of doc_id and text into blocks of about ``block_rows`` rows, each packed alone, so no source
+or cluster gathers in one task; a block that repeated rows make larger is packed in parts of as many rows, so memory is
+bounded. Bins are as full as those of one global packing but
 for at most the last open bins of each block.
 """
 
@@ -152,21 +153,28 @@ def best_fit_pack(docs: DataFrame, *, capacity: int = CAPACITY, max_per_source:
     blocks = max(1, -(-docs.count() // block_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by block: each block is packed when the next begins."""
+        """Rows come sorted by block: each block is packed when the next begins, or when twice its rows are there."""
         held: list[pa.RecordBatch] = []
+        part, current = 0, None
         for batch in batches:
             block = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
+            cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)] if len(block) else [0]
             for i, j in zip(cuts[:-1], cuts[1:]):
-                if held and held[-1].column(0)[0].as_py() != int(block[i]):
-                    yield from packed(held)
-                    held = []
-                if j > i:
-                    held.append(batch.slice(i, j - i))
+                if current != int(block[i]):
+                    if held:
+                        yield from packed(held, part)
+                    held, part, current = [], 0, int(block[i])
+                while i < j:
+                    more = min(j - i, 2 * block_rows - sum(x.num_rows for x in held))
+                    held.append(batch.slice(i, more))
+                    i += more
+                    if sum(x.num_rows for x in held) == 2 * block_rows:
+                        yield from packed(held, part)
+                        held, part = [], part + 1
         if held:
-            yield from packed(held)
+            yield from packed(held, part)
 
-    def packed(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(held: list[pa.RecordBatch], part: int) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held).combine_chunks()
         block = t.column("block")[0].as_py()
         null = t.column("doc_id").is_null().to_numpy()
@@ -180,14 +188,14 @@ def best_fit_pack(docs: DataFrame, *, capacity: int = CAPACITY, max_per_source:
         take = np.concatenate([rows, empty])
         zero = np.zeros(len(empty), np.int64)
         column = lambda c: pa.array(np.concatenate([got[c], zero]))
-        ids = pa.array([f"{block}-{b}" for b in got["bin"].tolist()] + [None] * len(empty), pa.string())
+        ids = pa.array([f"{block}-{part}-{b}" if part else f"{block}-{b}" for b in got["bin"].tolist()] + [None] * len(empty), pa.string())
         yield pa.RecordBatch.from_arrays(
             [pa.array(doc[take], mask=null[take]), column("piece"), ids, column("bin_offset"), column("first_word"), column("n_words"), t.column("source").combine_chunks().take(pa.array(take)).cast(pa.string()), pa.array(cluster[take]), column("bin_words")],
             names=[x.split()[0] for x in SCHEMA.split(", ")],
         )
 
-    dealt = sized.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
-    rows = dealt.select("block", "doc_id", "n_words", "source", "cluster").repartition(min(blocks, 65_536), "block").sortWithinPartitions("block")
+    dealt = sized.withColumn("block", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(blocks)))
+    rows = dealt.select("block", "doc_id", "n_words", "source", "cluster").repartition(min(blocks, 65_536), "block").sortWithinPartitions("block", "doc_id", "cluster")
     return rows.mapInArrow(run, SCHEMA)
 
 

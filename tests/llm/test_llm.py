@@ -208,6 +208,16 @@ def test_packing_loses_nothing_and_has_no_conflict(spark, odd, none, docs):
     assert packing.best_fit_pack(none).count() == 0
 
 
+def test_repeated_and_null_ids_fill_no_block(spark):
+    rng = random.Random(31)
+    rows = [(None, prose(rng, 5), "s") for _ in range(900)] + [(1, "same text", "t")] * 300
+    got = packing.best_fit_pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), capacity=64, max_per_source=2, block_rows=50).collect()
+    assert len(got) == 1200 and sum(r["n_words"] for r in got) == 900 * 5 + 600
+    blocks = Counter("-".join(r["bin_id"].split("-")[:-1]) for r in got)
+    assert max(blocks.values()) <= 100 and len(blocks) >= 12
+    assert max(Counter(r["bin_id"] for r in got if r["doc_id"] == 1).values()) == 1
+
+
 def test_the_tightest_bin_without_conflict_is_found():
     rng = np.random.default_rng(0)
     for _ in range(60):
@@ -362,11 +372,29 @@ def test_near_copies_of_items_are_found(spark, odd, none):
     assert all(got[k] == 0 for k, v in want.items() if v == 0)
     all_items = spark.createDataFrame(items, "item_id long, text string")
     assert decontam.keep_uncontaminated(odd, all_items).columns == odd.columns
-    assert decontam.contaminated(odd, all_items).count() >= 0 and decontam.contaminated(none, all_items).count() == 0
+    assert decontam.contaminated(odd, all_items).count() == 0 and decontam.contaminated(none, all_items).count() == 0
     assert decontam.contaminated(odd, spark.createDataFrame([], "item_id long, text string")).count() == 0
     assert decontam.keep_uncontaminated(odd, spark.createDataFrame([], "item_id long, text string")).count() == odd.count()
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_items_with_any_ids(spark, odd, kind):
+    base, passage, other = odd_rows()[0][1], "\n".join(words(odd_rows()[-6][1])[30:60]), "no such words here at all"
+    ids = [None, 7, 7, 8, 8, 9] if kind == "long" else [None, "x", "x", "", "", "é"]
+    texts = [" ".join(words(base)[10:40]), " ".join(words(base)[50:90]), passage, other, other, None]
+    items = spark.createDataFrame(list(zip(ids, texts)) + [(ids[1], texts[1])], f"item_id {kind}, text string")
+    want = Counter()
+    for d, t, *_ in odd_rows():
+        for i, s in {(i, s) for i, s in zip(ids, texts) if s}:
+            m = words(s)
+            if (e := edits(m, words(t))) <= len(m) // 5:
+                want[d, i, e, len(m)] += 1
+    got = Counter((r["doc_id"], r["item_id"], r["n_edits"], r["item_words"]) for r in decontam.contaminated(odd, items).collect())
+    assert got == want and sum(want.values()) >= 10 and any(i is None for _, i, _, _ in want) and any(d is None for d, _, _, _ in want)
+    kept = decontam.keep_uncontaminated(odd, items).collect()
+    assert sorted((r["doc_id"] for r in kept if r["text"]), key=repr) == sorted((d for d, t, *_ in odd_rows() if t and not any(edits(words(s), words(t)) <= len(words(s)) // 5 for s in texts if s)), key=repr)
+
+
 def test_edit_distance_rows():
     rng = np.random.default_rng(0)
     a, b = rng.integers(1, 6, (50, 7)).astype(np.uint64), rng.integers(1, 6, (50, 12)).astype(np.uint64)
