@@ -25,9 +25,12 @@ class Config:
     vector_dim: int = 64
     knn_k: int = 15
     mutual_knn: bool = True
+    knn_method: str = "exact"
+    knn_recall: float = 0.95
     resolution: float = 1.0
     leiden_iterations: int = 10
     leiden_edge_cap: int = 2_000_000
+    leiden_method: str = "driver"
     min_graph_coverage: float = 0.95
     gmm_components: int = 10
     gmm_covariance: str = "diag"
@@ -62,6 +65,10 @@ class Config:
             raise ConfigError("max_week_gap must be at least 1, or none")
         if self.gmm_covariance not in ("diag", "full", "tied", "spherical"):
             raise ConfigError(f"gmm_covariance is {self.gmm_covariance!r}; it must be diag, full, tied or spherical")
+        if not 0 < self.knn_recall <= 1:
+            raise ConfigError("knn_recall must be above 0 and at most 1")
+        if self.knn_method not in ("exact", "approximate") or self.leiden_method not in ("driver", "joins"):
+            raise ConfigError("knn_method is exact or approximate, leiden_method is driver or joins")
         if self.size_band is not None and self.size_band[0] > self.size_band[1]:
             raise ConfigError("size_band must be (low, high)")
 

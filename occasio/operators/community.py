@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNCLUSTERED = -1
@@ -22,6 +21,8 @@ def settled(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("on a cluster, set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="occasio-"))
@@ -193,13 +194,18 @@ def _least(label: np.ndarray) -> np.ndarray:
     return first[inv]
 
 
-def leiden(edges: DataFrame, resolution: float = 1.0, iterations: int = 10, seed: int = 42, *, universe: DataFrame | None = None, edge_cap: int = 2_000_000) -> DataFrame:
-    """(id, label) by Leiden. Up to ``edge_cap`` edges on the driver, beyond that by :func:`local_moving`.
+def leiden(edges: DataFrame, resolution: float = 1.0, iterations: int = 10, seed: int = 42, *, universe: DataFrame | None = None, method: str = "driver", edge_cap: int = 2_000_000) -> DataFrame:
+    """(id, label) by Leiden: on the driver, which holds at most ``edge_cap`` edges (more raise), or, with the method
+    "joins", by :func:`leiden_joins` at any size. The method is the caller's choice; it never follows from the size.
 
-    The bound is on rows that are counted first. With a ``universe`` (id), rows outside the graph have label -1.
+    With a ``universe`` (id), rows outside the graph have label -1.
     """
-    if edges.limit(edge_cap + 1).count() > edge_cap:
-        got = local_moving(edges, resolution)
+    if method == "joins":
+        got = leiden_joins(edges, resolution)
+    elif method != "driver":
+        raise ValueError(f"no method {method!r}")
+    elif edges.limit(edge_cap + 1).count() > edge_cap:
+        raise ValueError(f"more than {edge_cap} edges do not go to the driver; use the method 'joins'")
     else:
         pdf = edges.select("basket_a", "basket_b", "weight").toPandas()
         ids, inv = np.unique(np.concatenate([pdf["basket_a"].to_numpy(), pdf["basket_b"].to_numpy()]), return_inverse=True)
@@ -209,74 +215,119 @@ def leiden(edges: DataFrame, resolution: float = 1.0, iterations: int = 10, seed
     return got if universe is None else with_unclustered(got, universe)
 
 
-def local_moving(edges: DataFrame, resolution: float = 1.0, rounds: int = 20, levels: int = 5) -> DataFrame:
-    """(id, label): modularity local moving and aggregation as joins and aggregates, for graphs of any size.
+def _links(both: DataFrame, state: DataFrame) -> DataFrame:
+    """(v, label, w): the weight of each node's links to each label next to it."""
+    return both.join(state.select(F.col("v").alias("b"), "label"), "b").groupBy(F.col("a").alias("v"), "label").agg(F.sum("w").alias("w"))
+
+
+def _gain(total: float, resolution: float) -> Column:
+    """What a node with degree k gains in a label with the given mass, of which it is no part."""
+    return F.col("w") - resolution * F.col("k") * F.col("mass") / (2 * total)
+
+
+def _best(options: DataFrame) -> DataFrame:
+    """(v, to): the option with the greatest gain of each node, ties to the least label, where it beats staying."""
+    top = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("gain"), "label"))
+    return options.withColumn("rn", top).where("rn = 1 and gain > stay + 1e-12").select("v", F.col("label").alias("to"))
+
+
+def _quality(both: DataFrame, state: DataFrame, loops: float, total: float, resolution: float) -> float:
+    x, y = (state.select(F.col("v").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
+    inside = both.join(x, "a").join(y, "b").where("la = lb").agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
+    mass = state.groupBy("label").agg(F.sum("k").alias("m")).agg(F.coalesce(F.sum(F.col("m") * F.col("m")), F.lit(0.0))).first()[0]
+    return (inside / 2 + loops) / total - resolution * mass / (2 * total) ** 2
+
+
+def _moved(both: DataFrame, state: DataFrame, loops: float, total: float, resolution: float) -> tuple[DataFrame, bool]:
+    """Local moving. In a round one hash-coloured half of the nodes moves, so that neighbours do not swap; rounds go on
+    until neither half moves, or two rounds raise the quality by less than 1e-7."""
+    any_moved, r, still, before = False, 0, 0, _quality(both, state, loops, total, resolution)
+    while still < 2:
+        mass = state.groupBy("label").agg(F.sum("k").alias("mass"))
+        mine = state.where(F.pmod(F.xxhash64("v", F.lit(r // 2)), F.lit(2)) == r % 2).select("v", F.col("label").alias("old"), "k")
+        options = _links(both, state).unionByName(mine.select("v", F.col("old").alias("label"), F.lit(0.0).alias("w"))).groupBy("v", "label").agg(F.sum("w").alias("w"))
+        options = options.join(mine, "v").join(mass, "label").withColumn("mass", F.col("mass") - F.when(F.col("label") == F.col("old"), F.col("k")).otherwise(0.0))
+        options = options.withColumn("gain", _gain(total, resolution))
+        stay = F.max(F.when(F.col("label") == F.col("old"), F.col("gain"))).over(Window.partitionBy("v"))
+        to = _best(options.withColumn("stay", stay).where("label <> old or gain = stay"))
+        now = settled(state.join(to, "v", "left").select("v", F.coalesce("to", "label").alias("label"), "k", (F.col("to") != F.col("label")).alias("moved")))
+        moved = not now.where("moved").isEmpty()
+        any_moved |= moved
+        state, still, r = now.drop("moved"), 0 if moved else still + 1, r + 1
+        if not r % 2 and moved:
+            quality = _quality(both, state, loops, total, resolution)
+            if quality < before + 1e-7:
+                break
+            before = quality
+    return state, any_moved
+
+
+def _refined(both: DataFrame, state: DataFrame, total: float, resolution: float) -> DataFrame:
+    """(v, label, k): labels inside the labels of ``state``, each connected.
 
-    In a round one hash-coloured half of the nodes moves, so that neighbours do not swap; a node moves to the
-    neighbouring label with the greatest gain, ties to the least. Labels are then the nodes of a smaller graph. In the
-    end each label is split into its connected parts.
+    All nodes begin alone. One that is still alone may join a label next to it of the same part, if it gains; only nodes
+    of one hash-coloured half move in a round, and none to a node that may itself move away.
+    """
+    x, y = (state.select(F.col("v").alias(c), F.col("label").alias(f"p{c}")) for c in "ab")
+    inner = settled(both.join(x, "a").join(y, "b").where("pa = pb").select("a", "b", "w"))
+    fine, r, still = settled(state.select("v", F.col("v").alias("label"), "k")), 0, 0
+    while still < 2:
+        half = F.pmod(F.xxhash64("v", F.lit(r // 2)), F.lit(2)) == r % 2
+        per = fine.groupBy("label").agg(F.sum("k").alias("mass"), F.count("*").alias("n"), F.max(half).alias("goes"))
+        movers = fine.where(half).join(per.where("n = 1").select("label"), "label").select("v", "k")
+        options = _links(inner, fine).join(movers, "v").join(per.where("n > 1 or not goes"), "label").where(F.col("label") != F.col("v"))
+        to = _best(options.withColumn("gain", _gain(total, resolution)).withColumn("stay", F.lit(0.0)))
+        now = settled(fine.join(to, "v", "left").select("v", F.coalesce("to", "label").alias("label"), "k", F.col("to").isNotNull().alias("moved")))
+        still, r = 0 if not now.where("moved").isEmpty() else still + 1, r + 1
+        fine = now.drop("moved")
+    return fine
+
+
+def leiden_joins(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """(id, label): Leiden (Traag, Waltman and van Eck, 2019) as joins and aggregates, for graphs of any size.
+
+    Levels of local moving, refinement inside the labels that it finds, and aggregation of the refined labels into the
+    nodes of a smaller graph, which begin with the labels found; until a level moves nothing. Every label is connected.
     """
     graph = settled(edges.select(F.col("basket_a").alias("a"), F.col("basket_b").alias("b"), F.col("weight").cast("double").alias("w")))
     total = graph.agg(F.sum("w")).first()[0] or 0.0
     if total <= 0:
         graph, total = settled(graph.withColumn("w", F.lit(1.0))), float(graph.count())
-    home = None
-    for _ in range(levels):
+    home, begin = None, None
+    while True:
         both = settled(graph.where("a <> b").select("a", "b", "w").union(graph.where("a <> b").select("b", "a", "w")))
+        loops = graph.where("a = b").agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
         degree = graph.select(F.explode(F.array("a", "b")).alias("v"), "w").groupBy("v").agg(F.sum("w").alias("k"))
-        state = settled(degree.select("v", F.col("v").alias("label"), "k"))
-        any_moved = False
-        for r in range(rounds):
-            mass = state.groupBy("label").agg(F.sum("k").alias("mass"))
-            links = both.join(state.select(F.col("v").alias("b"), "label"), "b").groupBy(F.col("a").alias("v"), "label").agg(F.sum("w").alias("w"))
-            mine = state.where(F.pmod(F.xxhash64("v", F.lit(r // 2)), F.lit(2)) == r % 2)
-            options = links.union(mine.select("v", "label", F.lit(0.0))).groupBy("v", "label").agg(F.sum("w").alias("w")).join(mine.select("v", F.col("label").alias("old"), "k"), "v").join(mass, "label")
-            gain = F.col("w") - resolution * F.col("k") * (F.col("mass") - F.when(F.col("label") == F.col("old"), F.col("k")).otherwise(0.0)) / (2 * total)
-            scored = options.withColumn("gain", gain)
-            top = scored.withColumn("rn", F.row_number().over(Window.partitionBy("v").orderBy(F.desc("gain"), "label"))).withColumn("stay", F.max(F.when(F.col("label") == F.col("old"), F.col("gain"))).over(Window.partitionBy("v"))).where("rn = 1 and gain > stay + 1e-12 and label <> old").select("v", F.col("label").alias("to"))
-            now = settled(state.join(top, "v", "left").select("v", F.coalesce("to", "label").alias("label"), "k", F.col("to").isNotNull().alias("moved")))
-            moved = not now.where("moved").isEmpty()
-            any_moved |= moved
-            state = now.drop("moved")
-            if not moved and r % 2:
-                break
-        home = state.select(F.col("v").alias("id"), "label") if home is None else settled(home.join(state.select(F.col("v").alias("label"), F.col("label").alias("next")), "label").select("id", F.col("next").alias("label")))
-        if not any_moved:
+        state = settled(degree.select("v", F.col("v").alias("label"), "k") if begin is None else degree.join(begin, "v").select("v", "label", "k"))
+        state, moved = _moved(both, state, loops, total, resolution)
+        named = state.select("v", "label")
+        home = settled(named.select(F.col("v").alias("id"), F.col("v"), "label") if home is None else home.select("id", "v").join(named, "v").select("id", "v", "label"))
+        if not moved:
             break
-        x = state.select(F.col("v").alias("a"), F.col("label").alias("la"))
-        y = state.select(F.col("v").alias("b"), F.col("label").alias("lb"))
-        graph = settled(graph.join(x, "a").join(y, "b").groupBy(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).agg(F.sum("w").alias("w")))
-    named = home
-    inner = edges.join(named.select(F.col("id").alias("basket_a"), F.col("label").alias("la")), "basket_a").join(named.select(F.col("id").alias("basket_b"), F.col("label").alias("lb")), "basket_b").where("la = lb")
+        fine = _refined(both, state, total, resolution)
+        if fine.where("v <> label").isEmpty():  # nothing was refined: aggregate the labels themselves
+            fine = state
+        up = settled(fine.select("v", F.col("label").alias("up")))
+        if up.select("up").distinct().count() == up.count():
+            break
+        least = up.join(named, "v").groupBy("label").agg(F.min("up").alias("least"))
+        begin = settled(up.join(named, "v").join(least, "label").select(F.col("up").alias("v"), F.col("least").alias("label")).distinct())
+        home = settled(home.join(up, "v").select("id", F.col("up").alias("v"), "label"))
+        x, y = up.select(F.col("v").alias("a"), F.col("up").alias("x")), up.select(F.col("v").alias("b"), F.col("up").alias("y"))
+        graph = settled(graph.join(x, "a").join(y, "b").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("w").alias("w")))
+    inner = edges.join(home.select(F.col("id").alias("basket_a"), F.col("label").alias("la")), "basket_a").join(home.select(F.col("id").alias("basket_b"), F.col("label").alias("lb")), "basket_b").where("la = lb")
     parts = connected_components(inner.select("basket_a", "basket_b"))
-    least = named.join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("part"))
-    ids = least.select("part").distinct()
+    least = settled(home.join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("part")))
     from occasio.operators.baskets import numbered
 
-    if dict(ids.dtypes)["part"] in ("bigint", "int"):
-        return least.join(numbered(ids, "part", ["part"], "label").withColumn("label", F.col("label") - 1), "part").select("id", "label")
-    return least.select("id", F.xxhash64("part").alias("label"))
+    return least.join(numbered(least.select("part").distinct(), "part", ["part"], "label").withColumn("label", F.col("label") - 1), "part").select("id", "label")
 
 
-def resolution_sweep(edges: DataFrame, resolutions: tuple[float, ...], seed: int = 42) -> DataFrame:
+def resolution_sweep(edges: DataFrame, resolutions: tuple[float, ...], seed: int = 42, method: str = "driver") -> DataFrame:
     """(resolution, n_clusters, modularity, min/median/max size, largest_share): a table to choose from."""
     rows = []
     for r in resolutions:
-        got = settled(leiden(edges, r, seed=seed))
+        got = settled(leiden(edges, r, seed=seed, method=method))
         s = community_sizes(got).agg(F.count("*"), F.min("n"), F.median("n"), F.max("n"), F.max("n") / F.sum("n")).first()
         rows.append((float(r), int(s[0]), float(modularity(edges, got, r).first()[0]), int(s[1] or 0), float(s[2] or 0), int(s[3] or 0), float(s[4] or 0)))
     return edges.sparkSession.createDataFrame(rows, "resolution double, n_clusters long, modularity double, min_size long, median_size double, max_size long, largest_share double")
-
-
-def planted_cliques(spark: SparkSession, groups: int = 3, size: int = 6, bridge: float = 0.01) -> DataFrame:
-    """A graph with known communities: cliques of weight 1, joined in a row by weak bridges."""
-
-    def edges() -> Iterator[tuple[int, int, float]]:
-        for g in range(groups):
-            for i in range(size):
-                for j in range(i + 1, size):
-                    yield g * size + i, g * size + j, 1.0
-            if g:
-                yield g * size - 1, g * size, bridge
-
-    return spark.createDataFrame(list(edges()), "basket_a long, basket_b long, weight double")

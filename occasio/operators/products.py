@@ -63,6 +63,16 @@ def product_lookup(lookup: DataFrame, mapping: DataFrame) -> DataFrame:
     return mapping.join(lookup, "tpna", "left").groupBy("tpnb").agg(F.max("description").alias("description"), F.max("department").alias("department"))
 
 
+def check_product_lookup(lookup: DataFrame, warn=print) -> float:
+    """The share of products with a description. An empty lookup raises, less than half warns."""
+    n, named = lookup.agg(F.count("*"), F.count("description")).first()
+    if not n:
+        raise ValueError("the product lookup is empty: no product was joined with its attributes")
+    if named < n / 2:
+        warn(f"only {named / n:.0%} of the products have a description")
+    return named / n
+
+
 def key_overlap(products: DataFrame, vectors: DataFrame) -> DataFrame:
     """n_products, n_matched, share: how many products have a vector."""
     hits = products.select("tpnb").distinct().join(vectors.select("tpnb").distinct().withColumn("hit", F.lit(1)), "tpnb", "left")

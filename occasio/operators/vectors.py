@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from occasio.functions.scalar import doubles
 from occasio.operators.baskets import numbered
+from occasio.sources.tables import merge_refusing_duplicates
 
 
 def mean_vectors(baskets: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -38,44 +39,119 @@ def reduced(vectors: DataFrame, key: str, dim: int) -> DataFrame:
     return PCA(k=dim, inputCol="v", outputCol="p").fit(v).transform(v).select(key, vector_to_array("p").alias("embedding"))
 
 
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) > 0, n, 1.0)
+
+
+def _best_in_cells(q: DataFrame, b: DataFrame, cell: list[str], key: str, kind: str, k: int) -> DataFrame:
+    """(key, neighbour, similarity, rank): of each query the best k rows of the base that share a cell with it.
+
+    A task holds the rows of one cell at a time, so cells bound its memory; a query sends on k rows a cell.
+    """
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = {key: [], "neighbour": [], "similarity": []}
+        if len(left) and len(right):
+            rk = right["key"].to_numpy()
+            by = np.argsort(rk, kind="stable")
+            rk, rv, lk = rk[by], _unit(np.stack(right["v"].to_numpy())[by]), left["key"].to_numpy()
+            lv = _unit(np.stack(left["v"].to_numpy()))
+            for lo in range(0, len(lk), 1024):
+                s = lv[lo : lo + 1024] @ rv.T
+                s[lk[lo : lo + 1024, None] == rk[None]] = -np.inf
+                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                got = np.take_along_axis(s, top, 1)
+                ok = np.isfinite(got)
+                out[key].append(np.repeat(lk[lo : lo + 1024], ok.sum(1)))
+                out["neighbour"].append(rk[top][ok])
+                out["similarity"].append(got[ok])
+        return pd.DataFrame({c: np.concatenate(x) if x else np.zeros(0) for c, x in out.items()})
+
+    found = q.groupBy(*cell).cogroup(b.groupBy(*cell)).applyInPandas(best, f"{key} {kind}, neighbour {kind}, similarity double")
+    w = Window.partitionBy(key).orderBy(F.desc("similarity"), "neighbour")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def nearest(queries: DataFrame, base: DataFrame, key: str, k: int, *, block_rows: int = 4096) -> DataFrame:
     """(key, neighbour, similarity, rank) of the ``k`` rows of ``base`` with the greatest cosine to each query; exact.
 
     The row itself, if in ``base``, is no neighbour of its own. Ties go to the lesser key. Both sides are dealt into
-    blocks by hash; a task multiplies one block of queries with one of the base and sends on its best k a query, so
-    memory is bounded by two blocks and what is shuffled by queries times k times the number of base blocks.
+    blocks by hash, and every block of queries meets every block of the base, so the cost grows with the product of the
+    rows; memory is bounded by two blocks.
     """
-    kind = dict(base.dtypes)[key]
-
-    def blocks(df: DataFrame, name: str) -> tuple[DataFrame, int]:
-        n = max(1, -(-df.count() // block_rows))
-        return df.select(F.pmod(F.xxhash64(key), F.lit(n)).alias(f"{name}_block"), F.col(key).alias(f"{name}_key"), doubles(F.col("embedding")).alias(f"{name}_v")).groupBy(f"{name}_block").agg(F.collect_list(F.struct(f"{name}_key", f"{name}_v")).alias(name)), n
-
-    q, nq = blocks(queries, "q")
-    b, nb = blocks(base, "b")
-    ids = q.sparkSession.range(nb).select(F.col("id").alias("b_block"))
-    pairs = q.crossJoin(F.broadcast(ids)).join(b, "b_block").select("q", "b")
-
-    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        unit = lambda m: m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) > 0, n, 1.0)
-        for frame in frames:
-            for left, right in zip(frame["q"], frame["b"]):
-                lk, rk = np.array([x["q_key"] for x in left]), np.array([x["b_key"] for x in right])
-                rv = unit(np.array([x["b_v"] for x in right], np.float64))
-                by = np.argsort(rk, kind="stable")
-                rk, rv = rk[by], rv[by]
-                for lo in range(0, len(lk), 1024):
-                    s = unit(np.array([x["q_v"] for x in left[lo : lo + 1024]], np.float64)) @ rv.T
-                    s[lk[lo : lo + 1024, None] == rk[None]] = -np.inf
-                    top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                    got = np.take_along_axis(s, top, 1)
-                    rows = np.repeat(lk[lo : lo + 1024], top.shape[1])
-                    ok = np.isfinite(got.ravel())
-                    yield pd.DataFrame({key: rows[ok], "neighbour": rk[top.ravel()][ok], "similarity": got.ravel()[ok]})
-
-    found = pairs.repartition(max(1, min(nq * nb, 4096))).mapInPandas(best, f"{key} {kind}, neighbour {kind}, similarity double")
-    w = Window.partitionBy(key).orderBy(F.desc("similarity"), "neighbour")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    n = [max(1, -(-df.count() // block_rows)) for df in (queries, base)]
+    own = lambda i: F.pmod(F.xxhash64(key), F.lit(n[i]))
+    every = lambda i: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n[i] - 1).cast("long")))
+    row = [F.col(key).alias("key"), doubles(F.col("embedding")).alias("v")]
+    q, b = queries.select(own(0).alias("x"), every(1).alias("y"), *row), base.select(every(0).alias("x"), own(1).alias("y"), *row)
+    return _best_in_cells(q, b, ["x", "y"], key, dict(base.dtypes)[key], k)
+
+
+def centroids(base: DataFrame, key: str, lists: int, *, sample_rows: int = 20_000, rounds: int = 8) -> np.ndarray:
+    """Unit centroids of ``lists`` groups, by spherical k-means over a sample of at most ``sample_rows`` rows (those with
+    the least hash of the key)."""
+    sample = base.select(doubles(F.col("embedding")).alias("v"), F.xxhash64(key).alias("h")).orderBy("h").limit(sample_rows).toPandas()
+    x = _unit(np.stack(sample["v"].to_numpy()))
+    c = x[: min(lists, len(x))].copy()
+    for _ in range(rounds):
+        of = (x @ c.T).argmax(1)
+        total = np.zeros_like(c)
+        np.add.at(total, of, x)
+        some = np.bincount(of, minlength=len(c)) > 0
+        c[some] = _unit(total[some])
+    return c
+
+
+def _lists(df: DataFrame, key: str, c: np.ndarray, probes: int) -> DataFrame:
+    """(key, v, list) for each of the ``probes`` centroids that are the nearest to a row."""
+    kind = dict(df.dtypes)[key]
+
+    def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if len(f):
+                s = _unit(np.stack(f["v"].to_numpy())) @ c.T
+                top = np.argsort(-s, axis=1, kind="stable")[:, :probes]
+                yield pd.DataFrame({"key": np.repeat(f["key"].to_numpy(), top.shape[1]), "v": np.repeat(f["v"].to_numpy(), top.shape[1]), "list": top.ravel()})
+
+    return df.select(F.col(key).alias("key"), doubles(F.col("embedding")).alias("v")).mapInPandas(assign, f"key {kind}, v array<double>, list int")
+
+
+def nearest_in_lists(queries: DataFrame, base: DataFrame, key: str, k: int, c: np.ndarray, probes: int, *, block_rows: int = 4096) -> DataFrame:
+    """As :func:`nearest`, among the rows in the ``probes`` lists that are nearest to a query.
+
+    A list is dealt into blocks by hash, of queries and of the base, so that one that holds a third of all rows is no task
+    of its own.
+    """
+    q, b = _lists(queries, key, c, probes), _lists(base, key, c, 1)
+    blocks = [df.groupBy("list").agg(F.ceil(F.count("*") / block_rows).alias(f"n{i}")) for i, df in enumerate((q, b))]
+    sizes = F.broadcast(blocks[0].join(blocks[1], "list"))  # a row a list
+    own = lambda n: F.pmod(F.xxhash64("key"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    q = q.join(sizes, "list").select("list", own("n0").alias("x"), every("n1").alias("y"), "key", "v")
+    b = b.join(sizes, "list").select("list", every("n0").alias("x"), own("n1").alias("y"), "key", "v")
+    return _best_in_cells(q, b, ["list", "x", "y"], key, dict(base.dtypes)[key], k)
+
+
+def nearest_approximate(queries: DataFrame, base: DataFrame, key: str, k: int, *, recall: float = 0.9, sample: int = 256, block_rows: int = 4096) -> tuple[DataFrame, int, float]:
+    """Neighbours by an inverted file of sqrt(rows) lists (4096 at most); and the probes and the recall it was given.
+
+    Every row of the base is in a list. ``sample`` queries (those with the least hash) are also searched exactly, and the
+    lists that a query probes are doubled until as many of the exact neighbours are found as ``recall`` asks for; with all
+    lists probed the search is exact.
+    """
+    n = base.count()
+    if not n:
+        return nearest(queries, base, key, k), 1, 1.0
+    c = centroids(base, key, max(1, min(4096, int(n**0.5))))
+    some = queries.orderBy(F.xxhash64(key, F.lit(1))).limit(sample)
+    want = {(r[key], r["neighbour"]) for r in nearest(some, base, key, k, block_rows=block_rows).select(key, "neighbour").collect()}
+    probes = 1
+    while True:
+        got = {(r[key], r["neighbour"]) for r in nearest_in_lists(some, base, key, k, c, probes, block_rows=block_rows).select(key, "neighbour").collect()}
+        found = len(want & got) / max(len(want), 1) if want else 1.0
+        if found >= recall or probes >= len(c):
+            return nearest_in_lists(queries, base, key, k, c, probes, block_rows=block_rows), probes, found
+        probes = min(2 * probes, len(c))
 
 
 def similarity_edges(neighbours: DataFrame, key: str, *, mutual: bool) -> DataFrame:
@@ -128,7 +204,7 @@ def coverage_probe(neighbours: DataFrame, universe: DataFrame, key: str, ks: tup
 
 
 def vertex_index(edges: DataFrame) -> DataFrame:
-    """(id, vertex): endpoints numbered from 0 in order. Integer ids. A null end raises."""
+    """(id, vertex): endpoints numbered from 0 in order, text ids too. A null end raises."""
     if not edges.where("basket_a is null or basket_b is null").isEmpty():
         raise ValueError("an edge has a null end")
     return numbered(endpoints(edges).distinct(), "id", ["id"], "vertex").withColumn("vertex", F.col("vertex") - 1)
@@ -137,8 +213,10 @@ def vertex_index(edges: DataFrame) -> DataFrame:
 def vote(neighbours: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     """(key, need_state_cluster, cluster_confidence): the label most of the neighbours have; ties to the least label.
 
-    ``neighbours`` come from a search among labelled rows only. Confidence is the label's share of them.
+    ``neighbours`` come from a search among labelled rows only. Confidence is the label's share of them. A key that two
+    rows of ``labels`` have raises.
     """
+    labels = merge_refusing_duplicates(labels, key)
     n = neighbours.join(labels.select(F.col(key).alias("neighbour"), F.col("label")), "neighbour").groupBy(key, "label").agg(F.count("*").alias("n"))
     best = n.groupBy(key).agg(F.max(F.struct("n", (-F.col("label")).alias("minus"))).alias("m"), F.sum("n").alias("all"))
     return best.select(key, (-F.col("m.minus")).alias("need_state_cluster"), (F.col("m.n") / F.col("all")).alias("cluster_confidence"))

@@ -37,14 +37,18 @@ class Run:
 
 def similarity_graph(vectors: DataFrame, key: str, config: Config) -> DataFrame:
     """Edges of the nearest neighbours, with weights."""
-    return V.with_weight(V.similarity_edges(V.nearest(vectors, vectors, key, config.knn_k), key, mutual=config.mutual_knn))
+    if config.knn_method == "exact":
+        near = V.nearest(vectors, vectors, key, config.knn_k)
+    else:
+        near, _, _ = V.nearest_approximate(vectors, vectors, key, config.knn_k, recall=config.knn_recall)
+    return V.with_weight(V.similarity_edges(near, key, mutual=config.mutual_knn))
 
 
 def cluster(vectors: DataFrame, key: str, config: Config, edges: DataFrame | None = None) -> DataFrame:
     """(id, label) of every row: the graph, its coverage checked, and its communities; -1 outside the graph."""
     edges = C.settled(similarity_graph(vectors, key, config)) if edges is None else edges
     V.check_coverage(edges, vectors, key, config.min_graph_coverage)
-    return C.leiden(edges, config.resolution, config.leiden_iterations, config.seed, universe=vectors.select(F.col(key).alias("id")), edge_cap=config.leiden_edge_cap)
+    return C.leiden(edges, config.resolution, config.leiden_iterations, config.seed, universe=vectors.select(F.col(key).alias("id")), method=config.leiden_method, edge_cap=config.leiden_edge_cap)
 
 
 def train(spark: SparkSession, txn: DataFrame, product_vectors: DataFrame, root: str, config: Config | None = None) -> Run:
@@ -61,9 +65,9 @@ def train(spark: SparkSession, txn: DataFrame, product_vectors: DataFrame, root:
     base = ("min_basket_products",)
     baskets = kept("baskets", base, lambda: B.numbered(B.build_baskets(txn, config.min_basket_products), "household_number", ["household_number", "year_week_number"]))
     vectors = kept("vectors", base, lambda: V.mean_vectors(baskets.select("basket_id", "items"), product_vectors).join(baskets.select("basket_id", "basket_seq"), "basket_id").where("n_used > 0").select("basket_seq", "basket_id", "embedding"))
-    graph = (*base, "knn_k", "mutual_knn")
+    graph = (*base, "knn_k", "mutual_knn", "knn_method", "knn_recall")
     edges = kept("edges", graph, lambda: similarity_graph(vectors.select("basket_seq", "embedding"), "basket_seq", config))
-    parts = (*graph, "resolution", "leiden_iterations", "seed", "leiden_edge_cap", "min_graph_coverage")
+    parts = (*graph, "resolution", "leiden_iterations", "seed", "leiden_method", "leiden_edge_cap", "min_graph_coverage")
     labels = kept("labels", parts, lambda: cluster(vectors.select("basket_seq", "embedding"), "basket_seq", config, edges).join(vectors.select(F.col("basket_seq").alias("id"), "basket_id"), "id").select("id", "basket_id", "label"))
     named = labels.where(F.col("label") != N.UNCLUSTERED)
     by_seq = named.select(F.col("id").alias("basket_id"), "label")

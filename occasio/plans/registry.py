@@ -358,6 +358,13 @@ def _edge_rows(df: DataFrame) -> DataFrame:
     return rounded(df, "similarity", "weight")
 
 
+@query
+def knn_approximate(spark, d):
+    v = X.vectors(spark, d)
+    got, _, _ = V.nearest_approximate(v, v, "id", 15, recall=0.95)
+    return got.select("id", "neighbour", r6(F.col("similarity")).alias("similarity"), F.col("rank").cast("long").alias("rank"))
+
+
 @query
 def knn_edges_mutual(spark, d):
     return _edge_rows(X.edges(spark, d, mutual=True))
@@ -457,7 +464,7 @@ def leiden(spark, d):
 
 @query
 def leiden_distributed(spark, d):
-    return C.local_moving(C.settled(X.edges(spark, d)), rounds=6, levels=2)
+    return C.leiden(C.settled(X.edges(spark, d)), method="joins")
 
 
 @query
@@ -672,7 +679,7 @@ def excess(spark, d):
 
 
 def _log(spark, d) -> DataFrame:
-    c = T.read_table(spark, f"{d}/customer.parquet", ["c_custkey", "c_acctbal"]).where("c_custkey < 20")
+    c = T.read_table(spark, f"{d}/customer.parquet", ["c_custkey", "c_acctbal"])
     k = F.col("c_custkey")
     return c.select(F.concat(F.lit("run"), k.cast("string")).alias("run"), F.when(k % 4 != 0, r6(F.col("c_acctbal") / 10000)).alias("excess"), F.when(k % 3 == 0, F.lit("clustered")).when(k % 3 == 1, F.lit("population")).alias("lift_basis"))
 
@@ -710,4 +717,4 @@ def score_new(spark, d):
     old = B.build_baskets(txn.where("year_number < 1999"))
     reference = C.settled(V.mean_vectors(old, vectors).select("basket_id", "embedding"))
     scored = X.labels(spark, d).join(old.select("basket_id"), "basket_id", "left_semi").select("basket_id", F.col("label").alias("need_state_cluster"), F.lit(1.0).alias("cluster_confidence"))
-    return scoring.score_new(txn.where("year_number >= 1999 and household_number % 5 = 1"), vectors, reference, X.labels(spark, d), scored)
+    return scoring.score_new(txn.where("year_number >= 1999"), vectors, reference, X.labels(spark, d), scored)

@@ -223,7 +223,7 @@ for _i in range(4):
     cte(f"h{_i}", _body.replace("CAST(0 AS BIGINT)", "(SELECT need_state FROM last_)").replace("FROM j", "FROM h"), "trans1", "last_", *([f"h{_i - 1}"] if _i else []))
 
 _LOG = """SELECT 'run' || c_custkey AS run, CASE WHEN c_custkey % 4 <> 0 THEN ROUND(c_acctbal / 10000, 6) END AS excess,
-       CASE c_custkey % 3 WHEN 0 THEN 'clustered' WHEN 1 THEN 'population' END AS lift_basis FROM customer WHERE c_custkey < 20"""
+       CASE c_custkey % 3 WHEN 0 THEN 'clustered' WHEN 1 THEN 'population' END AS lift_basis FROM customer"""
 cte("log_", _LOG)
 cte("reach", """
   SELECT id, id AS r FROM (SELECT basket_a AS id FROM edges_mutual UNION SELECT basket_b FROM edges_mutual)

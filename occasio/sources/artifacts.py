@@ -70,10 +70,13 @@ class ArtifactCache:
         """The first rows only, under a manifest that no real request has."""
         return self.save(f"{kind}_SMOKETEST", {**manifest, "smoke_rows": rows}, df.limit(rows))
 
-    def drop(self, kind: str, manifest: dict, *, dry_run: bool = True) -> list[str]:
-        """What a reset deletes; it deletes only if ``dry_run`` is off."""
+    def drop(self, kind: str, manifest: dict, *, dry_run: bool = True, model: str | None = None, force: bool = False) -> list[str]:
+        """What a reset deletes; it deletes only if ``dry_run`` is off. What a model that still exists at the path
+        ``model`` has made is valid, so that raises, unless ``force`` is on."""
         paths = [self.path(kind, manifest), f"{self.path(kind, manifest)}.manifest"]
         paths = [x for x in paths if self._fs(x)[1].exists(self._fs(x)[0])]
+        if model is not None and not force and (where := self._fs(model))[1].exists(where[0]):
+            raise ValueError(f"{kind} may come from the model at {model}, which still exists; resume, or force the reset")
         if not dry_run:
             for x in paths:
                 p, fs = self._fs(x)

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+import time
+import zipfile
 from collections.abc import Iterable
+from xml.sax.saxutils import escape
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_TAG = re.compile(r"^[a-z_][a-z0-9_]*$")
+_TAG = re.compile(r"^[a-z_][a-z0-9_]*$")  # fixed: the published rule for tags
 PURCHASES = ("household_number", "tpnb", "year_number", "period_number", "week_number", "quantity")
 
 
@@ -47,13 +50,14 @@ def create_table(df: DataFrame, name: str, *, bucket_by: str | None = None, buck
     return df.sparkSession.table(name)
 
 
-def drop_tag(spark: SparkSession, tag: str) -> list[str]:
-    """Drop every table whose name ends with the tag."""
+def drop_tag(spark: SparkSession, tag: str, names: Iterable[str]) -> list[str]:
+    """Drop the tables ``<name>_<tag>`` of the given names, and no other that happens to end alike."""
     valid_tag(tag)
-    names = [t.name for t in spark.catalog.listTables() if t.name.endswith(f"_{tag}")]
-    for n in names:
+    there = {t.name for t in spark.catalog.listTables()}
+    dropped = [n for n in (f"{valid_tag(name)}_{tag}" for name in names) if n in there]
+    for n in dropped:
         spark.sql(f"DROP TABLE IF EXISTS `{n}`")
-    return names
+    return dropped
 
 
 def register(df: DataFrame, name: str) -> str:
@@ -96,6 +100,48 @@ def claimable(ledger: DataFrame, now: Column, stale_after_seconds: int = 3600) -
     return ledger.where((F.col("status") == "pending") | ((F.col("status") == "running") & (F.col("updated_at") < old))).orderBy("chunk_id")
 
 
+class WorkQueue:
+    """A restartable queue of chunks in a folder that all workers share: claims and completions are files that are created
+    or not as one act, so no chunk has two owners at a time."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        jvm = spark.sparkContext._jvm
+        self._path = lambda name: jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}")
+        self._fs = self._path("x").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._fs.mkdirs(jvm.org.apache.hadoop.fs.Path(folder))
+        self._jvm, self._folder = jvm, folder
+
+    def _create(self, name: str) -> bool:
+        return self._fs.createNewFile(self._path(name))
+
+    def _state(self) -> dict[int, tuple[str, int, float]]:
+        """Of each chunk that was ever claimed: its status, how often it was claimed, and when last (in seconds)."""
+        out: dict[int, tuple[str, int, float]] = {}
+        for f in self._fs.listStatus(self._jvm.org.apache.hadoop.fs.Path(self._folder)):
+            m = re.fullmatch(r"chunk-([0-9]+)[.](claim-([0-9]+)|done)", f.getPath().getName())
+            if m:
+                chunk, status, claims, at = int(m[1]), *out.get(int(m[1]), ("running", 0, 0.0))
+                now = f.getModificationTime() / 1000
+                out[chunk] = ("complete", claims, at) if m[2] == "done" else (status, max(claims, int(m[3])), max(at, now))
+        return out
+
+    def claim(self, chunks: Iterable[int], stale_after_seconds: float = 3600, now: float | None = None) -> int | None:
+        """The lowest chunk that is pending, or whose claim is too old, for the caller alone; None if there is none."""
+        state, now = self._state(), time.time() if now is None else now
+        for chunk in sorted(chunks):
+            status, claims, at = state.get(chunk, ("pending", 0, 0.0))
+            if (status == "pending" or status == "running" and now - at > stale_after_seconds) and self._create(f"chunk-{chunk}.claim-{claims + 1}"):
+                return chunk
+        return None
+
+    def complete(self, chunk: int) -> bool:
+        """Mark a chunk complete; whether this was the first time."""
+        return self._create(f"chunk-{chunk}.done")
+
+    def completed(self) -> list[int]:
+        return sorted(c for c, (status, _, _) in self._state().items() if status == "complete")
+
+
 def remaining(plan: DataFrame, done: DataFrame) -> DataFrame:
     """Chunks of a plan that are not done: resumption is an anti-join."""
     return plan.join(done.select("chunk_id"), "chunk_id", "left_anti")
@@ -145,15 +191,45 @@ def capped_write(df: DataFrame, path: str, cap: int) -> int:
     return n
 
 
-def export_csv(tables: dict[str, DataFrame], folder: str, cap: int = 1_000_000) -> dict[str, bool]:
-    """One CSV folder a table, at most ``cap`` rows each (what a spreadsheet holds); tells which were cut."""
-    cut = {}
+def export_csv(tables: dict[str, DataFrame], folder: str) -> None:
+    """One CSV folder a table, with all its rows."""
     for name, df in tables.items():
-        cut[name] = df.limit(cap + 1).count() > cap
-        df.limit(cap).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/{valid_tag(name)}")
+        df.write.mode("overwrite").option("header", True).csv(f"{folder}/{valid_tag(name)}")
+
+
+def export_workbook(tables: dict[str, DataFrame], path: str, cap: int = 1_000_000) -> dict[str, bool]:
+    """A spreadsheet file (Office Open XML) on the driver, a sheet a table, at most ``cap`` rows of each, which is what a
+    sheet holds; tells which were cut. Rows are written one by one as they come. Nested values are written as text."""
+    cell = lambda v: "<c/>" if v is None else f'<c t="b"><v>{int(v)}</v></c>' if isinstance(v, bool) else f"<c><v>{v!r}</v></c>" if isinstance(v, (int, float)) and v == v and abs(v) != float("inf") else f'<c t="inlineStr"><is><t xml:space="preserve">{_xml(v)}</t></is></c>'
+    head, main = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>', "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    parts, rel = "http://schemas.openxmlformats.org/package/2006", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    cut, names = {}, [valid_tag(n)[:31] for n in tables]
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        sheet = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+        each = range(1, len(names) + 1)
+        z.writestr("[Content_Types].xml", f'{head}<Types xmlns="{parts}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{sheet}.sheet.main+xml"/>' + "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{sheet}.worksheet+xml"/>' for i in each) + "</Types>")
+        z.writestr("_rels/.rels", f'{head}<Relationships xmlns="{parts}/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        z.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{n}" sheetId="{i}" r:id="r{i}"/>' for i, n in zip(each, names)) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="{parts}/relationships">' + "".join(f'<Relationship Id="r{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in each) + "</Relationships>")
+        for i, (name, df) in enumerate(tables.items(), 1):
+            cut[name] = df.limit(cap + 1).count() > cap
+            with z.open(f"xl/worksheets/sheet{i}.xml", "w", force_zip64=True) as f:
+                f.write(f'{head}<worksheet xmlns="{main}"><sheetData><row>{"".join(map(cell, df.columns))}</row>'.encode())
+                for r in df.limit(cap).toLocalIterator():
+                    f.write(f"<row>{''.join(map(cell, r))}</row>".encode())
+                f.write(b"</sheetData></worksheet>")
     return cut
 
 
+def _xml(v: object) -> str:
+    return escape(re.sub(r"[^\t\n\r\x20-\uD7FF\uE000-\uFFFD\U00010000-\U0010FFFF]", "", str(v))[:32_767])
+
+
+def seed_log(log: DataFrame | None, rows: DataFrame, key: str = "run") -> DataFrame:
+    """The log with rows of runs from before it; a run that the log has keeps its own row."""
+    return rows if log is None else log.unionByName(rows.join(log.select(key), key, "left_anti"), allowMissingColumns=True)
+
+
 def union_runs(tables: dict[str, DataFrame]) -> DataFrame:
     """Tables of several runs as one, with the column ``run`` first."""
     out = None

@@ -259,11 +259,24 @@ def groups(got):
     return sorted(map(sorted, by.values()))
 
 
+def planted_cliques(spark, sizes=(6, 6, 6), bridge=0.01, name=lambda i: i, kind="long"):
+    """Cliques of weight 1, joined in a row by weak bridges."""
+    rows, at = [], 0
+    for size in sizes:
+        rows += [(name(at + i), name(at + j), 1.0) for i in range(size) for j in range(i + 1, size)] + ([(name(at - 1), name(at), bridge)] if at else [])
+        at += size
+    return spark.createDataFrame(rows, f"basket_a {kind}, basket_b {kind}, weight double")
+
+
 def test_planted_cliques(spark):
-    edges = C.planted_cliques(spark)
+    edges = planted_cliques(spark)
     want = [list(range(0, 6)), list(range(6, 12)), list(range(12, 18))]
     assert groups(C.leiden(edges).collect()) == want
-    assert groups(C.local_moving(edges).collect()) == want
+    assert groups(C.leiden(edges, method="joins").collect()) == want
+    with pytest.raises(ValueError):
+        C.leiden(edges, edge_cap=10)
+    text = planted_cliques(spark, (5, 5), name=lambda i: f"v{i:02d}", kind="string")
+    assert groups(C.leiden(text, method="joins").collect()) == [[f"v{i:02d}" for i in r] for r in (range(5), range(5, 10))]
     lab = C.leiden(edges)
     assert C.modularity(edges, lab).first()[0] > 0.6
     zero = edges.withColumn("weight", F.lit(0.0))
@@ -272,6 +285,50 @@ def test_planted_cliques(spark):
     assert len(everyone) == 20 and {r["id"] for r in everyone if r["label"] == -1} == {18, 19}
 
 
+def test_leiden_as_joins_is_as_good_and_connected(spark):
+    rng = np.random.default_rng(3)
+    rows = {(int(min(a, b)), int(max(a, b))) for g in range(6) for a, b in rng.integers(g * 12, g * 12 + 12, (40, 2)) if a != b}
+    rows |= {(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, 72, (40, 2)) if a != b}
+    edges = spark.createDataFrame([(a, b, 1.0) for a, b in sorted(rows)], "basket_a long, basket_b long, weight double")
+    mine, theirs = C.settled(C.leiden(edges, method="joins")), C.leiden(edges)
+    q = [C.modularity(edges, x).first()[0] for x in (mine, theirs)]
+    assert q[0] >= q[1] - 0.03 and q[0] > 0.4
+    named = {r["id"]: r["label"] for r in mine.collect()}
+    for label in set(named.values()):
+        left = {i for i, x in named.items() if x == label}
+        reach, new = set(), {min(left)}
+        while new:
+            reach |= new
+            new = {b for a, b in rows | {(b, a) for a, b in rows} if a in reach and b in left} - reach
+        assert reach == left
+
+
+def test_approximate_neighbours(spark):
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=(20, 8))
+    x = np.concatenate([centre[rng.integers(20, size=600)] + 0.3 * rng.normal(size=(600, 8)), np.tile(centre[0], (300, 1)) + 1e-3 * rng.normal(size=(300, 8)), np.zeros((3, 8))])
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, embedding array<double>")
+    want = {(r["id"], r["neighbour"]) for r in V.nearest(v, v, "id", 5).collect()}
+    got, probes, found = V.nearest_approximate(v, v, "id", 5, recall=0.95, block_rows=64)
+    rows = got.collect()
+    mine = {(r["id"], r["neighbour"]) for r in rows}
+    assert found >= 0.95 and len(want & mine) >= 0.9 * len(want) and probes < 30
+    assert all(r["id"] != r["neighbour"] and 1 <= r["rank"] <= 5 for r in rows) and {r["id"] for r in rows} == set(range(903))
+    whole = V.nearest_in_lists(v, v, "id", 5, V.centroids(v, "id", 7), 7, block_rows=50)
+    assert {(r["id"], r["neighbour"]) for r in whole.collect()} == want
+    assert V.nearest_approximate(v.limit(0), v.limit(0), "id", 5)[0].count() == 0
+
+
+def test_numbers_with_one_key_far_out(spark):
+    rows = [(h, w) for h in [*range(200), 10**15] for w in range(3)]
+    df = spark.createDataFrame(rows, "h long, w int").repartition(5)
+    got = sorted(map(tuple, B.numbered(df, "h", ["h", "w"], ranges=16).select("h", "w", "basket_seq").collect()))
+    assert [r[2] for r in got] == list(range(1, len(rows) + 1))
+    text = spark.createDataFrame([(f"k{i % 97:03d}", i) for i in range(300)], "h string, w int")
+    got = sorted(map(tuple, B.numbered(text, "h", ["h", "w"], ranges=8).select("h", "w", "basket_seq").collect()))
+    assert [r[2] for r in got] == list(range(1, 301))
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101)], "basket_a long, basket_b long")
     got = {r["id"]: r["component"] for r in C.connected_components(e).collect()}

@@ -1,5 +1,7 @@
 """Tables, artifacts, settings, streaming."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,10 +112,14 @@ def test_score_new_and_stream(spark, tmp_path):
     done = spark.createDataFrame([("1_202615", 7, 1.0)], "basket_id string, need_state_cluster long, cluster_confidence double")
     got = {r["basket_id"]: r["need_state_cluster"] for r in scoring.score_new(txn, vectors, reference, labels, done, k=3).collect()}
     assert got == {"1_202615": 7, "2_202615": 1, "3_202615": -1}
-    txn.write.parquet(f"{tmp_path}/in")
-    q = scoring.score_stream(scoring.purchases_stream(spark, f"{tmp_path}/in", txn.schema), lambda b: scoring.score_new(b, vectors, reference, labels, None, k=3), f"{tmp_path}/out", f"{tmp_path}/cp")
-    q.awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/out").count() == 3
+    assert scoring.score_new(txn.where("household_number > 99"), vectors, reference, labels, None, k=3).count() == 0
+    # One file a micro-batch; household 2's basket comes in two of them, and the first one holds no basket at all.
+    for i, rows in enumerate(([(2, 3, 15)], [(1, 1, 15), (1, 2, 15)], [(2, 4, 15), (3, 8, 15), (3, 9, 15)])):
+        purchases(spark, rows).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        q = scoring.score_stream(scoring.purchases_stream(spark, f"{tmp_path}/in", txn.schema), lambda b: scoring.score_new(b, vectors, reference, labels, None, k=3), f"{tmp_path}/out", f"{tmp_path}/cp")
+        q.awaitTermination()
+        assert q.exception() is None and scoring.scored_baskets(spark, f"{tmp_path}/out").count() == (0, 1, 3)[i]
+    assert {r["basket_id"]: r["need_state_cluster"] for r in scoring.scored_baskets(spark, f"{tmp_path}/out").collect()} == {"1_202615": 0, "2_202615": 1, "3_202615": -1}
 
 
 def test_plan_reaches_the_scan(spark):
@@ -156,16 +162,49 @@ def test_lifecycle(spark, tmp_path):
 
 
 def test_export(spark, tmp_path):
-    cut = T.export_csv({"a": spark.range(3), "b": spark.range(9)}, f"{tmp_path}/x", cap=5)
-    assert cut == {"a": False, "b": True} and spark.read.option("header", True).csv(f"{tmp_path}/x/b").count() == 5
+    import zipfile
+    from xml.etree import ElementTree
+
+    tables = {"a": spark.range(3), "b": spark.createDataFrame([(i, f"<x & {i}>" if i else None, i / 4, i > 2) for i in range(9)], "n long, t string, f double, flag boolean").orderBy("n")}
+    T.export_csv(tables, f"{tmp_path}/x")
+    assert spark.read.option("header", True).csv(f"{tmp_path}/x/b").count() == 9
+    assert T.export_workbook(tables, f"{tmp_path}/x.xlsx", cap=5) == {"a": False, "b": True}
+    with zipfile.ZipFile(f"{tmp_path}/x.xlsx") as z:
+        trees = {n: ElementTree.fromstring(z.read(n)) for n in z.namelist()}
+    rows = [["".join(c.itertext()) for c in r] for r in trees["xl/worksheets/sheet2.xml"][0]]
+    assert rows == [["n", "t", "f", "flag"], ["0", "", "0.0", "0"], ["1", "<x & 1>", "0.25", "0"], ["2", "<x & 2>", "0.5", "0"], ["3", "<x & 3>", "0.75", "1"], ["4", "<x & 4>", "1.0", "1"]]
     whole = T.union_runs({"r1": spark.range(2), "r0": spark.range(1)})
     assert whole.columns[0] == "run" and whole.count() == 3
 
 
 def test_tables(spark):
-    T.create_table(spark.range(10).withColumn("w", F.col("id") % 3), "occasio_case_t1", bucket_by="w", buckets=2)
+    for name in ("occasio_case_t1", "occasio_other_t1"):
+        T.create_table(spark.range(10).withColumn("w", F.col("id") % 3), name, bucket_by="w", buckets=2)
     assert spark.table("occasio_case_t1").count() == 10
-    assert T.drop_tag(spark, "t1") == ["occasio_case_t1"]
+    assert T.drop_tag(spark, "t1", ["occasio_case", "none"]) == ["occasio_case_t1"] and spark.table("occasio_other_t1").count() == 10
+    assert T.drop_tag(spark, "t1", ["occasio_other"]) == ["occasio_other_t1"]
+
+
+def test_work_queue(spark, tmp_path):
+    a, b = T.WorkQueue(spark, f"{tmp_path}/q"), T.WorkQueue(spark, f"{tmp_path}/q")
+    assert [a.claim(range(3)), b.claim(range(3)), a.claim(range(3)), b.claim(range(3))] == [0, 1, 2, None]
+    assert b.complete(1) and not a.complete(1) and a.completed() == [1]
+    late = time.time() + 7200
+    assert [a.claim(range(3), now=late), b.claim(range(3), now=late)] == [0, 2]
+    assert not a._create("chunk-0.claim-2")
+
+
+def test_seed_log_and_compare(spark):
+    from occasio.plans.compare import compare
+    from occasio.session import session
+
+    log = spark.createDataFrame([("r1", 2.0)], "run string, excess double")
+    old = spark.createDataFrame([("r0", "before"), ("r1", "before")], "run string, note string")
+    assert sorted((r["run"], r["excess"], r["note"]) for r in T.seed_log(log, old).collect()) == [("r0", None, "before"), ("r1", 2.0, None)]
+    assert compare("sum", lambda: spark.range(9).agg(F.sum("id").alias("s")), lambda: spark.range(9).select(F.lit(36).cast("long").alias("s")).limit(1)).rows == 1
+    with pytest.raises(ValueError):
+        compare("rows", lambda: spark.range(9), lambda: spark.range(8))
+    assert session() is spark or session().sparkContext is spark.sparkContext
 
 
 def test_windowed_counts_of_a_stream(spark, tmp_path):
