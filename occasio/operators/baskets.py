@@ -68,21 +68,32 @@ def exploded(baskets: DataFrame) -> DataFrame:
     return baskets.select("household_number", "year_week_number", "basket_id", F.explode("items").alias("i")).select("household_number", "year_week_number", "basket_id", "i.tpnb", "i.quantity")
 
 
-def numbered(df: DataFrame, lead: str, order: list[str], name: str = "basket_seq", ranges: int = 4096) -> DataFrame:
-    """A number from 1 in the order of ``order``, without a one-task sort.
+def in_ranges(df: DataFrame, lead: str, order: list[str], ranges: int = 4096) -> DataFrame:
+    """The rows with ``_range``: ranges of ``lead``, a number or text, ascending; nulls are in the first one.
 
-    ``lead``, a number or text, is the first of ``order``. Its quantiles (over a sample of the 4 * ``ranges`` rows with the
-    least hash) cut the rows into at most ``ranges`` ranges, so a few keys far out leave no range with all the others; a window over a row a range gives each range's first number, and rows are numbered inside their
-    range. The numbers do not depend on where the ranges lie, and are the same whenever it is run again.
+    Quantiles of a sample of 4 * ``ranges`` rows (those with the least hash of ``order``) cut them, so a few values far out
+    leave no range with all the others.
     """
     sample = df.where(F.col(lead).isNotNull()).select(lead, F.xxhash64(*order).alias("_h")).orderBy("_h").limit(4 * ranges)
     values = sorted({r[0] for r in sample.collect()})  # 4 * ranges rows
     bounds = sorted({values[i * len(values) // ranges] for i in range(ranges)}) if values else []
     kind = df.schema[lead].dataType.simpleString()
     cuts = F.broadcast(df.sparkSession.createDataFrame([(bounds,)], f"_cuts array<{kind}>"))
-    # The place of the last bound up to the value, by halving.
-    low = F.aggregate(F.sequence(F.lit(13), F.lit(0), F.lit(-1)), F.lit(0), lambda at, bit: F.when(F.get("_cuts", at + F.pow(F.lit(2), bit).cast("int") - 1) <= F.col(lead), at + F.pow(F.lit(2), bit).cast("int")).otherwise(at))
-    dealt = df.crossJoin(cuts).withColumn("_range", low).drop("_cuts")
+    # How many bounds are up to the value, by halving.
+    step = lambda bit: F.pow(F.lit(2), bit).cast("int")
+    bits = F.sequence(F.lit(ranges.bit_length()), F.lit(0), F.lit(-1))
+    upto = F.aggregate(bits, F.lit(0), lambda at, bit: F.when(F.get("_cuts", at + step(bit) - 1) <= F.col(lead), at + step(bit)).otherwise(at))
+    return df.crossJoin(cuts).withColumn("_range", upto).drop("_cuts")
+
+
+def numbered(df: DataFrame, lead: str, order: list[str], name: str = "basket_seq", ranges: int = 4096) -> DataFrame:
+    """A number from 1 in the order of ``order``, without a one-task sort.
+
+    ``lead`` is the first of ``order``. A window over a row a range (:func:`in_ranges`) gives each range's first number, and
+    rows are numbered inside their range. The numbers do not depend on where the ranges lie, and are the same whenever it
+    is run again.
+    """
+    dealt = in_ranges(df, lead, order, ranges)
     before = dealt.groupBy("_range").count().select("_range", (F.sum("count").over(Window.orderBy("_range")) - F.col("count")).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
     return dealt.withColumn("_inside", inside).join(F.broadcast(before), "_range").withColumn(name, (F.col("_before") + F.col("_inside")).cast("long")).drop("_range", "_before", "_inside")

@@ -21,7 +21,7 @@ def settled(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
     if spark.sparkContext.getCheckpointDir() is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("on a cluster, set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 

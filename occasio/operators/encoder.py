@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -136,6 +136,21 @@ class Encoder:
             history.append(float(np.mean(losses)) if losses else float("nan"))
         return history
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """The weights as a table, replaced as a whole; to be written before anything is embedded with them."""
+        rows = [(k, *x.reshape(x.shape[0], -1).shape, x.ndim, x.astype("<f8").tobytes()) for k, x in self.p.items()]
+        spark.createDataFrame(rows, "name string, height int, width int, dims int, data binary").coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Encoder:
+        """The encoder whose weights are at the path. A table that lacks some of them raises."""
+        p = {r["name"]: np.frombuffer(r["data"], "<f8").reshape((r["height"], r["width"]) if r["dims"] == 2 else (r["height"],)).copy() for r in spark.read.parquet(path).collect()}  # a row a weight
+        if set(p) != set(cls.NAMES):
+            raise ValueError(f"{path} holds no whole encoder: it lacks {', '.join(sorted(set(cls.NAMES) - set(p))) or 'nothing'}")
+        out = cls(*p["in"].shape, p["out"].shape[1])
+        out.p = p
+        return out
+
 
 def train(graphs: DataFrame, width: int, *, sample: int = 2000, seed: int = 42, epochs: int = 20, hidden: int = 64, dim: int = 64) -> tuple[Encoder, list[float]]:
     """An encoder trained on at most ``sample`` baskets, those with the least hash of (key, seed)."""

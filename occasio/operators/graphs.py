@@ -44,9 +44,8 @@ def basket_pairs(nodes: DataFrame, counts: DataFrame) -> DataFrame:
 
 def cp_score(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(basket_id, tpnb, cp_score): log1p of the mean co-purchase with the basket's other products, scaled inside it."""
-    size = nodes.groupBy("basket_id").agg(F.count("*").alias("m"))
     sums = pairs.groupBy("basket_id", F.col("src").alias("tpnb")).agg(F.sum("n").alias("s"))
-    raw = nodes.select("basket_id", "tpnb").join(size, "basket_id").join(sums, ["basket_id", "tpnb"], "left")
+    raw = nodes.select("basket_id", "tpnb").join(sums, ["basket_id", "tpnb"], "left").withColumn("m", F.count("*").over(Window.partitionBy("basket_id")))
     value = F.when(F.col("m") > 1, F.log1p(F.coalesce("s", F.lit(0)).cast("double") / F.greatest(F.col("m") - 1, F.lit(1)))).otherwise(F.lit(0.0))
     scored = raw.select("basket_id", "tpnb", "m", value.alias("v"))
     return scored.select("basket_id", "tpnb", F.when(F.col("m") > 1, minmax_within(F.col("v"), "basket_id")).otherwise(F.lit(0.0)).alias("cp_score"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from occasio.functions.scalar import blank_to, doubles, l2_normalized
@@ -199,7 +199,3 @@ def label_means(vectors: DataFrame, label: str = "label") -> DataFrame:
     """(label, center): the mean vector of each label, by element-wise sums."""
     cells = vectors.select(label, F.posexplode(doubles(F.col("embedding"))).alias("d", "x")).groupBy(label, "d").agg(F.avg("x").alias("x"))
     return cells.groupBy(F.col(label).alias("label")).agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("center"))
-
-
-def ranked(df: DataFrame, by: list[str], order: list, name: str = "rank") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))

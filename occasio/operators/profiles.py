@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from occasio.functions.scalar import banded, household_of, ratio
-from occasio.operators.baskets import exploded
+from occasio.operators.baskets import exploded, in_ranges, numbered
 
 UNCLUSTERED = -1
 #: The bands of the insight tables. An upper end belongs to its band.
@@ -15,7 +15,9 @@ LIFT_BANDS = [(1.5, "< 1.5"), (3, "1.5-3"), (5, "3-5"), (10, "5-10")], ">= 10"
 COVERAGE_BANDS = [(0.10, "< 10%"), (0.25, "10-25%"), (0.50, "25-50%"), (0.75, "50-75%")], ">= 75%"
 DEPARTMENT_BANDS = [(1, "1"), (3, "2-3"), (6, "4-6")], "7+"
 LIFT_BASIS = "clustered"
+# Texts that stand for what is missing.
 UNRECORDED = "(pre-fix, unrecorded)"
+NO_LABEL = "(no description available)"
 
 
 def _labelled(labels: DataFrame) -> DataFrame:
@@ -58,7 +60,7 @@ def state_labels(profile: DataFrame, n_terms: int = 3) -> DataFrame:
     """(need_state, label): descriptions of the top products, blanks skipped among them."""
     top = profile.where(F.col("rank_by_lift") <= n_terms)
     terms = F.filter(F.transform(F.sort_array(F.collect_list(F.struct("rank_by_lift", "description"))), lambda s: F.trim(s["description"])), lambda t: t.isNotNull() & (t != ""))
-    return top.groupBy("need_state").agg(terms.alias("t")).select("need_state", F.when(F.size("t") > 0, F.array_join("t", " / ")).otherwise("(no description available)").alias("label"))
+    return top.groupBy("need_state").agg(terms.alias("t")).select("need_state", F.when(F.size("t") > 0, F.array_join("t", " / ")).otherwise(NO_LABEL).alias("label"))
 
 
 def enriched(summaries: DataFrame, profile: DataFrame) -> DataFrame:
@@ -102,8 +104,12 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 
     def rank(c: str) -> tuple[DataFrame, str]:
         n = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n"))
-        low = F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy(c).rowsBetween(Window.unboundedPreceding, -1))
-        return n.select(F.col(c).alias(f"_{c}"), (F.coalesce(low, F.lit(0)) + (F.col("n") + 1) / 2).alias(f"_rank_{c}")), f"_rank_{c}"
+        dealt = in_ranges(n, c, [c])
+        before = dealt.groupBy("_range").agg(F.sum("n").alias("_n")).select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+        inside = F.sum("n").over(Window.partitionBy("_range").orderBy(c).rowsBetween(Window.unboundedPreceding, -1))
+        low = F.col("_before") + F.coalesce("_inside", F.lit(0))
+        placed = dealt.withColumn("_inside", inside).join(F.broadcast(before), "_range")
+        return placed.select(F.col(c).alias(f"_{c}"), (low + (F.col("n") + 1) / 2).alias(f"_rank_{c}")), f"_rank_{c}"
 
     rx, cx = rank(x)
     ry, cy = rank(y)
@@ -154,8 +160,6 @@ def permuted(labels: DataFrame, seed: int | None = 42) -> DataFrame:
     Rows are numbered by key, and again by (hash of key and seed); the label at the second number goes to the row at
     the first. ``seed`` None: labels move on by half the rows in key order, which SQL can replay.
     """
-    from occasio.operators.baskets import numbered
-
     named = labels.where(F.col("label") != UNCLUSTERED).select("basket_id", "label")
     by_key = numbered(named.withColumn("_h", F.coalesce(household_of(F.col("basket_id")), F.lit(0))), "_h", ["_h", "basket_id"], "_place")
     if seed is None:

@@ -76,11 +76,11 @@ def part_lookup(spark: SparkSession, d: str) -> DataFrame:
     return parts(spark, d).select(F.col("p_partkey").cast("string").alias("tpnb"), F.col("p_name").alias("description"), F.col("p_type").alias("department"))
 
 
-def labels(spark: SparkSession, d: str) -> DataFrame:
-    """(basket_id, label): the basket's most frequent part type; -1 where the household number ends in 0."""
+def labels(spark: SparkSession, d: str, of: DataFrame | None = None) -> DataFrame:
+    """(basket_id, label) of the baskets ``of``, or of all: the basket's most frequent part type; -1 where the household number ends in 0."""
     types = parts(spark, d).select(F.col("p_partkey").cast("string").alias("tpnb"), "p_type")
     numbers = types.select("p_type").distinct().withColumn("no", F.dense_rank().over(Window.orderBy("p_type")) - 1)
-    n = B.exploded(baskets(spark, d)).join(types, "tpnb").groupBy("basket_id", "household_number", "p_type").agg(F.count("*").alias("n"))
+    n = B.exploded(baskets(spark, d) if of is None else of).join(types, "tpnb").groupBy("basket_id", "household_number", "p_type").agg(F.count("*").alias("n"))
     top = n.withColumn("rn", F.row_number().over(Window.partitionBy("basket_id").orderBy(F.desc("n"), "p_type"))).where("rn = 1")
     return top.join(F.broadcast(numbers), "p_type").select("basket_id", F.when(F.col("household_number") % 10 == 0, -1).otherwise(F.col("no")).cast("long").alias("label"))
 

@@ -284,8 +284,8 @@ def basket_nodes(spark, d):
 
 
 def _pairs(spark, d) -> tuple[DataFrame, DataFrame]:
-    b = X.baskets(spark, d)
-    nodes = G.basket_nodes(b)
+    b = C.settled(X.baskets(spark, d))
+    nodes = C.settled(G.basket_nodes(b))
     return nodes, G.basket_pairs(nodes, G.copurchase(b))
 
 
@@ -326,7 +326,7 @@ def graph_pack(spark, d):
 @query
 def gnn_embed(spark, d):
     graphs = C.settled(_graphs(spark, d))
-    encoder, _ = E.train(graphs, 67, sample=300, epochs=3)
+    encoder, _ = E.train(graphs, 67)
     return E.embed(graphs, encoder)
 
 
@@ -475,12 +475,12 @@ def resolution_sweep(spark, d):
 @query
 def gmm_fit(spark, d):
     v = X.vectors(spark, d)
-    return M.assign(v.withColumnRenamed("id", "basket_id"), M.fit(v, 4, max_iter=8))
+    return M.assign(v.withColumnRenamed("id", "basket_id"), M.fit(v, 4))
 
 
 @query
 def gmm_bic(spark, d):
-    return M.bic_sweep(X.vectors(spark, d), 2, 4, 2, max_iter=5)
+    return M.bic_sweep(X.vectors(spark, d), 2, 4)
 
 
 def _posteriors(spark, d) -> DataFrame:
@@ -648,11 +648,12 @@ def _score(spark, d, run: str, labels: DataFrame, baskets: DataFrame) -> DataFra
 
 @query
 def scorecard(spark, d):
-    return rounded(_score(spark, d, "run1", C.settled(X.labels(spark, d)), C.settled(X.baskets(spark, d))), *SCORE_ROUNDED)
+    b = C.settled(X.baskets(spark, d))
+    return rounded(_score(spark, d, "run1", C.settled(X.labels(spark, d, b)), b), *SCORE_ROUNDED)
 
 
 def _null_labels(spark, d) -> DataFrame:
-    return C.settled(R.permuted(X.labels(spark, d), None))
+    return C.settled(R.permuted(C.settled(X.labels(spark, d)), None))
 
 
 @query
@@ -667,12 +668,14 @@ def permutation_null_seeded(spark, d):
 
 @query
 def null_scorecard(spark, d):
-    return rounded(_score(spark, d, "null1", _null_labels(spark, d), C.settled(X.baskets(spark, d))), *SCORE_ROUNDED)
+    b = C.settled(X.baskets(spark, d))
+    return rounded(_score(spark, d, "null1", C.settled(R.permuted(C.settled(X.labels(spark, d, b)), None)), b), *SCORE_ROUNDED)
 
 
 @query
 def excess(spark, d):
-    b, labels = C.settled(X.baskets(spark, d)), C.settled(X.labels(spark, d))
+    b = C.settled(X.baskets(spark, d))
+    labels = C.settled(X.labels(spark, d, b))
     row = C.settled(_score(spark, d, "run1", labels, b))
     null = C.settled(_score(spark, d, "null1", C.settled(R.permuted(labels, None)), b))
     return rounded(R.with_null(row, null, warn=lambda _: None).select("run", "null_run", "median_max_lift", "null_median_max_lift", "excess"), "median_max_lift", "null_median_max_lift", "excess")

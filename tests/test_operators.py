@@ -375,6 +375,16 @@ def test_encoder_gradients_and_empty_graphs():
     assert enc.forward(b)[0].shape == (3, 2)
 
 
+def test_encoder_is_kept(spark, tmp_path):
+    enc = E.Encoder(5, 4, 3, 1)
+    enc.save(spark, f"{tmp_path}/enc")
+    again = E.Encoder.load(spark, f"{tmp_path}/enc")
+    assert (again.width, again.hidden, again.dim) == (5, 4, 3) and all((again.p[k] == enc.p[k]).all() for k in enc.p)
+    spark.read.parquet(f"{tmp_path}/enc").where("name <> 'dec'").write.parquet(f"{tmp_path}/part")
+    with pytest.raises(ValueError):
+        E.Encoder.load(spark, f"{tmp_path}/part")
+
+
 def test_key_overlap(spark):
     a = spark.createDataFrame([(str(i),) for i in range(10)], "tpnb string")
     said = []
