@@ -19,7 +19,6 @@ that of a word never seen, so probabilities over the vocabulary and one unknown
 
 from __future__ import annotations
 
-import json
 import os
 import uuid
 from collections.abc import Iterator
@@ -513,10 +512,6 @@ def _fill(continued: DataFrame, path: str, size: int, ranges: int) -> str:
     return path
 
 
-def describe(model: Model) -> str:
-    return json.dumps({"words": model.vocabulary.size, "tokens": model.vocabulary.tokens, "bigrams": model.bigrams, "discounts": model.d2, "lower_discounts": model.d1})
-
-
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored, model = fit_and_score(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.vocabulary.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.vocabulary.tokens).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

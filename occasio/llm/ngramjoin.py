@@ -53,6 +53,7 @@ VERIFY_COST = 32.0
 BASE_PARTNERS = 0.25
 LIST_ROWS = 1024
 MAX_SALT = 1 << 16
+SALTS = 8
 BROADCAST_PAIRS = 1 << 20  # of 16 bytes; more are shuffled
 
 
@@ -273,12 +274,11 @@ def _overlaps(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def verify(pairs: DataFrame, docs: DataFrame, of: DataFrame, percent: int, tag: str) -> tuple[DataFrame, list[str]]:
-    """The pairs (a, b) of classes that link. ``of``: (doc_id, cls, n_shingles) of the documents."""
+def verify(pairs: DataFrame, docs: DataFrame, heads: DataFrame, percent: int, tag: str) -> tuple[DataFrame, list[str]]:
+    """The pairs (a, b) of classes that link. ``heads``: (cls, doc_id) of a document of each class."""
     pairs, pairs_path = materialize(pairs, f"{tag}-pairs")
     used = pairs.select(F.col("a").alias("cls"), F.lit(1).alias("side")).union(pairs.select("b", F.lit(2))).groupBy("cls").agg(F.bit_or("side").alias("side"))
-    holders = of.join(used, "cls").groupBy("cls").agg(F.min(F.coalesce("doc_id", F.lit(0))).alias("doc_id"), F.first("side").alias("side"))
-    holders, holders_path = materialize(holders.select("doc_id", "side"), f"{tag}-holders")
+    holders, holders_path = materialize(heads.join(used, "cls").select("doc_id", "side"), f"{tag}-holders")
     filters = [bloom(holders.where(F.col("side").bitwiseAND(F.lit(side)) > 0).select("doc_id")) for side in (1, 2)]
     sets, sets_path = materialize(_blobs(docs, *filters), f"{tag}-sets")
     small = F.broadcast(pairs) if pairs.count() <= BROADCAST_PAIRS else pairs
@@ -361,6 +361,8 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Data
     spark = docs.sparkSession
     rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     of, of_path = materialize(classes(rows.withColumn("fp", F.xxhash64(F.coalesce("text", F.lit(""))))), "join-classes")
+    # One row a class before any join, so that a class of a third of all documents is no hot key.
+    heads, heads_path = materialize(of.where("cls is not null").groupBy("cls").agg(F.min(F.coalesce("doc_id", F.lit(0))).alias("doc_id")), "join-heads")
     sketch = frequency_sketch(rows)
     dealt = postings(rows, sketch, percent).repartition(F.when(F.col("salt") < 0, F.col("cls")).otherwise(F.shiftright("tp", 16)), "salt").sortWithinPartitions("tp", "cls")
     raw, raw_path = materialize(dealt.mapInArrow(_lists, LISTED), "join-lists")
@@ -371,7 +373,7 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Data
     best = lists.join(hubs, span).where("cls <> hub").groupBy("cls", "hub").agg(F.count("*").alias("k"), F.first("meta").alias("meta"))
     best = best.groupBy("cls").agg(F.max(F.struct("k", "hub")).alias("m"), F.first("meta").alias("meta"))
     stars = best.where(F.col("m.k") >= _l("meta") / 2).select(F.col("cls").alias("a"), F.col("m.hub").alias("b"))
-    first, first_paths = verify(stars, rows, of, percent, "join-star")
+    first, first_paths = verify(stars, rows, heads, percent, "join-star")
     labels, labels_path = components(first, "join-star")
     # Between components: lists whose classes are in more than one.
     named = lists.join(labels.select(F.col("node").alias("cls"), F.col("label").alias("comp")), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
@@ -396,9 +398,9 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, Data
     prefix = lists.select("cls", "token", "meta").distinct().groupBy("cls").agg(F.first("meta").alias("meta"), F.collect_list("token").alias("tokens"))
     x, y = (prefix.select(F.col("cls").alias(s), F.col("meta").alias(f"meta_{s}"), F.col("tokens").alias(f"tokens_{s}")) for s in "ab")
     more = pairs.join(x, "a").join(y, "b").where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= F.least(_l("meta_a"), _l("meta_b"))).select("a", "b")
-    second, second_paths = verify(more, rows, of, percent, "join-rest")
+    second, second_paths = verify(more, rows, heads, percent, "join-rest")
     final, final_path = components(first.union(second).distinct(), "join")
-    drop(spark, lists_path, named_path, labels_path, *first_paths, *second_paths)
+    drop(spark, heads_path, lists_path, named_path, labels_path, *first_paths, *second_paths)
     return of, final.select(F.col("node").alias("cls"), "label"), [of_path, final_path]
 
 
@@ -411,8 +413,10 @@ def near_duplicate_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     of, labels, _ = ngram_join(docs, percent)
     least = of.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least")).join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     component = least.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = least.join(component, "label").select("cls", "component_id")
-    return of.join(named, "cls", "left").select("doc_id", "n_shingles", "cls", F.coalesce("component_id", "doc_id").alias("component_id"))
+    # Documents of one class are dealt over SALTS tasks.
+    named = least.join(component, "label").select("cls", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = of.withColumn("salt", F.pmod(F.xxhash64("doc_id", "fp", F.lit(1)), F.lit(SALTS)).cast("int"))
+    return salted.join(named, ["cls", "salt"], "left").select("doc_id", "n_shingles", "cls", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one_of_each_group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -255,6 +256,27 @@ def test_segments_are_all_maximal_ones():
         assert [(a, b) for a, b, _ in toxicity.segments(x)] == brute(x)
 
 
+def test_the_scan_follows_each_link_once():
+    for n in (1000, 8000):
+        for scores in (np.tile([1.0, -1.5], n), np.tile([1.0, -0.5], n), np.concatenate([np.tile([1.0, -1.01], n), np.full(n, 1.0)]), np.random.default_rng(n).normal(-0.2, 1, 2 * n)):
+            positive = np.flatnonzero(scores > 0).tolist()
+            _, steps = toxicity._candidates(positive, np.concatenate(([0.0], np.cumsum(scores))))
+            assert steps <= 2 * len(positive)
+
+
+def test_evidence_is_the_best_sum_statistic():
+    model = toxicity.ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), 0.5, 0.7, 0.3, 1.0, 0.0, 0.01)
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        scores, n = rng.exponential(20, rng.integers(0, 90)), int(rng.integers(1, 3000))
+        best, total = 0.0, 0.0
+        for r, s in enumerate(sorted(scores, reverse=True), 1):
+            total += 0.7 * s - math.log(0.3 * n)
+            if total > 0:
+                best = max(best, total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r))
+        assert model.evidence(scores, n) == pytest.approx(best)
+
+
 def toy(spark, n=400):
     rng, rows, labels = random.Random(2), [], []
     for d in range(n):
@@ -283,6 +305,60 @@ def test_toxic_passages_are_found(spark, odd, none):
     assert toxicity.keep_clean(df, toxicity.fit(none, labels)).count() == df.count()
 
 
+def test_toxicity_is_the_formula(spark):
+    """Odds, z-scores, lambda, K, evidence and scores by plain loops."""
+    df, labels = toy(spark, 150)
+    model = toxicity.fit(df, labels, z_min=1.5, odds_min=0.5)
+    rows = [(r["doc_id"], r["text"]) for r in df.collect()]
+    toxic = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    feature = {}
+
+    def features(text):
+        """For each word: the word, then its first 4 to 9 bytes, as far as it is longer."""
+        out = []
+        for w in re.findall(r"[a-z0-9]+", text.lower()):
+            out.append([("", w), *((k, w[:k]) for k in toxicity.STEMS if len(w) > k)])
+            one = _text.terms(pa.array([w]))
+            for name, (_, h) in zip([("", w), *((k, w[:k]) for k in toxicity.STEMS)], toxicity._features(one)):
+                if len(h):
+                    feature[name] = int(h[0])
+        return out
+
+    train = [(features(t), toxic[d]) for d, t in rows if zlib.crc32(str(d).encode()) % 5]
+    count = [Counter(), Counter()]
+    for words_, y in train:
+        count[y].update({f for w in words_ for f in w})
+    n = [sum(c.values()) for c in count]
+    a0 = 0.02 * sum(n)
+    odds, z, p0 = {}, {}, {}
+    for f in {*count[0], *count[1]}:
+        alpha = a0 * (count[0][f] + count[1][f]) / sum(n)
+        odds[f] = math.log((count[1][f] + alpha) / (n[1] + a0 - count[1][f] - alpha)) - math.log((count[0][f] + alpha) / (n[0] + a0 - count[0][f] - alpha))
+        z[f] = odds[f] / math.sqrt(1 / (count[1][f] + alpha) + 1 / (count[0][f] + alpha))
+        p0[f] = (count[0][f] + alpha) / (n[0] + a0)
+    kept = {f for f in odds if abs(z[f]) >= 1.5 and abs(odds[f]) >= 0.5}
+    at = {int(k): i for i, k in enumerate(model.keys)}
+    assert {feature[f] for f in kept} == set(at) and len(kept) > 3
+    assert all(model.weights[at[feature[f]]] == pytest.approx(odds[f]) and model.z[at[feature[f]]] == pytest.approx(z[f]) for f in kept)
+    rest = 1 - sum(p0[f] for f in kept)
+    if 0.05 < model.lam < 60:
+        assert sum(p0[f] * math.exp(model.lam * (odds[f] - 0.5)) for f in kept) + rest * math.exp(-0.5 * model.lam) == pytest.approx(1, abs=1e-6)
+
+    def scores(text):
+        out = []
+        for w in features(text):
+            best = max((f for f in w if f in kept), key=lambda f: abs(z[f]), default=None)
+            out.append((odds[best] if best else 0.0) - 0.5)
+        return np.array(out)
+
+    got = by_id(toxicity.score(df, model))
+    for d, t in rows[:60]:
+        x = scores(t)
+        segments = [s for _, _, s in toxicity.segments(x)]
+        assert got[d]["score"] == pytest.approx(model.probability(model.evidence(np.array(segments), len(x))), abs=1e-9)
+        assert [(p["first_word"], p["end_word"]) for p in got[d]["passages"]] == [(i, j) for i, j, s in toxicity.segments(x) if model.k * len(x) * math.exp(-model.lam * s) <= model.e_max]
+
+
 # --- 4
 
 
@@ -444,6 +520,53 @@ def test_pages(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
 
 
+class Plain(HTMLParser):
+    """All text outside hidden elements, by a stack of open tags alone."""
+
+    VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+    INLINE = {"b", "i", "em", "strong", "a", "span", "code", "u", "s", "small", "sub", "sup"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.out = [], []
+
+    def handle_starttag(self, tag, attrs):
+        style = (dict(attrs).get("style") or "").replace(" ", "").lower()
+        hidden = tag in ("script", "style", "noscript", "template", "title", "head") or "hidden" in dict(attrs) or "display:none" in style or "visibility:hidden" in style
+        if tag not in self.VOID:
+            self.open.append((tag, hidden))
+        self.out.append("" if tag in self.INLINE else " ")
+
+    def handle_endtag(self, tag):
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k][0] == tag:
+                del self.open[k:]
+                break
+        self.out.append("" if tag in self.INLINE else " ")
+
+    def handle_data(self, data):
+        if not any(hidden for _, hidden in self.open):
+            self.out.append(data)
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_all_visible_words_are_rendered(spark, sf):
+    pages = spark.read.parquet(f"/root/testdata/sf{sf}/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in html.extract(pages).collect()}
+    for r in pages.collect():
+        plain = Plain()
+        plain.feed(r["html"] or "")
+        plain.close()
+        assert re.sub(r"(?m)^(\s*)(?:- |\d+\. )+", r"\1", got[r["page_id"]]).split() == "".join(plain.out).split(), r["page_id"]
+
+
+def test_hostile_numbers_are_read():
+    assert html.render("<td colspan=" + "9" * 5000 + ">x</td>&#" + "7" * 5000 + "; &#65; &#" + "0" * 5000 + "66;<ol start=" + "9" * 5000 + "><li>a</ol>")[1] == "x\n\ufffd A B\n\n1. a"
+    assert html.render("<table><tr><td rowspan=" + "9" * 5000 + ">x<td>1<tr><td>2</table>")[1] == "x  1\n   2"
+    tall = "<table><tr><td rowspan=1500>x<td>0" + "".join(f"<tr><td>{i}" for i in range(1, 1400)) + "</table>"
+    assert html.render(tall)[1].split("\n")[1399] == "   1399"
+
+
 # --- 7
 
 
@@ -991,6 +1114,30 @@ def test_queries_are_registered():
     assert sorted(n.split("_")[0] for n in registry.queries()) == sorted(f"op{i}" for i in range(1, 11))
 
 
+@pytest.mark.parametrize("kind", ["odd", "none"])
+def test_stages_take_odd_rows_and_clashing_columns(spark, kind, request):
+    import corpus_pipeline as P
+
+    names = ["deleted_lines", "passages", "component_id", "kept", "gone", "side", "left", "right", "item_id", "n_words", "bin_id", "rank", "meta", "x", "y", "n", "w", "h", "k"]
+    docs = request.getfixturevalue(kind).withColumns({c: F.lit(c) for c in names}).withColumn("lines", F.lit("z"))
+    before = docs.collect()
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        ids = Counter(r["doc_id"] for r in rows)
+        assert all(n <= Counter(r["doc_id"] for r in before)[d] for d, n in ids.items())
+        assert all(r[c] == c for r in rows for c in names)
+        if kind == "none":
+            assert not rows
+        else:  # null, empty and blank texts always stay, and clean documents too
+            assert {4, 5, 6, 9, 10} <= set(ids) and sum(r["text"] is None for r in rows) == 2
+        docs = spark.createDataFrame(rows, docs.schema)
+    packed = P.STAGES[-1][1](spark, docs, SF).collect()
+    assert Counter(d for d, in {(r["doc_id"],) for r in packed}) == Counter({r["doc_id"] for r in docs.collect()})
+    assert all((r["bin_id"] is None) == (r["n_words"] == 0) for r in packed)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 
