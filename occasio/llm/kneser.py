@@ -38,6 +38,7 @@ END = U64(0x5BD1E995A7C3F00D)
 BATCH_BYTES = 1 << 20
 FLUSH = 1 << 19
 SHARDS_A_TASK = 4
+SHARD_TOKENS = 1 << 20
 HELD = 1 << 21
 _mapped: dict[str, tuple] = {}
 
@@ -261,20 +262,14 @@ _SHARD = "shard int, batch long, u binary, w binary, c binary, at binary, occ bi
 
 
 def _merge_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a shard: sorted bigrams with training counts, and for each batch the places of those it has."""
+    """Of rows sorted by shard, one row a shard: sorted bigrams with training counts, and for each batch the places of
+    those it has. A shard is merged when the next one begins."""
     names = [x.split()[0] for x in _SHARD.split(", ")]
     kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 8]
-    got: dict[int, list] = {}
-    for batch in batches:
-        for i in range(batch.num_rows):
-            shard, key, u, w, occ, docs, train, info = (c[i] for c in batch.columns)
-            if info.is_valid:
-                row = [shard.as_py(), key.as_py(), *[None] * 7, info.as_py()]
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=names)
-                continue
-            got.setdefault(shard.as_py(), []).append((key.as_py(), u.as_py(), w.as_py(), occ.as_py(), docs.as_py(), train.as_py()))
-    for shard in sorted(got):
-        parts = sorted(got.pop(shard))
+    shard, parts = None, []
+
+    def merged() -> pa.RecordBatch:
+        parts.sort()
         keys, trained = [], []
         for _, u, w, occ, docs, train in parts:
             k = _undeltas(u).astype(U64) << U64(32) | _unplanes(w).astype(U64)
@@ -290,7 +285,22 @@ def _merge_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at.append(np.diff(place, prepend=0)), occs.append(_unplanes(occ)), docs.append(_unplanes2(d))
         table = np.array([(p[0], len(a), len(d)) for p, a, d in zip(parts, at, docs)], np.int64)
         row = [shard, None, _deltas(every >> U64(32)), _planes(every & U64(0xFFFFFFFF)), _planes(count), _planes(np.concatenate(at)), _planes(np.concatenate(occs)), _planes2(np.concatenate(docs)), table.tobytes(), None]
-        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=names)
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            of, key, u, w, occ, docs, train, info = (c[i].as_py() for c in batch.columns)
+            if info is not None:
+                row = [of, key, *[None] * 7, info]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=names)
+                continue
+            if of != shard:
+                if parts:
+                    yield merged()
+                shard, parts = of, []
+            parts.append((key, u, w, occ, docs, train))
+    if parts:
+        yield merged()
 
 
 # --- 3. statistics
@@ -466,7 +476,7 @@ def fit_and_score(docs: DataFrame, held_out, shards: int | None = None) -> tuple
     """
     spark = docs.sparkSession
     tasks = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    shards = shards or SHARDS_A_TASK * tasks
+    chosen, shards = shards, shards or SHARDS_A_TASK * tasks
     parts = 1 << (shards - 1).bit_length()
     out = F.coalesce(held_out, F.lit(False))
     rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (~out).alias("train"), out.alias("held_out"))
@@ -478,7 +488,10 @@ def fit_and_score(docs: DataFrame, held_out, shards: int | None = None) -> tuple
         raise OverflowError("the vocabulary has more than 2**32 words")
     known = Vocabulary(Mapped(f"words-{uuid.uuid4().hex}", tuple(_ship(spark, vocabulary_path)), (("keys", "<u8"), ("counts", "<u4"))), size, tokens)
 
-    paired = rows.mapInArrow(lambda b: _pairs(b, known, shards), _PAIRS).repartition(tasks, "shard")
+    if not chosen:  # as many shards as the tokens fill, and as many tasks as take a few each
+        tasks = max(tasks, -(-tokens // (SHARDS_A_TASK * SHARD_TOKENS)))
+        shards = SHARDS_A_TASK * tasks
+    paired = rows.mapInArrow(lambda b: _pairs(b, known, shards), _PAIRS).repartition(tasks, "shard").sortWithinPartitions("shard")
     merged, _ = materialize(paired.mapInArrow(_merge_pairs, _SHARD), "lm-bigrams", "zstd")
 
     stats, _ = materialize(merged.where("info is null").select("u", "w", "c").mapInArrow(lambda b: _statistics(b, known, tasks, shards), "kind int, k long, c long, n1 long, n2 long, n3 long, ids binary, counts binary"), "lm-statistics")
