@@ -471,6 +471,25 @@ def test_items_with_any_ids(spark, odd, kind):
     assert sorted((r["doc_id"] for r in kept if r["text"]), key=repr) == sorted((d for d, t, *_ in odd_rows() if t and not any(edits(words(s), words(t)) <= len(words(s)) // 5 for s in texts if s)), key=repr)
 
 
+def test_all_matches_of_the_test_tables_are_found(spark):
+    # Brute force: the edit distance of every item to every document that shares enough words with it.
+    docs, items = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    rows, texts = docs.select("doc_id", "text").collect(), items.select("item_id", "text").collect()
+    index = decontam.build_index([r["text"] for r in texts])
+    w = _text.words(pa.array([r["text"] for r in rows], pa.string()))
+    want = {}
+    for x in index.lengths:
+        for k, r in enumerate(rows):
+            h = w.hashes[w.bounds[k] : w.bounds[k + 1]]
+            may = np.flatnonzero(np.isin(x.items, h).sum(1) >= x.m - x.k)
+            if len(h) and len(may):
+                for c, e in zip(may, decontam.edit_distance(x.items[may], np.tile(h, (len(may), 1)))):
+                    if e <= x.k:
+                        want[r["doc_id"], texts[x.ids[c]]["item_id"]] = int(e)
+    got = {(r["doc_id"], r["item_id"]): r["n_edits"] for r in decontam.contaminated(docs, items).collect()}
+    assert len(want) >= 20 and set(got) <= set(want) and len(got) >= 0.95 * len(want) and all(want[k] == e for k, e in got.items())
+
+
 def test_edit_distance_rows():
     rng = np.random.default_rng(0)
     a, b = rng.integers(1, 6, (50, 7)).astype(np.uint64), rng.integers(1, 6, (50, 12)).astype(np.uint64)
