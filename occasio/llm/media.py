@@ -25,28 +25,30 @@ def pad(data: bytes) -> bytes:
 
 #: A longer payload is stored as several images, one after another: they are read together, so none should be much longer
 #: than others, and no image's arrays grow with the text.
-PART = 1 << 12
-PIECE = 1 << 23
+PART = 1 << 13
+PIECE = 1 << 22
 
 
-def store(payloads: list[bytes]) -> list[bytes]:
-    """Each payload (a positive multiple of 64 bytes) as the samples of lossless WebP images, one for each ``PART``.
+def _stored(payload: bytes) -> bytes:
+    """The payload (a positive multiple of 64 bytes) as the samples of lossless WebP images, one for each ``PART``.
 
     Four bytes make a pixel (green, red, blue, alpha); the rectangle is filled up with zero pixels. Which transform an
-    image has depends on its size and on a checksum of its part.
+    image has depends on its colours and on a checksum of its part.
     """
-    parts, counts = [], []
-    for payload in payloads:
-        counts.append(-(-len(payload) // PART))
-        for at in range(0, len(payload), PART):
-            part = payload[at : at + PART]
-            n = len(part) // 4
-            width, height = webp.image_size(n)
-            c = np.zeros((width * height, 4), np.uint8)
-            c[:n, [1, 2, 0, 3]] = np.frombuffer(part, np.uint8).reshape(-1, 4)
-            parts.append((c.view("<u4").ravel(), width, height, zlib.crc32(part)))
-    files = iter(webp.encode(parts))
-    return [b"".join(next(files) for _ in range(n)) for n in counts]
+    out = []
+    for at in range(0, len(payload), PART):
+        part = payload[at : at + PART]
+        n = len(part) // 4
+        width, height = webp.image_size(n)
+        c = np.zeros((width * height, 4), np.uint8)
+        c[:n, [1, 2, 0, 3]] = np.frombuffer(part, np.uint8).reshape(-1, 4)
+        out.append(webp.encode(c.view("<u4").ravel(), width, height, zlib.crc32(part)))
+    return b"".join(out)
+
+
+def store(payloads: list[bytes]) -> list[bytes]:
+    """The stored form of each payload."""
+    return [_stored(x) for x in payloads]
 
 
 def images(media: bytes) -> Iterator[bytes]:
@@ -128,7 +130,7 @@ def encode_column(docs: DataFrame) -> DataFrame:
 
     def write(batches):
         for batch in batches:
-            for part in pieces(batch, limit=PIECE):
+            for part in pieces(batch):
                 data, off = raw(part.column(1))
                 padded = [pad(data[off[i] : off[i + 1]].tobytes()) for i in range(part.num_rows)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(store(padded), pa.binary()), pa.array([len(x) for x in padded], pa.int64())], names=["doc_id", "media", "payload_bytes"])
