@@ -80,6 +80,52 @@ def test_strongest_partners(spark):
     assert [r["rel"] for r in G.basket_edges(small, 10).orderBy("dst").collect()] == pytest.approx([1 / 3, 1.0, 2 / 3])
 
 
+def test_packed_graphs_are_those_of_the_relations(spark):
+    rng = np.random.default_rng(5)
+    rows = [(h, 2026, 1 + w, str(p), q, p if p % 4 else None, 0.1 * p if p % 3 else None) for h in range(12) for w in range(2) for p in sorted(rng.choice(14, size=int(rng.integers(2, 14)), replace=False).tolist()) for q in ([1.0 + p] if p % 5 else [None, 2.0])]
+    rows += [(99, 2026, 1, "77", -2.0, 3, None), (99, 2026, 1, "77", 1.0, 3, None), (98, 2026, 1, "50", 1.0, 3, float("inf")), (98, 2026, 1, "51", 1.0, 3, float("nan"))]
+    txn = spark.createDataFrame(rows, "household_number long, year_number int, week_number int, tpnb string, quantity double, vec int, distinctiveness double")
+    b = B.build_baskets(txn)
+    nodes = G.basket_nodes(b)
+    pairs = G.basket_pairs(nodes, G.copurchase(b))
+    # NaN and infinities are 0, as the relations have them; null is 0.5.
+    plain = txn.select("tpnb", "distinctiveness").distinct()
+    scalars = {(r[0], r[1]): r[2:] for r in G.node_scalars(nodes, G.cp_score(nodes, pairs), plain).collect()}
+    edges = {(r[0], r[1], r[2]): r[3:] for r in G.basket_edges(pairs, 3).collect()}
+    packed = G.product_rows(B.build_baskets(txn, extra=("vec", "distinctiveness")))
+    names = {r["basket_id"]: r["p"] for r in packed.collect()}
+    for most in (G.FEW, 0):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(G.few, "__defaults__", (most,))
+            got = G.pack_graphs(packed, 3).collect()
+        assert {r["basket_id"] for r in got} == {k for k, _ in scalars}
+        mine = {(r["basket_id"], p): r["scalars"][3 * i : 3 * i + 3] for r in got for i, p in enumerate(names[r["basket_id"]])}
+        assert mine.keys() == scalars.keys() and all(mine[k] == pytest.approx(list(scalars[k])) for k in mine)
+        links = {(r["basket_id"], names[r["basket_id"]][s], names[r["basket_id"]][d]): r["attr"][2 * i : 2 * i + 2] for r in got for i, (s, d) in enumerate(zip(r["src"], r["dst"]))}
+        assert links.keys() == edges.keys() and all(links[k] == pytest.approx(list(edges[k])) for k in links)
+        assert all(r["vec"] == [None if int(p) < 14 and int(p) % 4 == 0 else 3 if int(p) > 13 else int(p) for p in names[r["basket_id"]]] for r in got)
+
+
+def test_large_baskets_are_packed_in_parts():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    some = [(int(i), int(j), int(rng.integers(2, 9))) for i, j in {tuple(sorted(rng.choice(40, 2, replace=False).tolist())) for _ in range(90)}]
+    b = pa.RecordBatch.from_pydict({"basket_id": ["a", "b"], "units": [[1.0] * 40] * 2, "vec": [list(range(40))] * 2, "distinctiveness": [[0.5] * 40] * 2, **{c: [[x[k] for x in some], None] for k, c in enumerate("ijn")}})
+    assert G._packed(b, 5, 64).equals(G._packed(b, 5))
+
+
+def test_graphs_hold_no_vectors_and_read_them_once(spark):
+    vectors = (np.array([2, 5]), np.array([[1.0, 0.0], [0.0, 2.0]], np.float32))
+    kinds = "basket_id string, n_nodes int, vec array<int>, scalars array<double>, src array<int>, dst array<int>, attr array<double>"
+    g = spark.createDataFrame([("a", 2, [5, 2], [0.1, 0.2, 0.3, 0.4, 0.5, 0.6], [0, 1], [1, 0], [0.7, 1.0, 0.7, 1.0]), ("b", 1, [None], [0.0, 0.5, 0.7], [], [], []), ("c", 1, [3], [0.0, 0.5, 0.7], [], [], [])], kinds)
+    enc, history = E.train(g, 5, vectors=vectors, epochs=3, hidden=4, dim=3)
+    got = {r["basket_id"]: r["embedding"] for r in E.embed(g, enc, vectors).collect()}
+    frame = pd.DataFrame({"x": [[0.0, 2.0, 0.1, 0.2, 0.3, 1.0, 0.0, 0.4, 0.5, 0.6], [0.0, 0.0, 0.0, 0.5, 0.7]], "n_nodes": [2, 1], "src": [[0, 1], []], "dst": [[1, 0], []], "attr": [[0.7, 1.0, 0.7, 1.0], []]})
+    want, _ = enc.forward(E.batch_of(frame, 5))
+    assert got["a"] == pytest.approx(want[0].tolist(), rel=1e-5) and got["b"] == got["c"] == pytest.approx(want[1].tolist(), rel=1e-5) and len(history) == 3
+
+
 def test_keys(spark):
     df = spark.createDataFrame([("1000_202615",), ("a_b_c",), ("7_x",), ("2000_202616",)], "basket_id string")
     assert [(r["household_number"], r["year_week_number"]) for r in N.split_keys(df).orderBy("household_number").collect()] == [(1000, 202615), (2000, 202616)]
