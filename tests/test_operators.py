@@ -97,7 +97,7 @@ def test_packed_graphs_are_those_of_the_relations(spark):
     for most in (G.FEW, 0):
         with pytest.MonkeyPatch.context() as m:
             m.setattr(G.few, "__defaults__", (most,))
-            got = G.pack_graphs(packed, 3).collect()
+            got = G.pack_graphs(packed, G.counted_pairs(packed), 3).collect()
         assert {r["basket_id"] for r in got} == {k for k, _ in scalars}
         mine = {(r["basket_id"], p): r["scalars"][3 * i : 3 * i + 3] for r in got for i, p in enumerate(names[r["basket_id"]])}
         assert mine.keys() == scalars.keys() and all(mine[k] == pytest.approx(list(scalars[k])) for k in mine)
