@@ -280,6 +280,15 @@ def test_neighbours_are_exact_whatever_the_blocks(spark):
         assert {i: [r["neighbour"] for r in got if r["id"] == i] for i in range(90)} == want
 
 
+def test_means_are_taken_inside_rows_or_by_a_join(spark, monkeypatch):
+    v = spark.createDataFrame([("A", [1.0, 0.0]), ("B", [3.0, 4.0])], "tpnb string, embedding array<float>")
+    b = baskets(spark, [("1_1", ["A", "B"]), ("2_1", ["D"])])
+    inside = V.mean_vectors(b, v)
+    assert "Exchange" not in inside._jdf.queryExecution().toString()
+    monkeypatch.setattr(V, "SENT_ENTRIES", 0)
+    assert sorted(inside.collect()) == sorted(V.mean_vectors(b, v).collect())
+
+
 def test_mutual_edges_and_probe(spark):
     idx = [[1, 3], [0, 4], [0, 1], [4, 0], [3, 1]]
     n = spark.createDataFrame([(i, j, 0.9, r + 1) for i, js in enumerate(idx) for r, j in enumerate(js)], "id long, neighbour long, similarity double, rank int")
