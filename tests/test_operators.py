@@ -289,6 +289,55 @@ def test_means_are_taken_inside_rows_or_by_a_join(spark, monkeypatch):
     assert sorted(inside.collect()) == sorted(V.mean_vectors(b, v).collect())
 
 
+def test_different_vectors_are_sent_once(spark, monkeypatch):
+    v = spark.createDataFrame([(str(i), [float(i % 2), 3.0]) for i in range(50)], "tpnb string, embedding array<float>")
+    b = baskets(spark, [("1_1", ["1", "2", "4"]), ("2_1", ["D", None]), ("3_1", ["49"])])
+    monkeypatch.setattr(V, "SENT_ENTRIES", 4)
+    got = V.mean_vectors(b, v)
+    assert "Exchange" not in got._jdf.queryExecution().toString()  # 50 products of 2 vectors: baskets stay where they are
+    assert {r["basket_id"]: (r["n_used"], r["embedding"]) for r in got.collect()} == {"1_1": (3, [1 / 3, 3.0]), "2_1": (0, [0.0, 0.0]), "3_1": (1, [1.0, 3.0])}
+
+
+def test_labels_in_rows_or_by_a_join(spark, monkeypatch):
+    from occasio.operators import products as P
+    from occasio.plans import fixtures as X
+
+    inside = X.labels(spark, "/root/testdata/sf0.001", X.baskets(spark, "/root/testdata/sf0.001"))
+    monkeypatch.setattr(P, "SENT_PRODUCTS", 0)
+    rows = sorted(X.labels(spark, "/root/testdata/sf0.001").collect())
+    assert rows and sorted(inside.collect()) == rows
+
+
+def test_neighbours_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rng.normal(size=(200, 4)))], "id long, embedding array<float>")
+    want = sorted(V.nearest(df, df, "id", 3, block_rows=2).collect())  # 8 blocks of each side
+    monkeypatch.setattr(V, "SENT_ROWS", 700)
+    parts, settled = [], V.settled
+    monkeypatch.setattr(V, "settled", lambda x: (parts.append(x), settled(x))[1])
+    assert sorted(V.nearest(df, df, "id", 3, block_rows=2).collect()) == want and len(want) == 600
+    assert len(parts) == 10  # both sides, and 8 parts of one block of queries
+
+
+def test_votes_are_searched_for_once_a_vector(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(-1, 3, size=(400, 3)).astype(float)  # 64 vectors, some of one direction, and a zero one
+    x[7] = np.nan
+    kind = "id string, embedding array<float>"
+    every = [(f"{i}_1", r.tolist()) for i, r in enumerate(x)]
+    base, queries = spark.createDataFrame(every[:300], kind), spark.createDataFrame(every[250:] + [("x_1", [float("nan")] * 3)], kind)
+    labels = spark.createDataFrame([(f"{i}_1", int(rng.integers(5))) for i in range(5, 350)], "id string, label long")
+    for k in (1, 4, 500):
+        voters = base.join(labels.select("id"), "id", "left_semi")
+        want = sorted(V.vote(V.nearest(queries, voters, "id", k), labels, "id").collect())
+        seen = []
+        got = V.vote_of_nearest(queries, base, labels, "id", k, lambda q, b, key, k: (seen.append((q.count(), b.count())), V.nearest(q, b, key, k))[1])
+        assert sorted(got.collect()) == want and len(want) == 150
+        assert seen[0][0] <= 50 + 65 and seen[0][1] <= 65  # 50 queries are in the base too
+    with pytest.raises(ValueError, match="occurs 2 times"):
+        V.vote_of_nearest(queries, base.union(base.limit(20)), labels, "id", 3)
+
+
 def test_mutual_edges_and_probe(spark):
     idx = [[1, 3], [0, 4], [0, 1], [4, 0], [3, 1]]
     n = spark.createDataFrame([(i, j, 0.9, r + 1) for i, js in enumerate(idx) for r, j in enumerate(js)], "id long, neighbour long, similarity double, rank int")
